@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,7 +60,7 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 def slices(batch: pa.RecordBatch, text: str, budget: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Cut a batch into slices of about ``budget`` text bytes, one row at least."""
     col = batch.column(batch.schema.get_field_index(text))
-    lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(col), 0), dtype=np.int64)
+    lengths = np.asarray(pc.fill_null(pc.binary_length(col), 0), dtype=np.int64)
     start, total = 0, 0
     for i, n in enumerate(lengths):
         if total and total + n > budget:

@@ -65,18 +65,53 @@ def oracle_sql() -> dict[str, str]:
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+_RATIO_BUCKETS = 1 << 16
+
 _JUMP = """
-  SELECT doc_id, size, text, 0 AS step, coalesce(doc_id, 0)::HUGEINT AS k, -1::BIGINT AS at, 0::BIGINT AS nxt, {n} AS n FROM base
+  SELECT id, 0 AS step, key AS k, -1::BIGINT AS at, 0::BIGINT AS nxt FROM base
   UNION ALL
-  SELECT doc_id, size, text, step + 1, nk, nxt, floor((nxt + 1) * (2147483648.0::DOUBLE / ((nk // 8589934592) + 1)::DOUBLE))::BIGINT, n
-  FROM (SELECT *, ((CASE WHEN k < 0 THEN k + 18446744073709551616::HUGEINT ELSE k END) * 2862933555777941757::HUGEINT + 1) % 18446744073709551616::HUGEINT AS nk FROM walk{n} WHERE nxt < n)
+  SELECT id, step + 1, nk, nxt, floor((nxt + 1) * (2147483648.0::DOUBLE / ((nk // 8589934592) + 1)::DOUBLE))::BIGINT
+  FROM (SELECT *, ((CASE WHEN k < 0 THEN k + 18446744073709551616::HUGEINT ELSE k END) * 2862933555777941757::HUGEINT + 1) % 18446744073709551616::HUGEINT AS nk FROM walk{n} WHERE nxt < {n})
 """
 
 ORACLES = {
+    "op1_quality_rules": rf"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
+tok AS (SELECT id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+win AS (
+  SELECT id, i, count(*) OVER (PARTITION BY id, word, w2, w3, w4, w5) AS c
+  FROM (SELECT id, i, word, lead(word, 1) OVER o AS w2, lead(word, 2) OVER o AS w3, lead(word, 3) OVER o AS w4, lead(word, 4) OVER o AS w5 FROM tok WINDOW o AS (PARTITION BY id ORDER BY i))
+  WHERE w5 IS NOT NULL
+), rep AS (SELECT id, count(DISTINCT i + k) AS n_repeat_words FROM win, range(5) r(k) WHERE c > 1 GROUP BY id),
+lines AS (SELECT id, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY id),
+base AS (
+  SELECT d.id, doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
+  FROM d LEFT JOIN rep USING (id) LEFT JOIN lines USING (id)
+), trusted AS (
+  SELECT doc_id FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING min(coalesce(quality, 0)) = 1 AND max(coalesce(toxic, 1)) = 0
+  ORDER BY md5(doc_id::VARCHAR), doc_id LIMIT 20000
+), hashed AS (SELECT id, i, ('0x' || substr(md5(word), 1, 8))::BIGINT AS h FROM tok),
+grams AS (
+  SELECT id, h % {_RATIO_BUCKETS} AS bucket FROM hashed
+  UNION ALL
+  SELECT id, (h * 31 + nxt) % {_RATIO_BUCKETS} FROM (SELECT id, h, lead(h) OVER (PARTITION BY id ORDER BY i) AS nxt FROM hashed) WHERE nxt IS NOT NULL
+), counted AS (
+  SELECT bucket, count(*) AS raw, count(*) FILTER (WHERE d.doc_id IN (SELECT doc_id FROM trusted)) AS target FROM grams JOIN d USING (id) GROUP BY bucket
+), total AS (SELECT sum(raw) AS raws, sum(target) AS targets FROM counted),
+ratio AS (
+  SELECT bucket, CASE WHEN targets = 0 THEN 0 ELSE floor((ln((target + 1.0::DOUBLE) / (targets + {_RATIO_BUCKETS})::DOUBLE) - ln((raw + 1.0::DOUBLE) / (raws + {_RATIO_BUCKETS})::DOUBLE)) * 1048576 + 0.5)::BIGINT END AS v
+  FROM counted, total
+), score AS (SELECT id, sum(v) AS total FROM grams JOIN ratio USING (bucket) GROUP BY id),
+judged AS (SELECT base.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, coalesce(total, 0) AS total FROM base LEFT JOIN score USING (id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND total >= -104858 * (CASE WHEN n_words > 0 THEN 2 * n_words - 1 ELSE 0 END + 16) AS kept
+FROM judged
+""",
     "op10_top_k": """
 WITH sound AS (
-  SELECT DISTINCT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
 ), scored AS (
   SELECT q.vec_id AS query_id, d.vec_id, list_inner_product(q.v::DOUBLE[], d.v::DOUBLE[])::BIGINT AS score
   FROM sound q JOIN sound d ON q.vec_id <> d.vec_id WHERE q.vec_id % 50 = 0
@@ -120,16 +155,43 @@ SELECT c.doc_id, c.size, c.source_size, c.target, coalesce(taken.taken, 0)::BIGI
 FROM c LEFT JOIN taken ON c.doc_id IS NOT DISTINCT FROM taken.doc_id AND c.source IS NOT DISTINCT FROM taken.source AND c.size = taken.size
 """,
     "op5_shard": f"""
-WITH RECURSIVE base AS (SELECT doc_id, (strlen(coalesce(text, '')) + 1)::BIGINT AS size, coalesce(text, '') AS text FROM documents),
-walk8 AS ({_JUMP.format(n=8)}),
+WITH RECURSIVE base AS (
+  SELECT row_number() OVER () AS id, doc_id, coalesce(doc_id, 0)::HUGEINT AS key, (strlen(coalesce(text, '')) + 1)::BIGINT AS size, hex(encode(coalesce(text, ''))) AS bytes FROM documents
+), walk8 AS ({_JUMP.format(n=8)}),
 walk9 AS ({_JUMP.format(n=9)}),
 crc AS (
   SELECT list(v ORDER BY i) AS tab FROM (
-    SELECT i, list_reduce([i::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0], (a, b) -> CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v FROM range(256) g(i))
+    SELECT i, list_reduce([i::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::BIGINT) ELSE a >> 1 END) AS v FROM range(256) g(i))
 ), summed AS (
-  SELECT doc_id, size, text, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, 2 * (size - 1), 2), j -> ('0x' || substr(hex(encode(text)), j + 1, 2))::BIGINT)),
-    (a, b) -> xor(a >> 8, tab[1 + (xor(a, b) & 255)])), 4294967295) AS text_crc32 FROM base, crc WHERE FALSE
+  SELECT id, doc_id, size, xor(list_reduce(
+      list_prepend(4294967295::BIGINT, list_transform(range(0, size - 1), lambda j: ('0x' || substr(bytes, (2 * j + 1)::BIGINT, 2))::BIGINT)),
+      lambda a, b: xor(a >> 8, tab[1 + (xor(a, b) & 255)])), 4294967295::BIGINT) AS text_crc32
+  FROM base, crc
+), placed AS (
+  SELECT summed.*, a.at::INTEGER AS shard, b.at::INTEGER AS grown_shard, md5(coalesce(doc_id::VARCHAR, '') || ':' || size::VARCHAR) AS h
+  FROM summed JOIN walk8 a USING (id) JOIN walk9 b USING (id) WHERE a.nxt >= 8 AND b.nxt >= 9
 )
-SELECT a.doc_id, a.size, 'key' AS law, a.at::INTEGER AS shard, b.at::INTEGER AS grown_shard FROM walk8 a JOIN walk9 b ON a.doc_id = b.doc_id WHERE a.nxt >= 8 AND b.nxt >= 9
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, (row_number() OVER (PARTITION BY shard ORDER BY h, doc_id NULLS FIRST, size, text_crc32) - 1)::BIGINT AS slot, grown_shard FROM placed
+""",
+    "op9_substring_dedup": rf"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, {_WORDS} AS w FROM documents),
+win AS (SELECT id, doc_id, i, array_to_string(w[i:i + 19], ' ') AS k FROM (SELECT id, doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d)),
+marked AS (SELECT id, i, rank() OVER (PARTITION BY md5(k), length(k) ORDER BY doc_id NULLS LAST, i) > 1 AS later FROM win),
+gone AS (SELECT id, list(DISTINCT i + k) AS cut FROM marked, range(20) r(k) WHERE later GROUP BY id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(cut), 0)::BIGINT AS n_removed,
+  sha256(array_to_string(list_filter(w, lambda x, i: cut IS NULL OR NOT list_contains(cut, i)), ' ')) AS kept_sha256
+FROM d LEFT JOIN gone USING (id)
+""",
+    "op7_suffix_dedup": """
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, hex(encode(coalesce(text, ''))) AS hx, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
+win AS (SELECT id, i, md5(substr(hx, 2 * i + 1, 800)) AS k FROM (SELECT id, hx, unnest(range(0, n - 399)) AS i FROM d)),
+hit AS (SELECT id, i FROM (SELECT id, i, count(*) OVER (PARTITION BY k) AS c FROM win) WHERE c > 1),
+edge AS (SELECT id, i, CASE WHEN i > lag(i) OVER (PARTITION BY id ORDER BY i) + 400 OR lag(i) OVER (PARTITION BY id ORDER BY i) IS NULL THEN 1 ELSE 0 END AS opens FROM hit),
+span AS (SELECT id, min(i) AS s, max(i) + 400 AS e FROM (SELECT id, i, sum(opens) OVER (PARTITION BY id ORDER BY i) AS g FROM edge) GROUP BY id, g),
+gap AS (SELECT id, s, e, coalesce(lag(e) OVER (PARTITION BY id ORDER BY s), 0) AS was FROM span),
+kept AS (SELECT gap.id, string_agg(substr(hx, 2 * was + 1, 2 * (s - was)), '' ORDER BY s) AS front, max(e) AS last, sum(e - s) AS gone, count(*) AS spans FROM gap JOIN d USING (id) GROUP BY gap.id)
+SELECT doc_id, n AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN gone IS NULL THEN hx ELSE front || substr(hx, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN kept USING (id)
 """,
 }
