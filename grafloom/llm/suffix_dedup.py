@@ -13,8 +13,9 @@ directly; all others are induced by scanning the buckets of their first bytes in
 Common prefixes of neighbours in that order then tell which windows repeat.
 
 A key with more than ``hot`` contested segments is not brought together: its windows are
-hashed (128 bits with the key) and counted with partial aggregation, which is exact and has
-no group in one task.
+counted by hash (128 bits with the key), with partial aggregation only, so no group meets in
+one task.  Windows at like distances from the minimizer are first taken in classes: a class
+whose common core is unique holds no repeat, and only the rest is cut finer.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +33,8 @@ from .common import Powers, materialize, merge_intervals, minimizers, mix64, row
 GRAM = 32
 PIECE = 1 << 21
 BLOCK = 1 << 21
-_Q, _Q2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+_Q = 0x9E3779B97F4A7C15
+CLASSES = (64, 8, 1)
 
 
 def two_stage_order(text: np.ndarray, want: np.ndarray, depth: int) -> np.ndarray:
@@ -119,11 +122,12 @@ def repeated_starts(segments: list[bytes], width: int) -> list[np.ndarray]:
     return [np.flatnonzero(hit[s : s + n]) for s, n in zip(first.tolist(), lengths.tolist(), strict=True)]
 
 
-ANCHOR = "h long, g long, uid long, s int, n int"
+ANCHOR = "h long, g long, uid long, s int, n int, p int"
+CLASSED = "h long, cls int, w long, v long, uid long, s int, n int, p int, data binary"
 
 
 def anchors(keyed: DataFrame, width: int) -> DataFrame:
-    """Segments of every text: key h, hash g of the whole segment, row key, first window, windows."""
+    """Segments of every text: key h, hash g of the whole segment, row key, first window, windows, minimizer's place."""
     span = width - GRAM + 1
 
     def run(batches):
@@ -132,7 +136,7 @@ def anchors(keyed: DataFrame, width: int) -> DataFrame:
             for batch in slices(big, "text"):
                 uids = batch.column(0).to_numpy()
                 raw, offsets = utf8(batch.column(1))
-                cols = [[], [], [], [], []]
+                cols = [[], [], [], [], [], []]
                 for row, uid in enumerate(uids.tolist()):
                     for base in range(int(offsets[row]), int(offsets[row + 1]) - width + 1, PIECE):
                         piece = raw[base : min(base + PIECE + width - 1, int(offsets[row + 1]))].astype(np.uint64) + np.uint64(1)
@@ -148,52 +152,61 @@ def anchors(keyed: DataFrame, width: int) -> DataFrame:
                         cols[2].append(np.full(len(first), uid, np.int64))
                         cols[3].append((first + base - int(offsets[row])).astype(np.int32))
                         cols[4].append((last - first + 1).astype(np.int32))
+                        cols[5].append((at[first] - first).astype(np.int32))
                 if cols[0]:
-                    h, g, u, s, n = map(np.concatenate, cols)
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(g.view(np.int64)), pa.array(u), pa.array(s), pa.array(n)], names=["h", "g", "uid", "s", "n"])
+                    h, g, u, s, n, p = map(np.concatenate, cols)
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(g.view(np.int64)), pa.array(u), pa.array(s), pa.array(n), pa.array(p)], names=["h", "g", "uid", "s", "n", "p"])
 
     return keyed.select("uid", "text").mapInArrow(run, ANCHOR)
 
 
+def _shared_cores(segments: DataFrame, width: int, size: int) -> DataFrame:
+    """Segments of one key, cut into classes of ``size`` windows; classes with a unique core are left out.
+
+    A class is the windows that start ``size * cls`` to ``size * (cls + 1) - 1`` bytes before
+    the minimizer; its core is what they all hold.  Equal windows have equal cores.
+    """
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for h, uid, s, n, p, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for cls in range((p - n + 1) // size, p // size + 1):
+                    a, b = max(0, p - size * cls - size + 1), min(n - 1, p - size * cls)
+                    core = xxhash.xxh3_128_intdigest(data[p - size * cls : p - size * cls - size + 1 + width])
+                    w, v = (x - (1 << 64) if x >> 63 else x for x in (core >> 64, core & (1 << 64) - 1))
+                    rows.append((h, cls, w, v, uid, s + a, b - a + 1, p - a, data[a : b + width]))
+            kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 3, *[pa.int32()] * 3, pa.binary()]
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 9
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in CLASSED.split(", ")])
+
+    key = ["h", "cls", "w", "v"]
+    classes = materialize(segments.mapInArrow(run, CLASSED))
+    places = F.struct("uid", "s")
+    shared = classes.groupBy(*key).agg(F.min(places).alias("a"), F.max(places).alias("b")).where("a != b").select(*key)
+    return classes.join(shared, key).select("h", "uid", "s", "n", "p", "data")
+
+
 def repeated_spans(keyed: DataFrame, width: int, hot: int) -> DataFrame:
     """(uid, s, e): byte ranges covered by windows that start twice or more; ranges may overlap."""
     found = materialize(anchors(keyed, width))
-    kinds = materialize(found.groupBy("h", "g").agg(F.count("*").alias("c"), F.min(F.struct("uid", "s", "n")).alias("first")))
+    kinds = materialize(found.groupBy("h", "g").agg(F.count("*").alias("c"), F.min(F.struct("uid", "s", "n", "p")).alias("first")))
     keys = kinds.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1")
     whole = found.join(kinds.where("c > 1").select("h", "g"), ["h", "g"]).select("uid", "s", (F.col("s") + F.col("n") - 1 + width).alias("e"))
 
-    part = F.struct("h", F.col("first.s").alias("s"), F.col("first.n").alias("n"), (F.col("kinds") > hot).alias("hot"))
+    part = F.struct("h", F.col("first.s").alias("s"), F.col("first.n").alias("n"), F.col("first.p").alias("p"), (F.col("kinds") > hot).alias("hot"))
     contested = kinds.join(keys, "h").select(F.col("first.uid").alias("uid"), part.alias("part")).groupBy("uid").agg(F.collect_list("part").alias("parts"))
 
     def cut(batches):
-        p1, p2 = Powers(_Q), Powers(_Q2)
         for big in batches:
             for batch in slices(big, "text"):
-                h, w, v, u, s, data = [], [], [], [], [], []
+                rows = []
                 for uid, text, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                    for x in parts:
-                        piece = text[x["s"] : x["s"] + x["n"] - 1 + width]
-                        if x["hot"]:
-                            values = np.frombuffer(piece, np.uint8).astype(np.uint64) + np.uint64(1)
-                            one, two = window_hashes(values, width, p1), window_hashes(values, width, p2)
-                            w += one.view(np.int64).tolist()
-                            v += two.view(np.int64).tolist()
-                            s += range(x["s"], x["s"] + x["n"])
-                            h += [x["h"]] * x["n"]
-                            u += [uid] * x["n"]
-                            data += [None] * x["n"]
-                        else:
-                            h.append(x["h"])
-                            w.append(0)
-                            v.append(0)
-                            u.append(uid)
-                            s.append(x["s"])
-                            data.append(piece)
-                kinds = [pa.int64()] * 4 + [pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((h, w, v, u, s, data), kinds, strict=True)], names=["h", "w", "v", "uid", "s", "data"])
+                    rows += [(x["h"], uid, x["s"], x["n"], x["p"], x["hot"], text[x["s"] : x["s"] + x["n"] - 1 + width]) for x in parts]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [[]] * 7, [pa.int64()] * 2 + [pa.int32()] * 3 + [pa.bool_(), pa.binary()], strict=True)], names=["h", "uid", "s", "n", "p", "hot", "data"])
 
     text = keyed.select("uid", F.col("text").cast("binary").alias("text"))
-    cuts = materialize(text.join(contested, "uid").select("uid", "text", "parts").mapInArrow(cut, "h long, w long, v long, uid long, s int, data binary"))
+    cuts = materialize(text.join(contested, "uid").select("uid", "text", "parts").mapInArrow(cut, "h long, uid long, s int, n int, p int, hot boolean, data binary"))
 
     def sort(batches):
         def emit(rows):
@@ -221,10 +234,11 @@ def repeated_spans(keyed: DataFrame, width: int, hot: int) -> DataFrame:
         if held:
             yield emit(held)
 
-    cold = cuts.where("data is not null").select("h", "uid", "s", "data").repartition("h").sortWithinPartitions("h").mapInArrow(sort, "uid long, s int, e int")
-    windows = cuts.where("data is null").select("h", "w", "v", "uid", "s").distinct()
-    twice = windows.groupBy("h", "w", "v").agg(F.count("*").alias("c")).where("c > 1")
-    warm = windows.join(twice, ["h", "w", "v"]).select("uid", "s", (F.col("s") + width).alias("e"))
+    cold = cuts.where("not hot").select("h", "uid", "s", "data").repartition("h").sortWithinPartitions("h").mapInArrow(sort, "uid long, s int, e int")
+    warm = cuts.where("hot").select("h", "uid", "s", "n", "p", "data")
+    for size in CLASSES:
+        warm = _shared_cores(warm, width, min(size, max(width // 4, 1)))
+    warm = warm.select("uid", "s", (F.col("s") + width).alias("e"))
     return whole.unionByName(cold).unionByName(warm)
 
 
@@ -248,7 +262,7 @@ def _kept(text: bytes, spans) -> tuple[bytes, list[tuple[int, int]]]:
     return b"".join(out), cuts
 
 
-def suffix_dedup(docs: DataFrame, width: int = 400, hot: int = 512) -> DataFrame:
+def suffix_dedup(docs: DataFrame, width: int = 400, hot: int = 1024) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of docs.
 
     Removed is each byte covered by a string of ``width`` bytes that starts anywhere else
@@ -273,7 +287,7 @@ def suffix_dedup(docs: DataFrame, width: int = 400, hot: int = 512) -> DataFrame
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def cut_repeats(docs: DataFrame, width: int = 400, hot: int = 512) -> DataFrame:
+def cut_repeats(docs: DataFrame, width: int = 400, hot: int = 1024) -> DataFrame:
     """docs with the repeated strings cut from text; characters that a cut splits go too."""
     keyed = _keyed(docs, ["doc_id"], F.coalesce(F.col("text").cast("string"), F.lit("")))
     spans = repeated_spans(keyed, width, hot)

@@ -263,7 +263,7 @@ def test_two_stage_order(segments):
         assert hits.tolist() == [i for i in range(len(s) - 5) if seen.count(s[i : i + 6]) > 1]
 
 
-@pytest.mark.parametrize("hot", [1, 512])
+@pytest.mark.parametrize("hot", [1, 1024])
 def test_suffix_dedup(docs, rows, empty, hot):
     assert plain(suffix_dedup.suffix_dedup(docs, 400, hot)) == brute.byte_repeats(pairs(rows), 400)
     assert plain(suffix_dedup.suffix_dedup(docs, 60, hot)) == brute.byte_repeats(pairs(rows), 60)
