@@ -19,6 +19,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
 DROPPED = frozenset("head nav footer header aside form script style noscript template svg math iframe object button select option textarea title canvas video audio dialog menu input fieldset".split())
@@ -88,10 +90,12 @@ class Page:
         if block and not e.dropped:
             self._flush() if e.tag not in CELLS else self._text.append(" ")
         above = self._stack[-1] if self._stack else None
+        if e.dropped:
+            return
         digest = xxhash.xxh64_intdigest(f"{e.tag}\0{'\0'.join(e.parts)}")
-        if above is not None and not above.dropped:
+        if above is not None:
             above.parts.append(f"{digest:x}")
-        if e.dropped or not block:
+        if not block:
             return
         end = len(self.blocks)
         if e.tag == "article" and not (above and above.in_root == "article"):
@@ -180,14 +184,19 @@ class Page:
             self._close()
         self._flush()
 
-    def main_text(self, templates=frozenset()) -> str:
-        gone = set()
-        for digest, a, b in self.subtrees:
-            if digest in templates:
-                gone.update(range(a, b))
+    def _kept(self) -> list[int]:
         roots = self.articles or self.mains or [(0, len(self.blocks))]
-        kept = sorted({i for a, b in roots for i in range(a, b)} - gone)
-        return "\n\n".join(self.blocks[i] for i in kept)
+        return sorted({i for a, b in roots for i in range(a, b)})
+
+    def main_text(self) -> str:
+        """The text with all its subtrees."""
+        return "\n\n".join(self.blocks[i] for i in self._kept())
+
+    def rooted(self) -> tuple[list[str], list[tuple[int, int, int]]]:
+        """Blocks of the roots, and the subtrees by their places among these."""
+        kept = self._kept()
+        place = {i: k for k, i in enumerate(kept)}
+        return [self.blocks[i] for i in kept], [(d, place[a], place[b - 1] + 1) for d, a, b in self.subtrees]
 
 
 def host(url: str | None) -> str:
@@ -199,77 +208,66 @@ def host(url: str | None) -> str:
 
 
 RESULT = "page_id long, url string, text string, n_chars long"
+PARSED = f"{RESULT}, page_key long, host string, main long, blocks array<string>, subtrees array<struct<subtree:long,a:int,b:int>>"
+_SUBTREE = pa.struct([("subtree", pa.int64()), ("a", pa.int32()), ("b", pa.int32())])
+_KINDS = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(_SUBTREE)]
 
 
-def _results(rows) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["page_id", "url", "text", "n_chars"])
+def _batch(rows: list[tuple], schema: str, kinds: list) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * len(kinds)
+    names = [x.split()[0] for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
 
-def extract_main_text(pages: DataFrame, min_pages: int = 5) -> DataFrame:
-    """page_id, url, text and n_chars of every row of pages.
-
-    A subtree is a template if it recurs on ``min_pages`` pages or more of its host whose
-    main texts differ; copies of one page count once.  A null or empty html gives an empty
-    text.  A null url is a host of its own.  Unclosed and stray tags are repaired as far
-    as block structure needs; text outside any element counts as body text.  Repeated rows
-    all come back; extra columns are not read; an empty table gives an empty result.
-    """
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+def parse_pages(rows: DataFrame) -> DataFrame:
+    """Every page parsed once, as PARSED: its text if no subtree is deletable, else its blocks and subtrees."""
 
-    def count(batches):
-        for batch in batches:
-            seen = set()
-            for url, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                page = Page(source or "")
-                if page.subtrees:
-                    covered = {i for _, a, b in page.subtrees for i in range(a, b)}
-                    rest = "\n".join(x for i, x in enumerate(page.blocks) if i not in covered) or page.main_text()
-                    main = xxhash.xxh64_intdigest(rest) >> 1
-                    seen.update((host(url), digest, main) for digest, _, _ in page.subtrees)
-            cols = list(zip(*seen, strict=True)) if seen else [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["host", "subtree", "main"])
-
-    counted = rows.select("url", "html").mapInArrow(count, "host string, subtree long, main long").distinct()
-    templates = counted.groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages).select("host", "subtree")
-
-    def plain(batches):
+    def run(batches):
         for batch in batches:
             out = []
-            for page_id, url, source in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for page_id, url, source, key in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 page = Page(source or "")
                 if not page.subtrees:
                     text = page.main_text()
-                    out.append((page_id, url, text, len(text)))
-            yield _results(out)
+                    out.append((page_id, url, text, len(text), key, None, None, None, None))
+                    continue
+                covered = {i for _, a, b in page.subtrees for i in range(a, b)}
+                rest = "\n".join(x for i, x in enumerate(page.blocks) if i not in covered) or page.main_text()
+                blocks, subtrees = page.rooted()
+                out.append((page_id, url, None, None, key, host(url), xxhash.xxh64_intdigest(rest) >> 1, blocks, [{"subtree": d, "a": a, "b": b} for d, a, b in subtrees]))
+            yield _batch(out, PARSED, _KINDS)
 
-    open_rows = "page_key long, host string, subtree long"
+    return rows.select("page_id", "url", "html", F.xxhash64("page_id", "url", "html")).mapInArrow(run, PARSED)
 
-    def open_subtrees(batches):
-        for batch in batches:
-            out = set()
-            for key, url, source in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                out.update((key, host(url), digest) for digest, _, _ in Page(source or "").subtrees)
-            cols = list(zip(*out, strict=True)) if out else [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.string(), pa.int64()), strict=True)], names=["page_key", "host", "subtree"])
 
-    keyed = rows.withColumn("page_key", F.xxhash64("page_id", "url", "html"))
-    found = keyed.select("page_key", "url", "html").mapInArrow(open_subtrees, open_rows).distinct().join(templates, ["host", "subtree"])
-    doomed = found.groupBy("page_key").agg(F.collect_set("subtree").alias("subtrees"))
+def extract_main_text(pages: DataFrame, min_pages: int = 5) -> DataFrame:
+    """page_id, url, text and n_chars of every row of pages.
 
-    def pick(batches):
-        for batch in batches:
-            mask = [bool(Page(x or "").subtrees) for x in batch.column(batch.schema.get_field_index("html")).to_pylist()]
-            yield batch.filter(pa.array(mask, pa.bool_()))
+    A subtree is a template if it recurs on ``min_pages`` pages or more of its host whose
+    main texts differ; copies of one page count once.  A null or empty html gives an empty
+    text.  A null url is a host of its own.  Unclosed and stray tags are repaired as far
+    as block structure needs; text outside any element counts as body text.  Repeated rows
+    all come back; extra columns are not read; an empty table gives an empty result.
+
+    Pages are parsed once and held in the shared folder; only those with deletable
+    subtrees are shuffled to meet the templates of their host.
+    """
+    parsed = materialize(parse_pages(pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))))
+    open_pages = parsed.where("subtrees is not null")
+    listed = open_pages.select("page_key", "host", "main", F.explode("subtrees.subtree").alias("subtree"))
+    counted = listed.select("host", "subtree", "main").distinct().groupBy("host", "subtree").agg(F.count("*").alias("n"))
+    templates = counted.where(F.col("n") >= min_pages).select("host", "subtree")
+    doomed = listed.select("page_key", "host", "subtree").join(templates, ["host", "subtree"]).groupBy("page_key").agg(F.collect_set("subtree").alias("templates"))
 
     def cleaned(batches):
         for batch in batches:
             out = []
-            for page_id, url, source, subtrees in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                text = Page(source or "").main_text(frozenset(subtrees or ()))
+            for page_id, url, blocks, subtrees, templates in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                gone = {i for x in subtrees if x["subtree"] in (templates or ()) for i in range(x["a"], x["b"])}
+                text = "\n\n".join(x for i, x in enumerate(blocks) if i not in gone)
                 out.append((page_id, url, text, len(text)))
-            yield _results(out)
+            yield _batch(out, RESULT, _KINDS[:4])
 
-    with_subtrees = keyed.mapInArrow(pick, keyed.schema).join(doomed, "page_key", "left").select("page_id", "url", "html", "subtrees")
-    return rows.mapInArrow(plain, RESULT).unionByName(with_subtrees.mapInArrow(cleaned, RESULT))
+    names = ["page_id", "url", "text", "n_chars"]
+    held = open_pages.join(doomed, "page_key", "left").select("page_id", "url", "blocks", "subtrees", "templates")
+    return parsed.where("subtrees is null").select(*names).unionByName(held.mapInArrow(cleaned, RESULT))
