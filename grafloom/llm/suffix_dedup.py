@@ -15,7 +15,8 @@ Common prefixes of neighbours in that order then tell which windows repeat.
 A key with more than ``hot`` contested segments is not brought together: its windows are
 counted by hash (128 bits with the key), with partial aggregation only, so no group meets in
 one task.  Windows at like distances from the minimizer are first taken in classes: a class
-whose common core is unique holds no repeat, and only the rest is cut finer.
+whose common core is unique holds no repeat, one that occurs twice as a whole is removed,
+and only the rest is cut finer.
 """
 
 from __future__ import annotations
@@ -123,7 +124,7 @@ def repeated_starts(segments: list[bytes], width: int) -> list[np.ndarray]:
 
 
 ANCHOR = "h long, g long, uid long, s int, n int, p int"
-CLASSED = "h long, cls int, w long, v long, uid long, s int, n int, p int, data binary"
+CLASSED = "h long, cls int, w long, v long, x long, y long, uid long, s int, n int, p int, data binary"
 
 
 def anchors(keyed: DataFrame, width: int) -> DataFrame:
@@ -160,13 +161,19 @@ def anchors(keyed: DataFrame, width: int) -> DataFrame:
     return keyed.select("uid", "text").mapInArrow(run, ANCHOR)
 
 
-def _shared_cores(segments: DataFrame, width: int, size: int) -> DataFrame:
-    """Segments of one key, cut into classes of ``size`` windows; classes with a unique core are left out.
+def _shared_cores(segments: DataFrame, width: int, size: int) -> tuple[DataFrame, DataFrame]:
+    """Segments of one key, cut into classes of ``size`` windows: (uid, s, e) of classes that occur twice, and segments left open.
 
     A class is the windows that start ``size * cls`` to ``size * (cls + 1) - 1`` bytes before
-    the minimizer; its core is what they all hold.  Equal windows have equal cores.
+    the minimizer; its core is what they all hold.  Equal windows have equal cores, so a
+    class with a unique core holds no repeat.  A class that occurs twice as a whole is
+    repeated throughout.  One copy of each class that shares its core with a different one
+    is left open.
     """
 
+    def signed(digest: int) -> tuple[int, int]:
+        return tuple(x - (1 << 64) if x >> 63 else x for x in (digest >> 64, digest & (1 << 64) - 1))
+
     def run(batches):
         for batch in batches:
             rows = []
@@ -174,17 +181,21 @@ def _shared_cores(segments: DataFrame, width: int, size: int) -> DataFrame:
                 for cls in range((p - n + 1) // size, p // size + 1):
                     a, b = max(0, p - size * cls - size + 1), min(n - 1, p - size * cls)
                     core = xxhash.xxh3_128_intdigest(data[p - size * cls : p - size * cls - size + 1 + width])
-                    w, v = (x - (1 << 64) if x >> 63 else x for x in (core >> 64, core & (1 << 64) - 1))
-                    rows.append((h, cls, w, v, uid, s + a, b - a + 1, p - a, data[a : b + width]))
-            kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 3, *[pa.int32()] * 3, pa.binary()]
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 9
+                    all_ = xxhash.xxh3_128_intdigest(data[a : b + width] + (b - a).to_bytes(4, "big") + (p - a + size).to_bytes(4, "big"))
+                    rows.append((h, cls, *signed(core), *signed(all_), uid, s + a, b - a + 1, p - a, data[a : b + width]))
+            kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 5, *[pa.int32()] * 3, pa.binary()]
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 11
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in CLASSED.split(", ")])
 
-    key = ["h", "cls", "w", "v"]
+    core, whole = ["h", "cls", "w", "v"], ["h", "cls", "w", "v", "x", "y"]
     classes = materialize(segments.mapInArrow(run, CLASSED))
-    places = F.struct("uid", "s")
-    shared = classes.groupBy(*key).agg(F.min(places).alias("a"), F.max(places).alias("b")).where("a != b").select(*key)
-    return classes.join(shared, key).select("h", "uid", "s", "n", "p", "data")
+    wholes = classes.groupBy(*whole).agg(F.min(F.struct("uid", "s")).alias("a"), F.max(F.struct("uid", "s")).alias("b"))
+    shared = wholes.groupBy(*core).agg(F.min("a").alias("least"), F.max("b").alias("most"), (F.count("*") > 1).alias("differ")).where("least != most").select(*core, "differ")
+    judged = wholes.select(*whole, "a", F.expr("a != b").alias("twice")).join(shared, core)
+    still = F.col("differ") & (F.struct("uid", "s") == F.col("a"))  # one copy of each whole stays open
+    found = materialize(classes.join(judged, whole).select("h", "uid", "s", "n", "p", "twice", F.when(still, F.col("data")).alias("data")))
+    spans = found.where("twice").select("uid", "s", (F.col("s") + F.col("n") - 1 + width).alias("e"))
+    return spans, found.where("data is not null").select("h", "uid", "s", "n", "p", "data")
 
 
 def repeated_spans(keyed: DataFrame, width: int, hot: int) -> DataFrame:
@@ -236,10 +247,11 @@ def repeated_spans(keyed: DataFrame, width: int, hot: int) -> DataFrame:
 
     cold = cuts.where("not hot").select("h", "uid", "s", "data").repartition("h").sortWithinPartitions("h").mapInArrow(sort, "uid long, s int, e int")
     warm = cuts.where("hot").select("h", "uid", "s", "n", "p", "data")
+    spans = whole.unionByName(cold)
     for size in CLASSES:
-        warm = _shared_cores(warm, width, min(size, max(width // 4, 1)))
-    warm = warm.select("uid", "s", (F.col("s") + width).alias("e"))
-    return whole.unionByName(cold).unionByName(warm)
+        twice, warm = _shared_cores(warm, width, min(size, max(width // 4, 1)))
+        spans = spans.unionByName(twice)
+    return spans
 
 
 def _without(keyed: DataFrame, spans: DataFrame, columns: list[str]) -> DataFrame:
