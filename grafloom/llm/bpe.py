@@ -15,6 +15,7 @@ import json
 import mmap
 import os
 import re
+import struct
 import tempfile
 from bisect import bisect_left
 from collections import Counter
@@ -25,13 +26,16 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import materialize, slices
 
 _WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: White space as the tokenizer's pattern sees it, cut the same way; the rest is left to words.
 CHUNK = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 PATTERN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 
+#: Words that the pattern leaves whole, told without it.
+LETTERS = re.compile(" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+
 
 def _byte_chars() -> dict[str, int]:
     """The printable stand-ins of byte-level vocabularies, to bytes."""
@@ -58,27 +62,35 @@ class Vocabulary:
             self.special[t["content"]] = t["id"]
             self.tokens[t["id"]] = t["content"].encode()
         self.bytes = [model["vocab"][c] for c, _ in sorted(chars.items(), key=lambda x: x[1])]
-        self.pairs = {}
+        # rank of a merge by its left and right id, and the id it makes by its rank
+        nothing: dict[int, int] = {}
+        self.ranks, self.merged = [nothing] * (max(self.tokens) + 1), []
         for rank, merge in enumerate(model["merges"]):
             a, b = merge.split(" ") if isinstance(merge, str) else merge
-            self.pairs[model["vocab"][a] << 32 | model["vocab"][b]] = (rank, model["vocab"][a + b])
+            left = model["vocab"][a]
+            if self.ranks[left] is nothing:
+                self.ranks[left] = {}
+            self.ranks[left][model["vocab"][b]] = rank
+            self.merged.append(model["vocab"][a + b])
+        none = len(self.merged)
+        self.first_ranks = [self.ranks[a].get(b, none) for a in self.bytes for b in self.bytes]
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def merge(self, word: bytes) -> list[int]:
         """Exact BPE of one pre-token: always the leftmost pair of least rank."""
         ids = [self.bytes[b] for b in word]
-        pairs = self.pairs
         if len(ids) > 200:
             return self._merge_long(ids)
-        while len(ids) > 1:
-            best, at = None, -1
-            for k in range(len(ids) - 1):
-                found = pairs.get(ids[k] << 32 | ids[k + 1])
-                if found is not None and (best is None or found < best):
-                    best, at = found, k
-            if best is None:
-                break
-            ids[at : at + 2] = [best[1]]
+        ranks_of, merged, first, none = self.ranks, self.merged, self.first_ranks, len(self.merged)
+        ranks = [first[a << 8 | b] for a, b in zip(word, word[1:])]  # noqa: B905
+        while ranks and (best := min(ranks)) < none:
+            k = ranks.index(best)
+            ids[k] = new = merged[best]
+            del ids[k + 1], ranks[k]
+            if k:
+                ranks[k - 1] = ranks_of[ids[k - 1]].get(new, none)
+            if k < len(ranks):
+                ranks[k] = ranks_of[new].get(ids[k + 1], none)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
@@ -91,9 +103,9 @@ class Vocabulary:
 
         def push(k):
             if k >= 0 and after[k] < n:
-                found = self.pairs.get(ids[k] << 32 | ids[after[k]])
+                found = self.ranks[ids[k]].get(ids[after[k]])
                 if found is not None:
-                    heapq.heappush(heap, (found[0], k, ids[k], ids[after[k]], found[1]))
+                    heapq.heappush(heap, (found, k, ids[k], ids[after[k]], self.merged[found]))
 
         for k in range(n - 1):
             push(k)
@@ -111,12 +123,16 @@ class Vocabulary:
 
     def encode_word(self, word: str) -> list[int]:
         """Ids of a stretch that no special token touches."""
+        if LETTERS.fullmatch(word):  # one piece
+            return self.merge(word.encode("utf-8"))
         return [i for piece in PATTERN.findall(word) for i in self.merge(piece.encode("utf-8"))]
 
 
 class Lexicon:
     """Reader of the automaton file; numbers words from 0 in byte order."""
 
+    HEAD = 3
+
     def __init__(self, buffer):
         head = np.frombuffer(buffer, np.int64, 6)
         states, edges, words, ids, root, _ = head.tolist()
@@ -136,12 +152,21 @@ class Lexicon:
         self.skip = take(np.uint32, edges)
         self.start = take(np.uint32, words + 1)
         self.ids = take(np.uint32, ids)
+        # where the first bytes of words lead: walks start from there
+        self.heads = {b"": (root, 0)}
+        level = dict(self.heads)
+        for _ in range(self.HEAD):
+            level = {w + bytes((self.label[k],)): (self.target[k], n + self.skip[k]) for w, (state, n) in level.items() for k in range(self.first[state], self.first[state + 1])}
+            self.heads |= level
 
     def number(self, word: bytes) -> int:
         """The word's number, or -1."""
-        state, n = self.root, 0
+        head = self.heads.get(word[: self.HEAD])
+        if head is None:
+            return -1
+        state, n = head
         first, label = self.first, self.label
-        for b in word:
+        for b in word[self.HEAD :]:
             lo, hi = first[state], first[state + 1]
             k = bisect_left(label, b, lo, hi)
             if k == hi or label[k] != b:
@@ -210,19 +235,27 @@ def map_into_memory(data: bytes):
 
 
 class _Cache(dict):
-    """word -> ids as bytes, through the lexicon, else merged; bounded."""
+    """word -> ids as bytes, through the lexicon, else merged.
+
+    Bounded by two generations: when the young one is full it becomes the old one, and
+    words that are met again move back.
+    """
 
-    LIMIT = 200_000
+    LIMIT = 300_000
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon):
         super().__init__()
-        self.vocabulary, self.lexicon = vocabulary, lexicon
+        self.vocabulary, self.lexicon, self.old = vocabulary, lexicon, {}
 
     def __missing__(self, word: str) -> bytes:
-        found = self.lexicon.get(word.encode("utf-8"))
+        found = self.old.get(word)
         if found is None:
-            found = np.array(self.vocabulary.encode_word(word), "<u4").tobytes()
+            found = self.lexicon.get(word.encode("utf-8"))
+        if found is None:
+            ids = self.vocabulary.encode_word(word)
+            found = struct.pack(f"<{len(ids)}I", *ids)
         if len(self) >= self.LIMIT:
+            self.old = dict(self)
             self.clear()
         if len(word) < 100:
             self[word] = found
@@ -247,7 +280,11 @@ class Encoder:
 
 
 def frequent_words(docs: DataFrame, most: int) -> list[str]:
-    """The ``most`` most frequent words of all texts; ties by code point."""
+    """At most ``most`` words: those of all texts that occur at least so often that no more do.
+
+    The bound is found in a histogram of counts on a logarithmic scale, so what reaches the
+    driver never exceeds ``most`` words, whatever the number of tasks.
+    """
 
     def count(batches):
         for big in batches:
@@ -259,8 +296,13 @@ def frequent_words(docs: DataFrame, most: int) -> list[str]:
                 yield pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.string()), pa.array(n.values(), pa.int64())], names=["word", "n"])
 
     counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "word string, n long")
-    rows = counted.where("length(word) < 100").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "word").limit(most)
-    return [r[0] for r in rows.select("word").collect()]
+    words = materialize(counted.where("length(word) < 100").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1").withColumn("step", F.floor(F.log2("n") * 8).cast("int")))
+    least, room = None, most
+    for step, n in words.groupBy("step").count().orderBy(F.desc("step")).collect():  # 8 * 63 rows at most
+        if n > room:
+            break
+        least, room = step, room - n
+    return [] if least is None else [r[0] for r in words.where(F.col("step") >= least).select("word").collect()]
 
 
 def build_encoder(spark: SparkSession, docs: DataFrame, vocabulary_file: str, lexicon_words: int):
@@ -269,16 +311,28 @@ def build_encoder(spark: SparkSession, docs: DataFrame, vocabulary_file: str, le
         source = f.read()
     vocabulary = Vocabulary(source)
     lexicon = compile_lexicon({w.encode("utf-8"): vocabulary.encode_word(w) for w in frequent_words(docs, lexicon_words) if not (vocabulary.split and vocabulary.split.search(w))})
+    name = hashlib.sha256(source.encode("utf-8") + lexicon).hexdigest()
     shared = spark.sparkContext.broadcast((source, lexicon))
 
     def make() -> Encoder:
-        source, data = shared.value
-        return Encoder(Vocabulary(source), Lexicon(map_into_memory(data)))
+        return _encoder(name, shared)
 
     return make
 
 
-def bpe_round_trip(docs: DataFrame, vocabulary_file: str, lexicon_words: int = 1 << 15, with_ids: bool = False) -> DataFrame:
+_encoders: dict[str, Encoder] = {}
+
+
+def _encoder(name: str, shared) -> Encoder:
+    """The encoder of a worker process; the last one is kept for its next task."""
+    if name not in _encoders:
+        source, data = shared.value
+        _encoders.clear()
+        _encoders[name] = Encoder(Vocabulary(source), Lexicon(map_into_memory(data)))
+    return _encoders[name]
+
+
+def bpe_round_trip(docs: DataFrame, vocabulary_file: str, lexicon_words: int = 1 << 17, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row of docs; ``with_ids`` adds the ids.
 
     The ids are those of the tokenizers library without added special tokens; strings of
