@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import cut_bytes, path_stem
 from .vectors import Embedder, embed_column, group_count, kmeans
@@ -145,7 +146,7 @@ def describe(functions: DataFrame, descriptor=offline_descriptors) -> DataFrame:
             part["atomic_features"] = pd.Series(found, index=part.index, dtype=object)
             yield part
 
-    return functions.select(*names, cut_bytes("content", CODE_BYTES).alias("__code")).mapInPandas(run, functions.select(*names).schema.add("atomic_features", "array<string>"))
+    return functions.select(*names, cut_bytes("content", CODE_BYTES).alias("__code")).mapInPandas(run, functions.select(*names).schema.add("atomic_features", T.ArrayType(T.StringType())))
 
 
 def enrich(features: DataFrame, samples: DataFrame, summarizer=offline_summary, embedder: Embedder | None = None) -> DataFrame:

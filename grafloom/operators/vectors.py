@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Embedder = Callable[[list[str]], list[Sequence[float]]]
 
@@ -98,7 +99,7 @@ def hash_embedder(width: int = 64) -> Embedder:
 def embed_column(rows: DataFrame, text: str, embedder: Embedder, into: str = "embedding", batch: int = 100) -> DataFrame:
     """rows with the vectors of a text column, asked for in batches; an empty text is asked for as one space, a null one gets none."""
     names = [c for c in rows.columns if c != into]
-    schema = rows.select(*names).schema.add(into, "array<float>")
+    schema = rows.select(*names).schema.add(into, T.ArrayType(T.FloatType()))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
