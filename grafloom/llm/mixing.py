@@ -47,7 +47,8 @@ def _finish(epoch: int) -> Column:
 
 
 def _step(epoch: int) -> Column:
-    return F.floor(F.least(_finish(epoch), F.lit(2.0)) * GRID)
+    """Step of the grid; null with the finish time (least() alone would pass over the null)."""
+    return F.when(_finish(epoch).isNotNull(), F.floor(F.least(_finish(epoch), F.lit(2.0)) * GRID))
 
 
 def _place(epoch: int) -> Column:
