@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import WordHashes
 
@@ -32,13 +33,15 @@ class QualityParams:
     buckets: size of both multinomials (all that is broadcast: 8 bytes each).
     trusted_rows: bound on the sample of trusted rows, those with the least md5 of doc_id.
     threshold: least score per n-gram that is kept.
+    prior: smoothing counts of a bucket in the raw multinomial.
     ballast: n-grams of score zero added to each text, so that a few rare words in a very
     short text do not decide its fate.
     """
 
     buckets: int = 1 << 16
     trusted_rows: int = 20_000
-    threshold: float = -0.1
+    threshold: float = -0.08
+    prior: int = 32
     ballast: int = 16
     min_words: int = 10
     repeat_percent: int = 20
@@ -145,14 +148,21 @@ def corpus_counts(docs: DataFrame, trusted: np.ndarray, params: QualityParams) -
     return parts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
-def log_ratios(counts: list, buckets: int) -> np.ndarray:
-    """Integer log ratio of every bucket, add-one smoothed; zeros without a target."""
+def log_ratios(counts: list, buckets: int, prior: int) -> np.ndarray:
+    """Integer log ratio of every bucket; zeros without a target.
+
+    Both multinomials get the same prior: ``prior`` counts a bucket
+    in the raw one, as many times the target's share of all n-grams in the target.
+    A bucket with little evidence so has a ratio near 0, whatever the sizes of corpus and
+    target, and clean texts with rare words are not taken for bad ones.
+    """
     raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
     for b, r, t in counts:
         raw[b], target[b] = r, t
     if not target.any():
         return np.zeros(buckets, np.int64)
-    ratio = np.log((target + 1.0) / (target.sum() + buckets)) - np.log((raw + 1.0) / (raw.sum() + buckets))
+    raws, targets = float(raw.sum()), float(target.sum())
+    ratio = np.log((target * raws + prior * targets) / (targets * (raw + float(prior))))
     return np.floor(ratio * SCALE + 0.5).astype(np.int64)
 
 
@@ -160,7 +170,7 @@ def _scorer(docs: DataFrame, labels: DataFrame, params: QualityParams):
     """A function from (text, cache, ratios) to the counts, verdict and score, and the broadcast ratios."""
     trusted = trusted_ids(labels, params)
     counts = corpus_counts(docs, trusted, params).collect()  # params.buckets rows at most
-    table = docs.sparkSession.sparkContext.broadcast(log_ratios(counts, params.buckets).tobytes())
+    table = docs.sparkSession.sparkContext.broadcast(log_ratios(counts, params.buckets, params.prior).tobytes())
     floor = round(params.threshold * SCALE)
 
     def score(text: str | None, cache: WordHashes, ratio: np.ndarray) -> tuple:
@@ -213,7 +223,7 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, params: QualityParams |
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(kept, pa.bool_())], names=[*names, "kept"])
 
     rows = docs.select(*names)
-    return rows.mapInArrow(run, rows.schema.add("kept", "boolean"))
+    return rows.mapInArrow(run, T.StructType([*rows.schema, T.StructField("kept", T.BooleanType())]))
 
 
 def _ids(words: list[bytes]) -> np.ndarray:

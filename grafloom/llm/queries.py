@@ -100,12 +100,12 @@ grams AS (
   SELECT bucket, count(*) AS raw, count(*) FILTER (WHERE d.doc_id IN (SELECT doc_id FROM trusted)) AS target FROM grams JOIN d USING (id) GROUP BY bucket
 ), total AS (SELECT sum(raw) AS raws, sum(target) AS targets FROM counted),
 ratio AS (
-  SELECT bucket, CASE WHEN targets = 0 THEN 0 ELSE floor((ln((target + 1.0::DOUBLE) / (targets + {_RATIO_BUCKETS})::DOUBLE) - ln((raw + 1.0::DOUBLE) / (raws + {_RATIO_BUCKETS})::DOUBLE)) * 1048576 + 0.5)::BIGINT END AS v
+  SELECT bucket, CASE WHEN targets = 0 THEN 0 ELSE floor(ln((target::DOUBLE * raws::DOUBLE + 32 * targets::DOUBLE) / (targets::DOUBLE * (raw::DOUBLE + 32))) * 1048576 + 0.5)::BIGINT END AS v
   FROM counted, total
 ), score AS (SELECT id, sum(v) AS total FROM grams JOIN ratio USING (bucket) GROUP BY id),
 judged AS (SELECT base.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, coalesce(total, 0) AS total FROM base LEFT JOIN score USING (id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND total >= -104858 * (CASE WHEN n_words > 0 THEN 2 * n_words - 1 ELSE 0 END + 16) AS kept
+  NOT base_failed AND total >= -83886 * (CASE WHEN n_words > 0 THEN 2 * n_words - 1 ELSE 0 END + 16) AS kept
 FROM judged
 """,
     "op10_top_k": """

@@ -67,7 +67,7 @@ def test_quality_scores_match_direct_sums(spark, docs, rows):
         for g in grams(t):
             raw[g] += 1
             good[g] += d in trusted
-    weight = np.floor((np.log((good + 1) / (good.sum() + 64)) - np.log((raw + 1) / (raw.sum() + 64))) * quality.SCALE + 0.5)
+    weight = np.floor(np.log((good * raw.sum() + params.prior * good.sum()) / (good.sum() * (raw + params.prior))) * quality.SCALE + 0.5)
     want = sorted(((d, not brute.base(t)[-1] and sum(weight[g] for g in grams(t)) >= 0) for d, t in pairs(rows)), key=repr)
     assert plain(quality.quality_rules(docs, labels, params), "doc_id", "kept") == want
     assert len({k for _, k in want}) == 2
