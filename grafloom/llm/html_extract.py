@@ -5,8 +5,9 @@ footers, sidebars, forms, scripts, adverts and notices by their roles and classe
 comments) yield none.  Of the block elements that could still reach the main text, each
 subtree is hashed with its tag and text; Spark counts, per host, over how many pages of
 different main text each hash recurs, and subtrees that recur are deleted.  Paragraphs,
-headings and the like inside an article are content however often they recur: quoted
-passages and copied pages stay whole.
+headings, lists and the like inside an article can also be quoted or copied: they must
+recur over a share of the host's pages, and single ones over more pages than whole lists,
+tables and figures.  A page most of whose text they make up is a copy and stays whole.
 """
 
 from __future__ import annotations
@@ -26,6 +27,10 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes noscrip
 DROPPED = frozenset("head nav footer header aside form script style noscript template svg math iframe object button select option textarea title canvas video audio dialog menu input fieldset".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul head caption".split())
 CONTENT = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre table tbody thead tfoot tr td th caption figure figcaption".split())
+#: Of CONTENT, those that hold a whole list, table or figure.
+GROUPS = frozenset("ul ol dl table figure".split())
+#: Kinds of subtrees: outside CONTENT or outside the roots; whole groups; other content.
+FREE, GROUP, SINGLE = range(3)
 ROOTS = frozenset("html body article main".split())
 CELLS = frozenset(("td", "th"))
 HINTS = frozenset("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription sidebar widget widgets menu nav navbar navigation breadcrumb breadcrumbs footer header masthead comment comments respond disqus share sharing social related recommended pagination pager toolbar login search".split())
@@ -69,13 +74,13 @@ class Page:
         self.blocks: list[str] = []
         self.articles: list[tuple[int, int]] = []
         self.mains: list[tuple[int, int]] = []
-        self.subtrees: list[tuple[int, int, int]] = []  # hash, first block, end
+        self.subtrees: list[tuple[int, int, int, int]] = []  # hash, kind, first block, end
         self._stack: list[_Element] = []
         self._text: list[str] = []
         self._parse(source)
         if self.articles or self.mains:  # subtrees outside cannot reach the main text
             roots = self.articles or self.mains
-            self.subtrees = [s for s in self.subtrees if any(a <= s[1] and s[2] <= b for a, b in roots)]
+            self.subtrees = [s for s in self.subtrees if any(a <= s[2] and s[3] <= b for a, b in roots)]
 
     def _flush(self) -> None:
         if self._text:
@@ -102,8 +107,9 @@ class Page:
             self.articles.append((e.start, end))
         elif e.tag == "main":
             self.mains.append((e.start, end))
-        elif end > e.start and e.tag not in ROOTS and e.tag not in CELLS and not (e.in_root and e.tag in CONTENT):
-            self.subtrees.append((digest - (1 << 64) if digest >> 63 else digest, e.start, end))
+        elif end > e.start and e.tag not in ROOTS and e.tag not in CELLS:
+            kind = FREE if not e.in_root or e.tag not in CONTENT else GROUP if e.tag in GROUPS else SINGLE
+            self.subtrees.append((digest - (1 << 64) if digest >> 63 else digest, kind, e.start, end))
 
     def _open(self, tag: str, attrs: str) -> None:
         stack = self._stack
@@ -192,11 +198,11 @@ class Page:
         """The text with all its subtrees."""
         return "\n\n".join(self.blocks[i] for i in self._kept())
 
-    def rooted(self) -> tuple[list[str], list[tuple[int, int, int]]]:
+    def rooted(self) -> tuple[list[str], list[tuple[int, int, int, int]]]:
         """Blocks of the roots, and the subtrees by their places among these."""
         kept = self._kept()
         place = {i: k for k, i in enumerate(kept)}
-        return [self.blocks[i] for i in kept], [(d, place[a], place[b - 1] + 1) for d, a, b in self.subtrees]
+        return [self.blocks[i] for i in kept], [(d, kind, place[a], place[b - 1] + 1) for d, kind, a, b in self.subtrees]
 
 
 def host(url: str | None) -> str:
@@ -208,9 +214,10 @@ def host(url: str | None) -> str:
 
 
 RESULT = "page_id long, url string, text string, n_chars long"
-PARSED = f"{RESULT}, page_key long, host string, main long, blocks array<string>, subtrees array<struct<subtree:long,a:int,b:int>>"
-_SUBTREE = pa.struct([("subtree", pa.int64()), ("a", pa.int32()), ("b", pa.int32())])
-_KINDS = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(_SUBTREE)]
+PARSED = "page_id long, url string, page_key long, host string, main long, blocks array<string>, subtrees array<struct<subtree:long,kind:int,a:int,b:int>>"
+_SUBTREE = pa.struct([("subtree", pa.int64()), ("kind", pa.int32()), ("a", pa.int32()), ("b", pa.int32())])
+_RESULT_KINDS = [pa.int64(), pa.string(), pa.string(), pa.int64()]
+_PARSED_KINDS = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(_SUBTREE)]
 
 
 def _batch(rows: list[tuple], schema: str, kinds: list) -> pa.RecordBatch:
@@ -220,54 +227,68 @@ def _batch(rows: list[tuple], schema: str, kinds: list) -> pa.RecordBatch:
 
 
 def parse_pages(rows: DataFrame) -> DataFrame:
-    """Every page parsed once, as PARSED: its text if no subtree is deletable, else its blocks and subtrees."""
+    """Every page parsed once, as PARSED: blocks and subtrees of its roots; main is null if there is no text."""
 
     def run(batches):
         for batch in batches:
             out = []
             for page_id, url, source, key in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 page = Page(source or "")
-                if not page.subtrees:
-                    text = page.main_text()
-                    out.append((page_id, url, text, len(text), key, None, None, None, None))
-                    continue
-                covered = {i for _, a, b in page.subtrees for i in range(a, b)}
+                covered = {i for _, kind, a, b in page.subtrees if kind == FREE for i in range(a, b)}
                 rest = "\n".join(x for i, x in enumerate(page.blocks) if i not in covered) or page.main_text()
                 blocks, subtrees = page.rooted()
-                out.append((page_id, url, None, None, key, host(url), xxhash.xxh64_intdigest(rest) >> 1, blocks, [{"subtree": d, "a": a, "b": b} for d, a, b in subtrees]))
-            yield _batch(out, PARSED, _KINDS)
+                main = xxhash.xxh64_intdigest(rest) >> 1 if blocks else None
+                out.append((page_id, url, key, host(url), main, blocks, [{"subtree": d, "kind": kind, "a": a, "b": b} for d, kind, a, b in subtrees]))
+            yield _batch(out, PARSED, _PARSED_KINDS)
 
     return rows.select("page_id", "url", "html", F.xxhash64("page_id", "url", "html")).mapInArrow(run, PARSED)
 
 
-def extract_main_text(pages: DataFrame, min_pages: int = 5) -> DataFrame:
+def cleaned_blocks(blocks: list[str], subtrees: list[dict], templates: list[dict] | None) -> list[str]:
+    """The blocks without those of templates; content that makes up most of the rest stays."""
+    if not templates:
+        return blocks
+    found = {(t["subtree"], t["kind"]) for t in templates}
+    doomed = [x for x in subtrees if (x["subtree"], x["kind"]) in found]
+    free = {i for x in doomed if x["kind"] == FREE for i in range(x["a"], x["b"])}
+    content = {i for x in doomed if x["kind"] != FREE for i in range(x["a"], x["b"])} - free
+    chars = sum(len(x) for i, x in enumerate(blocks) if i not in free)
+    if 2 * sum(len(blocks[i]) for i in content) <= chars:
+        free |= content
+    return [x for i, x in enumerate(blocks) if i not in free]
+
+
+def extract_main_text(pages: DataFrame, min_pages: int = 5, single_pages: int = 20, share: float = 0.5) -> DataFrame:
     """page_id, url, text and n_chars of every row of pages.
 
     A subtree is a template if it recurs on ``min_pages`` pages or more of its host whose
-    main texts differ; copies of one page count once.  A null or empty html gives an empty
+    main texts differ; copies of one page count once.  Inside an article or main, a whole
+    list, table or figure must also be on ``share`` of the host's pages, and a paragraph,
+    heading, list item or the like on ``single_pages`` pages besides; a page whose text is
+    mostly such templates keeps them.  A null or empty html gives an empty
     text.  A null url is a host of its own.  Unclosed and stray tags are repaired as far
     as block structure needs; text outside any element counts as body text.  Repeated rows
     all come back; extra columns are not read; an empty table gives an empty result.
 
-    Pages are parsed once and held in the shared folder; only those with deletable
-    subtrees are shuffled to meet the templates of their host.
+    Pages are parsed once and held in the shared folder; templates, and the pages that hold
+    some, are held likewise, so that both are sent to the pages while they are few.
     """
     parsed = materialize(parse_pages(pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))))
-    open_pages = parsed.where("subtrees is not null")
-    listed = open_pages.select("page_key", "host", "main", F.explode("subtrees.subtree").alias("subtree"))
-    counted = listed.select("host", "subtree", "main").distinct().groupBy("host", "subtree").agg(F.count("*").alias("n"))
-    templates = counted.where(F.col("n") >= min_pages).select("host", "subtree")
-    doomed = listed.select("page_key", "host", "subtree").join(templates, ["host", "subtree"]).groupBy("page_key").agg(F.collect_set("subtree").alias("templates"))
+    listed = parsed.where("main is not null").select("page_key", "host", "main", F.explode("subtrees").alias("s")).select("page_key", "host", "main", "s.subtree", "s.kind")
+    keys = ["host", "subtree", "kind"]
+    counted = listed.select(*keys, "main").distinct().groupBy(*keys).agg(F.count("*").alias("n"))
+    often = counted.where(F.col("n") >= F.when(F.col("kind") == SINGLE, max(single_pages, min_pages)).otherwise(min_pages))
+    hosts = parsed.where("main is not null").select("host", "main").distinct().groupBy("host").agg(F.count("*").alias("mains"))
+    templates = materialize(often.join(hosts, "host").where((F.col("kind") == FREE) | (F.col("n") >= share * F.col("mains"))).select(*keys))
+    doomed = materialize(listed.join(templates, keys).groupBy("page_key").agg(F.collect_set(F.struct("subtree", "kind")).alias("templates")))
 
     def cleaned(batches):
         for batch in batches:
             out = []
-            for page_id, url, blocks, subtrees, templates in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                gone = {i for x in subtrees if x["subtree"] in (templates or ()) for i in range(x["a"], x["b"])}
-                text = "\n\n".join(x for i, x in enumerate(blocks) if i not in gone)
+            for page_id, url, *page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                text = "\n\n".join(cleaned_blocks(*page))
                 out.append((page_id, url, text, len(text)))
-            yield _batch(out, RESULT, _KINDS[:4])
+            yield _batch(out, RESULT, _RESULT_KINDS)
 
-    names = ["page_id", "url", "text", "n_chars"]
-    held = open_pages.join(doomed, "page_key", "left").select("page_id", "url", "blocks", "subtrees", "templates")
-    return parsed.where("subtrees is null").select(*names).unionByName(held.mapInArrow(cleaned, RESULT))
+    held = parsed.join(doomed, "page_key", "left").select("page_id", "url", "blocks", "subtrees", "templates")
+    return held.mapInArrow(cleaned, RESULT)

@@ -240,6 +240,24 @@ def test_html_templates(spark):
     assert html_extract.extract_main_text(df.limit(0)).count() == 0
 
 
+def test_html_templates_of_content_tags(spark):
+    body = lambda i: f"<h2>Title {i}</h2><p>{f'word{i} ' * 12}</p>"
+    notes = "<h3>About us</h3><p>Read our other pages</p><ul><li>one</li><li>two</li></ul>"
+    rows = [(i, "http://big.x/", f"<article>{body(i)}{notes}{'<p>quoted</p>' if i % 3 == 0 else ''}</article>") for i in range(30)]
+    rows += [(100 + i, "http://small.x/", f"<main>{body(i)}{notes}</main>") for i in range(6)]
+    rows += [(200 + i, "http://few.x/", f"<article>{body(i)}{notes if i < 6 else ''}</article>") for i in range(15)]
+    copy = "".join(f"<p>paragraph {k} of the copied page</p>" for k in range(5))
+    rows += [(300 + i, "http://copies.x/", f"<article>{copy}<p>{i} views</p></article>") for i in range(25)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r["page_id"]: r["text"].split("\n\n") for r in html_extract.extract_main_text(df).collect()}
+    own = lambda i: [f"Title {i}", " ".join([f"word{i}"] * 12)]
+    about = ["About us", "Read our other pages"]
+    assert all(got[i] == own(i) + ["quoted"] * (i % 3 == 0) for i in range(30))
+    assert all(got[100 + i] == own(i) + about for i in range(6))
+    assert all(got[200 + i] == own(i) + (about + ["one", "two"]) * (i < 6) for i in range(15))
+    assert all(got[300 + i] == [f"paragraph {k} of the copied page" for k in range(5)] + [f"{i} views"] for i in range(25))
+
+
 @settings(deadline=None)
 @given(st.text(alphabet="<>/pbdiv \"'=&;!-a", max_size=80))
 def test_html_never_fails(source):
