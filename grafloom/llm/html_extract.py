@@ -1,8 +1,9 @@
 """Main text of web pages, with site templates found by counting subtrees.
 
 A page is parsed into blocks.  Elements that are never article text (menus, headers,
-footers, sidebars, forms, scripts, adverts and notices by their roles and classes, reader
-comments) yield none.  Of the block elements that could still reach the main text, each
+footers, sidebars, forms, scripts, adverts and notices by their roles and by whole names of
+their classes, reader comments) yield none, but no name drops an article or what holds the
+page's article or main.  Of the block elements that could still reach the main text, each
 subtree is hashed with its tag and text; Spark counts, per host, over how many pages of
 different main text each hash recurs, and subtrees that recur are deleted.  Paragraphs,
 headings, lists and the like inside an article can also be quoted or copied: they must
@@ -33,7 +34,12 @@ GROUPS = frozenset("ul ol dl table figure".split())
 FREE, GROUP, SINGLE = range(3)
 ROOTS = frozenset("html body article main".split())
 CELLS = frozenset(("td", "th"))
-HINTS = frozenset("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription sidebar widget widgets menu nav navbar navigation breadcrumb breadcrumbs footer header masthead comment comments respond disqus share sharing social related recommended pagination pager toolbar login search".split())
+#: Class and id names of what is never article text; words that are also topics or layouts only as the sole name.
+NAMES = frozenset("ad ads adv advert adverts advertisement banner sponsor sponsored promo cookie popup modal overlay newsletter subscribe sidebar widget widgets navbar nav navigation breadcrumb breadcrumbs footer masthead comment comments respond disqus recommended pagination pager toolbar main-menu main-nav main-navigation nav-menu post-navigation posts-navigation page-navigation entry-comments ad-container ad-wrapper disqus-thread".split())
+SOLE = frozenset("advertising alert consent cookies gdpr header login menu notice notices promotion related search share sharing social subscription".split())
+#: Known combinations: a subject and a part of a page (cookie-notice), or a place and a part (site-header).
+_SUBJECT = "ads?|adv|adverts?|advertisement|advertising|banner|sponsor|sponsored|promo|cookies?|consent|gdpr|popup|modal|overlay|newsletter|subscribe|subscription|sidebar|widgets?|nav|breadcrumbs?|footer|comments?|disqus|share|sharing|social|related|recommended|login|search"
+_COMBINED = re.compile(rf"(?:{_SUBJECT})(?:-(?:{_SUBJECT}|media))?-(?:box|bar|banner|block|list|links?|buttons?|icons|form|section|area|unit|slot|notice|popup|modal|overlay|message|posts|articles|stories|menu|nav|navigation|signup|sidebar|widgets?|share|sharing|consent|respond)|(?:site|global|top|bottom|left|right|primary|secondary)-(?:header|footer|nav|navbar|navigation|menu|sidebar|banner|ads?|toolbar)")
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar alertdialog".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S)
 _ATTR = re.compile(r"([^\s=/\"'<>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|([^\s=/\"'<>]+)")
@@ -43,10 +49,11 @@ _SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}),
 
 
 class _Element:
-    __slots__ = ("deletable", "dropped", "in_root", "parts", "start", "tag")
+    __slots__ = ("dropped", "in_root", "parts", "roots", "start", "tag", "undo")
 
-    def __init__(self, tag, dropped, in_root, start):
-        self.tag, self.dropped, self.in_root, self.start, self.parts = tag, dropped, in_root, start, []
+    def __init__(self, tag, dropped, in_root, start, roots):
+        self.tag, self.dropped, self.in_root, self.start, self.roots, self.parts = tag, dropped, in_root, start, roots, []
+        self.undo = None  # state at the start, if the name says that this is no article text
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -61,10 +68,22 @@ def _dropped(tag: str, attrs: str, in_root: bool) -> bool:
     a = _attributes(attrs)
     if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", a.get("style", "")):
         return tag not in ROOTS
-    if a.get("role", "").lower() in ROLES:
-        return True
-    names = re.split(r"[\s_\-:]+", f"{a.get('class', '')} {a.get('id', '')}".lower())
-    return tag not in ("html", "body", "main") and not HINTS.isdisjoint(names)
+    return a.get("role", "").lower() in ROLES
+
+
+def _named(tag: str, attrs: str, in_root: bool) -> bool:
+    """Whether a class or the id is a whole name of what is never article text."""
+    if "=" not in attrs or tag in ROOTS:
+        return False
+    a = _attributes(attrs)
+    for value in (a.get("class", ""), a.get("id", "")):
+        names = [re.sub(r"[-_]+", "-", x) for x in value.lower().split()]
+        for x in names:
+            if x in ("header", "masthead") and in_root:
+                continue
+            if x in NAMES or x in SOLE and len(names) == 1 or _COMBINED.fullmatch(x):
+                return True
+    return False
 
 
 class Page:
@@ -74,10 +93,13 @@ class Page:
         self.blocks: list[str] = []
         self.articles: list[tuple[int, int]] = []
         self.mains: list[tuple[int, int]] = []
+        self._doubtful: list[tuple[int, int]] = []  # articles inside an element dropped by its name
         self.subtrees: list[tuple[int, int, int, int]] = []  # hash, kind, first block, end
         self._stack: list[_Element] = []
         self._text: list[str] = []
         self._parse(source)
+        if not self.articles and not self.mains:
+            self.articles = self._doubtful
         if self.articles or self.mains:  # subtrees outside cannot reach the main text
             roots = self.articles or self.mains
             self.subtrees = [s for s in self.subtrees if any(a <= s[2] and s[3] <= b for a, b in roots)]
@@ -89,8 +111,25 @@ class Page:
             if block:
                 self.blocks.append(block)
 
+    def _roots(self) -> int:
+        return len(self.articles) + len(self.mains) + len(self._doubtful)
+
+    def _named_end(self, e: _Element) -> bool:
+        """Take back all that is inside e, unless it holds a root; the articles it holds count if the page has no other root."""
+        blocks, text, subtrees, articles, mains = e.undo
+        if len(self.mains) == mains:
+            self._doubtful += self.articles[articles:]
+            del self.articles[articles:]
+            if self._roots() == e.roots:
+                del self.blocks[blocks:], self.subtrees[subtrees:]
+                self._text = text
+                return True
+        return False
+
     def _close(self) -> None:
         e = self._stack.pop()
+        if e.undo and self._named_end(e):
+            return
         block = e.tag in BLOCKS
         if block and not e.dropped:
             self._flush() if e.tag not in CELLS else self._text.append(" ")
@@ -107,7 +146,7 @@ class Page:
             self.articles.append((e.start, end))
         elif e.tag == "main":
             self.mains.append((e.start, end))
-        elif end > e.start and e.tag not in ROOTS and e.tag not in CELLS:
+        elif end > e.start and e.tag not in ROOTS and e.tag not in CELLS and self._roots() == e.roots:
             kind = FREE if not e.in_root or e.tag not in CONTENT else GROUP if e.tag in GROUPS else SINGLE
             self.subtrees.append((digest - (1 << 64) if digest >> 63 else digest, kind, e.start, end))
 
@@ -128,7 +167,9 @@ class Page:
             if tag == "br" and not dropped:
                 self._text.append(" ")
             return
-        e = _Element(tag, dropped, in_root, len(self.blocks))
+        e = _Element(tag, dropped, in_root, len(self.blocks), self._roots())
+        if not dropped and _named(tag, attrs, bool(in_root)):
+            e.undo = len(self.blocks), self._text.copy(), len(self.subtrees), len(self.articles), len(self.mains)
         stack.append(e)
 
     def _end_until(self, tags, barriers, stop_at_block: bool = False) -> None:

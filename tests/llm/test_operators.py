@@ -227,6 +227,36 @@ def test_html_rules():
     assert text == "Head line & more\n\nOne bold text next\n\nTwo <x> é\n\na\n\nb\n\n1 2\n\n3"
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<article class="post category-social">%s</article>',
+        '<article class="post comments-open">%s</article>',
+        '<article class="sidebar" id="search">%s</article>',
+        '<body class="search"><div class="has-sidebar"><article>%s</article></div></body>',
+        '<div class="sidebar"><article>%s</article></div>',
+        '<div class="widget"><div id="sidebar"><main class="login">%s</main></div></div>',
+        '<div class="sidebar"><main><div class="modal"><article>%s</article></div></main></div>',
+        '<article><div class="search-results-explained">%s</div><div class="note-alert">end</div></article>',
+        '<article><div class="header">%s</div></article>',
+        '<div class="related-posts"><article>teaser</article></div><article>%s</article><div id="comments"><article>me too</article></div>',
+        '<main>%s</main><div class="sidebar"><article>teaser</article></div>',
+        '<article>%s<div id="comments"><article class="comment">me too</article></div></article>',
+        '<article>%s<div>a <span class="ad">buy<div>now</div></span></div></article>',
+        '<article>%s<div class="cookie_notice">x</div><div class="social-share-buttons">y</div><div class="share">z</div><ul class="site-nav"><li>n</ul></article>',
+    ],
+)
+def test_html_names_never_drop_the_article(page):
+    text = html_extract.Page(page % "<h1>Title</h1><p>text</p>").main_text()
+    assert text.startswith("Title\n\ntext") and text[11:] in ("", "\n\nend" * ("note-alert" in page), "\n\na" * ("class=\"ad\"" in page))
+
+
+def test_html_copies_in_a_wrapper(spark):
+    rows = [(i, "http://w.x/", f'<body><p>{i}</p><div class="sidebar"><article><p>copied text</p></article></div></body>') for i in range(9)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert [r["text"] for r in html_extract.extract_main_text(df).collect()] == ["copied text"] * 9
+
+
 def test_html_templates(spark):
     rows = [(i, f"http://h{i % 2}.x/{i}", f"<article><p>body {i // 2}</p><div><span>Subscribe now</span></div><p>shared</p></article>") for i in range(20)]
     rows += [(100, "http://h2.x/", "<article><p>only</p><div>Subscribe now</div></article>"), (101, None, None), (102, "u", ""), (103, "u", "bare <i>te</i>xt"), (None, None, "<p>a<p>b")]
