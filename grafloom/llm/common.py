@@ -32,7 +32,24 @@ def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage: write to the shared folder and read back; survives lost executors."""
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    held = df.sparkSession.read.schema(df.schema).parquet(path)
+    held.shared_path = path
+    return held
+
+
+def discard(held: DataFrame) -> None:
+    """Delete the files of a materialised table; nothing that still runs may read it."""
+    jvm = held.sparkSession._jvm
+    path = jvm.org.apache.hadoop.fs.Path(held.shared_path)
+    path.getFileSystem(held.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def fresh(taken: Iterable[str], name: str) -> str:
+    """A column name that none of the taken ones equals, whatever their case."""
+    low = {x.lower() for x in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

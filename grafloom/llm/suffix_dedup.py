@@ -2,9 +2,9 @@
 
 Every window of ``width`` bytes has a key that its copies share: the hash of its
 minimizer, the least of its 32-byte grams.  Neighbouring windows with one minimizer form a
-segment.  Only hashes are shuffled at first:
+segment.  Only hashes are shuffled at first, one row for each distinct segment of a task:
 
-* a segment that occurs twice as a whole is removed wherever it is;
+* a segment that occurs twice as a whole (128-bit hash of its bytes) repeats throughout;
 * a key under which different segments occur is contested: one copy of each such segment
   is cut from its text, and the segments of a key are brought together and suffix sorted.
 
@@ -12,11 +12,11 @@ The sort is in two stages.  Suffixes that are smaller than their successors are
 directly; all others are induced by scanning the buckets of their first bytes in order.
 Common prefixes of neighbours in that order then tell which windows repeat.
 
-A key with more than ``hot`` contested segments is not brought together: its windows are
-counted by hash (128 bits with the key), with partial aggregation only, so no group meets in
-one task.  Windows at like distances from the minimizer are first taken in classes: a class
-whose common core is unique holds no repeat, one that occurs twice as a whole is removed,
-and only the rest is cut finer.
+A key under which more than ``hot`` different segments occur would be one large group.  Its
+windows are dealt out by a longer key: windows at like distances from the minimizer are
+taken in classes, and the class's key is the core that they all hold.  The same two rules
+hold for the classes of a core, and the sort gets cores of at most ``hot`` different
+classes; what is over is cut finer.  A class of one window is its own core, so this ends.
 """
 
 from __future__ import annotations
@@ -29,13 +29,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Powers, materialize, merge_intervals, minimizers, mix64, row_key, runs, slices, sorted_groups, utf8, window_hashes
+from .common import Powers, discard, fresh, materialize, merge_intervals, minimizers, row_key, runs, slices, sorted_groups, utf8, window_hashes
 
 GRAM = 32
 PIECE = 1 << 21
 BLOCK = 1 << 21
+#: Segments that a task gathers before it sends one row for each distinct one.
+GATHER = 50_000
 _Q = 0x9E3779B97F4A7C15
 CLASSES = (64, 8, 1)
+#: Place of a null doc_id among documents: the last.
+_LAST = (1 << 63) - 1
 
 
 def two_stage_order(text: np.ndarray, want: np.ndarray, depth: int) -> np.ndarray:
@@ -106,10 +110,13 @@ def adjacent_prefixes(text: np.ndarray, order: np.ndarray, limit: int) -> np.nda
     return out
 
 
-def repeated_starts(segments: list[bytes], width: int) -> list[np.ndarray]:
-    """For each segment, the starts of its windows that occur elsewhere among the segments."""
-    data = b"".join(segments)
-    text = np.frombuffer(data, np.uint8)
+def repeated_windows(segments: list[bytes], width: int, places: np.ndarray | None = None) -> list[np.ndarray]:
+    """For each segment, the starts of its windows that occur elsewhere among the segments.
+
+    With ``places`` (an integer for each byte of all segments, in their order) only those
+    that occur at a smaller place.
+    """
+    text = np.frombuffer(b"".join(segments), np.uint8)
     lengths = np.fromiter(map(len, segments), np.int64, len(segments))
     first = np.cumsum(lengths) - lengths
     want = np.zeros(len(text), bool)
@@ -118,142 +125,192 @@ def repeated_starts(segments: list[bytes], width: int) -> list[np.ndarray]:
     order = two_stage_order(text, want, width)
     same = adjacent_prefixes(text, order, width) >= width
     hit = np.zeros(len(text), bool)
-    hit[order[1:][same]] = True
-    hit[order[:-1][same]] = True
+    if places is None:
+        hit[order[1:][same]] = True
+        hit[order[:-1][same]] = True
+    elif len(order):
+        heads = np.flatnonzero(np.concatenate([[True], ~same]))
+        own = places[order]
+        least = np.repeat(np.minimum.reduceat(own, heads), np.diff(np.append(heads, len(order))))
+        hit[order[own != least]] = True
     return [np.flatnonzero(hit[s : s + n]) for s, n in zip(first.tolist(), lengths.tolist(), strict=True)]
 
 
-ANCHOR = "h long, g long, uid long, s int, n int, p int"
-CLASSED = "h long, cls int, w long, v long, x long, y long, uid long, s int, n int, p int, data binary"
+ANCHOR = "h long, g long, k long, n int, p int, c long, doc long, uid long, s int, more array<struct<doc:long,uid:long,s:int>>"
+PLACE = pa.struct([("doc", pa.int64()), ("uid", pa.int64()), ("s", pa.int32())])
+PART = "a long, b long, g long, k long, doc long, uid long, s int, n int, p int, data binary"
+_PART_KINDS = [*[pa.int64()] * 6, *[pa.int32()] * 3, pa.binary()]
+SPAN = "uid long, s int, e int"
+
+
+def _batch(rows: list[tuple], schema: str, kinds: list) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
+
+
+def _signed(digest: int) -> tuple[int, int]:
+    return tuple(x - (1 << 64) if x >> 63 else x for x in (digest >> 64, digest & (1 << 64) - 1))
 
 
 def anchors(keyed: DataFrame, width: int) -> DataFrame:
-    """Segments of every text: key h, hash g of the whole segment, row key, first window, windows, minimizer's place."""
+    """Segments of every text, one row for each distinct one of a stretch of a task.
+
+    h: key; g, k: hash of the segment's bytes; n: windows; p: the minimizer's place; c: how
+    often; doc, uid, s: its first place, and more: all others.
+    """
     span = width - GRAM + 1
 
+    def gathered(cols):
+        h, g, k, d, u, s, n, p = map(np.concatenate, cols)
+        order = np.lexsort((s, u, d, k, g))
+        h, g, k, d, u, s, n, p = (x[order] for x in (h, g, k, d, u, s, n, p))
+        lead = np.concatenate([[True], (g[1:] != g[:-1]) | (k[1:] != k[:-1])])
+        at = np.flatnonzero(lead)
+        count = np.diff(np.append(at, len(h)))
+        more = pa.StructArray.from_arrays([pa.array(x[~lead]) for x in (d, u, s)], fields=list(PLACE))
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count - 1)]).astype(np.int32)), more)
+        return pa.RecordBatch.from_arrays([*(pa.array(x[at]) for x in (h, g, k, n, p)), pa.array(count), *(pa.array(x[at]) for x in (d, u, s)), lists], names=[x.split()[0] for x in ANCHOR.split(", ")])
+
     def run(batches):
-        powers = Powers(_Q)
+        powers, digest = Powers(_Q), xxhash.xxh3_128_digest
+        cols, held = [[] for _ in range(8)], 0
         for big in batches:
             for batch in slices(big, "text"):
-                uids = batch.column(0).to_numpy()
-                raw, offsets = utf8(batch.column(1))
-                cols = [[], [], [], [], [], []]
-                for row, uid in enumerate(uids.tolist()):
+                docs, uids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                raw, offsets = utf8(batch.column(2))
+                for row, (doc, uid) in enumerate(zip(docs.tolist(), uids.tolist(), strict=True)):
                     for base in range(int(offsets[row]), int(offsets[row + 1]) - width + 1, PIECE):
-                        piece = raw[base : min(base + PIECE + width - 1, int(offsets[row + 1]))].astype(np.uint64) + np.uint64(1)
-                        grams = window_hashes(piece, GRAM, powers)
+                        piece = raw[base : min(base + PIECE + width - 1, int(offsets[row + 1]))]
+                        grams = window_hashes(piece.astype(np.uint64) + np.uint64(1), GRAM, powers)
                         at = minimizers(grams, span)
                         first, last = runs(at)
-                        up, down = powers.upto(len(piece))
-                        total = np.zeros(len(piece) + 1, np.uint64)
-                        np.cumsum(piece * up, out=total[1:], dtype=np.uint64)
-                        whole = mix64((total[last + width] - total[first]) * down[first] + ((last - first).astype(np.uint64) << np.uint64(32)) + (at[first] - first).astype(np.uint64))
-                        cols[0].append(grams[at[first]])
-                        cols[1].append(whole)
-                        cols[2].append(np.full(len(first), uid, np.int64))
-                        cols[3].append((first + base - int(offsets[row])).astype(np.int32))
-                        cols[4].append((last - first + 1).astype(np.int32))
-                        cols[5].append((at[first] - first).astype(np.int32))
-                if cols[0]:
-                    h, g, u, s, n, p = map(np.concatenate, cols)
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(g.view(np.int64)), pa.array(u), pa.array(s), pa.array(n), pa.array(p)], names=["h", "g", "uid", "s", "n", "p"])
-
-    return keyed.select("uid", "text").mapInArrow(run, ANCHOR)
-
-
-def _shared_cores(segments: DataFrame, width: int, size: int) -> tuple[DataFrame, DataFrame]:
-    """Segments of one key, cut into classes of ``size`` windows: (uid, s, e) of classes that occur twice, and segments left open.
-
-    A class is the windows that start ``size * cls`` to ``size * (cls + 1) - 1`` bytes before
-    the minimizer; its core is what they all hold.  Equal windows have equal cores, so a
-    class with a unique core holds no repeat.  A class that occurs twice as a whole is
-    repeated throughout.  One copy of each class that shares its core with a different one
-    is left open.
-    """
+                        view = piece.tobytes()
+                        whole = np.frombuffer(b"".join([digest(view[a:b]) for a, b in zip(first.tolist(), (last + width).tolist(), strict=True)]), np.int64).reshape(-1, 2)
+                        found = (grams[at[first]].view(np.int64), whole[:, 0], whole[:, 1], np.full(len(first), doc, np.int64), np.full(len(first), uid, np.int64), (first + base - int(offsets[row])).astype(np.int32), (last - first + 1).astype(np.int32), (at[first] - first).astype(np.int32))
+                        for into, x in zip(cols, found, strict=True):
+                            into.append(x)
+                        held += len(first)
+                if held >= GATHER:
+                    yield gathered(cols)
+                    cols, held = [[] for _ in range(8)], 0
+        if held:
+            yield gathered(cols)
 
-    def signed(digest: int) -> tuple[int, int]:
-        return tuple(x - (1 << 64) if x >> 63 else x for x in (digest >> 64, digest & (1 << 64) - 1))
+    return keyed.select("doc", "uid", "text").mapInArrow(run, ANCHOR)
 
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for h, uid, s, n, p, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for cls in range((p - n + 1) // size, p // size + 1):
-                    a, b = max(0, p - size * cls - size + 1), min(n - 1, p - size * cls)
-                    core = xxhash.xxh3_128_intdigest(data[p - size * cls : p - size * cls - size + 1 + width])
-                    all_ = xxhash.xxh3_128_intdigest(data[a : b + width] + (b - a).to_bytes(4, "big") + (p - a + size).to_bytes(4, "big"))
-                    rows.append((h, cls, *signed(core), *signed(all_), uid, s + a, b - a + 1, p - a, data[a : b + width]))
-            kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 5, *[pa.int32()] * 3, pa.binary()]
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 11
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in CLASSED.split(", ")])
-
-    core, whole = ["h", "cls", "w", "v"], ["h", "cls", "w", "v", "x", "y"]
-    classes = materialize(segments.mapInArrow(run, CLASSED))
-    wholes = classes.groupBy(*whole).agg(F.min(F.struct("uid", "s")).alias("a"), F.max(F.struct("uid", "s")).alias("b"))
-    shared = wholes.groupBy(*core).agg(F.min("a").alias("least"), F.max("b").alias("most"), (F.count("*") > 1).alias("differ")).where("least != most").select(*core, "differ")
-    judged = wholes.select(*whole, "a", F.expr("a != b").alias("twice")).join(shared, core)
-    still = F.col("differ") & (F.struct("uid", "s") == F.col("a"))  # one copy of each whole stays open
-    found = materialize(classes.join(judged, whole).select("h", "uid", "s", "n", "p", "twice", F.when(still, F.col("data")).alias("data")))
-    spans = found.where("twice").select("uid", "s", (F.col("s") + F.col("n") - 1 + width).alias("e"))
-    return spans, found.where("data is not null").select("h", "uid", "s", "n", "p", "data")
-
-
-def repeated_spans(keyed: DataFrame, width: int, hot: int) -> DataFrame:
-    """(uid, s, e): byte ranges covered by windows that start twice or more; ranges may overlap."""
-    found = materialize(anchors(keyed, width))
-    kinds = materialize(found.groupBy("h", "g").agg(F.count("*").alias("c"), F.min(F.struct("uid", "s", "n", "p")).alias("first")))
-    keys = kinds.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    whole = found.join(kinds.where("c > 1").select("h", "g"), ["h", "g"]).select("uid", "s", (F.col("s") + F.col("n") - 1 + width).alias("e"))
 
-    part = F.struct("h", F.col("first.s").alias("s"), F.col("first.n").alias("n"), F.col("first.p").alias("p"), (F.col("kinds") > hot).alias("hot"))
-    contested = kinds.join(keys, "h").select(F.col("first.uid").alias("uid"), part.alias("part")).groupBy("uid").agg(F.collect_list("part").alias("parts"))
+def _classes(parts: DataFrame, width: int, size: int) -> DataFrame:
+    """Segments cut into classes of ``size`` windows, under the hash of the class's core.
 
-    def cut(batches):
-        for big in batches:
-            for batch in slices(big, "text"):
-                rows = []
-                for uid, text, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                    rows += [(x["h"], uid, x["s"], x["n"], x["p"], x["hot"], text[x["s"] : x["s"] + x["n"] - 1 + width]) for x in parts]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [[]] * 7, [pa.int64()] * 2 + [pa.int32()] * 3 + [pa.bool_(), pa.binary()], strict=True)], names=["h", "uid", "s", "n", "p", "hot", "data"])
+    A class is the windows that start ``size * c`` to ``size * (c + 1) - 1`` bytes before
+    the minimizer; its core is what they all hold.  Equal windows have equal cores.
+    """
 
-    text = keyed.select("uid", F.col("text").cast("binary").alias("text"))
-    cuts = materialize(text.join(contested, "uid").select("uid", "text", "parts").mapInArrow(cut, "h long, uid long, s int, n int, p int, hot boolean, data binary"))
-
-    def sort(batches):
-        def emit(rows):
-            uid, s, e = [], [], []
-            starts = repeated_starts([r[2] for r in rows], width)
-            for (u, base, _), hits in zip(rows, starts, strict=True):
-                a, b = runs(hits - np.arange(len(hits)))
-                for x, y in zip(hits[a].tolist(), hits[b].tolist(), strict=True):
-                    uid.append(u)
-                    s.append(base + x)
-                    e.append(base + y + width)
-            return pa.RecordBatch.from_arrays([pa.array(uid, pa.int64()), pa.array(s, pa.int32()), pa.array(e, pa.int32())], names=["uid", "s", "e"])
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for _, _, _, _, doc, uid, s, n, p, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for c in range((p - n + 1) // size, p // size + 1):
+                    a, b = max(0, p - size * c - size + 1), min(n - 1, p - size * c)
+                    core = xxhash.xxh3_128_intdigest(c.to_bytes(4, "big") + data[p - size * c : p - size * c - size + 1 + width])
+                    whole = xxhash.xxh3_128_intdigest((p - a).to_bytes(4, "big") + data[a : b + width])
+                    rows.append((*_signed(core), *_signed(whole), doc, uid, s + a, b - a + 1, p - a, data[a : b + width]))
+            yield _batch(rows, PART, _PART_KINDS)
+
+    return parts.mapInArrow(run, PART)
+
+
+def _sorted_spans(parts: DataFrame, width: int, first_stays: bool) -> DataFrame:
+    """(uid, s, e) of windows that repeat among the different segments of a key, by their suffix order."""
+
+    def emit(rows):
+        out = []
+        places = None
+        if first_stays:
+            rank = {x: r for r, x in enumerate(sorted({r[:2] for r in rows}))}
+            places = np.concatenate([(rank[r[:2]] << 32) + r[2] + np.arange(len(r[3])) for r in rows])
+        for (_, uid, base, _), hits in zip(rows, repeated_windows([r[3] for r in rows], width, places), strict=True):
+            a, b = runs(hits - np.arange(len(hits)))
+            out += [(uid, base + x, base + y + width) for x, y in zip(hits[a].tolist(), hits[b].tolist(), strict=True)]
+        return _batch(out, SPAN, [pa.int64(), pa.int32(), pa.int32()])
 
+    def run(batches):
         held, size = [], 0
-        for table, starts in sorted_groups(batches, 1):
-            uids, at, data = table.column("uid").to_pylist(), table.column("s").to_pylist(), table.column("data").to_pylist()
-            for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-                rows = list({(uids[i], at[i]): (uids[i], at[i], data[i]) for i in range(a, b)}.values())
-                if len(rows) > 1:
-                    held += rows
-                    size += sum(len(r[2]) for r in rows)
+        for table, starts in sorted_groups(batches, 2):
+            doc, uid, at, data = (table.column(c).to_pylist() for c in ("doc", "uid", "s", "data"))
+            for i, j in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                if j - i > 1:
+                    held += zip(doc[i:j], uid[i:j], at[i:j], data[i:j], strict=True)
+                    size += sum(map(len, data[i:j]))
                 if size >= BLOCK:
                     yield emit(held)
                     held, size = [], 0
         if held:
             yield emit(held)
 
-    cold = cuts.where("not hot").select("h", "uid", "s", "data").repartition("h").sortWithinPartitions("h").mapInArrow(sort, "uid long, s int, e int")
-    warm = cuts.where("hot").select("h", "uid", "s", "n", "p", "data")
-    spans = whole.unionByName(cold)
+    return parts.select("a", "b", "doc", "uid", "s", "data").repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(run, SPAN)
+
+
+def _texts_of(keyed: DataFrame, contested: DataFrame, width: int) -> DataFrame:
+    """PART and hot for (uid, struct of h, g, k, doc, s, n, p, hot): the segments with their bytes."""
+
+    def run(batches):
+        schema, kinds = PART + ", hot boolean", [*_PART_KINDS, pa.bool_()]
+        for big in batches:
+            for batch in slices(big, "text", 1_000_000):
+                rows = []
+                for uid, text, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    rows += [(x["h"], 0, x["g"], x["k"], x["doc"], uid, x["s"], x["n"], x["p"], text[x["s"] : x["s"] + x["n"] - 1 + width], x["hot"]) for x in parts]
+                yield _batch(rows, schema, kinds)
+
+    lists = contested.groupBy("uid").agg(F.collect_list("part").alias("parts"))
+    text = keyed.select("uid", F.col("text").cast("binary").alias("text"))
+    return text.join(lists, "uid").select("uid", "text", "parts").mapInArrow(run, PART + ", hot boolean")
+
+
+def repeated_spans(keyed: DataFrame, width: int, hot: int, first_stays: bool = False) -> DataFrame:
+    """(uid, s, e): byte ranges covered by windows that start twice or more; ranges may overlap.
+
+    keyed: doc, uid, text.  With ``first_stays`` the first place of each window, by doc,
+    uid and s, is left out.
+    """
+    found = materialize(anchors(keyed, width))
+    place = F.struct("doc", "uid", "s", "n", "p")
+    kinds = materialize(found.groupBy("h", "g", "k").agg(F.sum("c").alias("c"), F.min(place).alias("first")))
+    keys = kinds.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    places = F.concat(F.array(F.struct("doc", "uid", "s")), "more")
+    twice = kinds.where("c > 1").select("h", "g", "k", F.struct("first.doc", "first.uid", "first.s").alias("first"))
+    listed = found.join(twice, ["h", "g", "k"]).select("n", "first", F.explode(places).alias("x"))
+    if first_stays:
+        listed = listed.where("x != first")
+    whole = materialize(listed.select("x.uid", "x.s", (F.col("x.s") + F.col("n") - 1 + width).alias("e")))
+    discard(found)
+
+    part = F.struct("h", "g", "k", "first.doc", "first.s", "first.n", "first.p", (F.col("kinds") > hot).alias("hot"))
+    parts = materialize(_texts_of(keyed, kinds.join(keys, "h").select("first.uid", part.alias("part")), width))
+    discard(kinds)
+    spans = whole.unionByName(_sorted_spans(parts.where("not hot"), width, first_stays))
+    warm = parts.where("hot")
     for size in CLASSES:
-        twice, warm = _shared_cores(warm, width, min(size, max(width // 4, 1)))
-        spans = spans.unionByName(twice)
+        twice, cold, warm = _split(warm, width, min(size, max(width // 4, 1)), hot, first_stays)
+        spans = spans.unionByName(twice).unionByName(_sorted_spans(cold, width, first_stays))
     return spans
 
 
+def _split(parts: DataFrame, width: int, size: int, hot: int, first_stays: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Spans of classes that occur twice as a whole; one copy of each class of a core with different ones: at most ``hot`` of them, and more."""
+    core, whole = ["a", "b"], ["a", "b", "g", "k"]
+    classes = materialize(_classes(parts.select(*[x.split()[0] for x in PART.split(", ")]), width, size))
+    wholes = classes.groupBy(*whole).agg(F.count("*").alias("c"), F.min(F.struct("doc", "uid", "s")).alias("first"))
+    shared = wholes.groupBy(*core).agg(F.count("*").alias("kinds"), F.sum("c").alias("all")).where("all > 1")
+    judged = wholes.join(shared, core).where("c > 1 or kinds > 1").select(*whole, "c", "kinds", "first")
+    is_first = F.struct("doc", "uid", "s") == F.col("first")
+    found = materialize(classes.join(judged, whole).withColumn("is_first", is_first).withColumn("data", F.when(is_first & (F.col("kinds") > 1), F.col("data"))))
+    twice = found.where("c > 1 and not is_first" if first_stays else "c > 1").select("uid", "s", (F.col("s") + F.col("n") - 1 + width).alias("e"))
+    still = found.where("data is not null")
+    return twice, still.where(F.col("kinds") <= hot), still.where(F.col("kinds") > hot)
+
+
 def _without(keyed: DataFrame, spans: DataFrame, columns: list[str]) -> DataFrame:
     """Rows of keyed with their text as bytes and the list of their spans."""
     lists = spans.groupBy("uid").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
@@ -261,7 +318,8 @@ def _without(keyed: DataFrame, spans: DataFrame, columns: list[str]) -> DataFram
 
 
 def _keyed(docs: DataFrame, columns: list[str], text: Column) -> DataFrame:
-    return docs.select(row_key("doc_id", text).alias("uid"), *columns, text.alias("text"))
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
+    return docs.select(doc.alias("doc"), row_key("doc_id", text).alias("uid"), *columns, text.alias("text"))
 
 
 def _kept(text: bytes, spans) -> tuple[bytes, list[tuple[int, int]]]:
@@ -299,20 +357,30 @@ def suffix_dedup(docs: DataFrame, width: int = 400, hot: int = 1024) -> DataFram
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def cut_repeats(docs: DataFrame, width: int = 400, hot: int = 1024) -> DataFrame:
-    """docs with the repeated strings cut from text; characters that a cut splits go too."""
-    keyed = _keyed(docs, ["doc_id"], F.coalesce(F.col("text").cast("string"), F.lit("")))
-    spans = repeated_spans(keyed, width, hot)
-    lists = spans.groupBy("uid").agg(F.collect_list(F.struct("s", "e")).alias("__spans"))
-    uid = row_key("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")))
+def cut_repeats(docs: DataFrame, width: int = 400, hot: int = 1024, first_stays: bool = False) -> DataFrame:
+    """docs, with all its columns, with the repeated strings cut from text.
+
+    Cut is each byte covered by a string of ``width`` bytes that starts anywhere else in
+    the table too; with ``first_stays`` only where it also starts earlier (smaller doc_id,
+    nulls last, then the row's hash, then the place in the text), so that one copy of every
+    passage stays.  Judged on the input.  Characters that a cut splits go too.  A null text
+    stays null, an empty one empty; a text may become empty, its row stays.  A repeated row
+    (same id and text) is another place where its strings start, but is no earlier than its
+    like: with ``first_stays`` both are cut alike.  Columns of any name pass unchanged; an
+    empty table gives an empty result.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keyed = _keyed(docs, [], text)
     names = docs.columns
-    joined = docs.withColumn("__uid", uid).join(lists.withColumnRenamed("uid", "__uid"), "__uid", "left").select(*names, "__spans")
+    uid, spans = fresh(names, "uid"), fresh(names, "spans")
+    lists = repeated_spans(keyed, width, hot, first_stays).groupBy(F.col("uid").alias(uid)).agg(F.collect_list(F.struct("s", "e")).alias(spans))
+    joined = docs.withColumn(uid, row_key("doc_id", text)).join(lists, uid, "left").select(*names, spans)
     where = names.index("text")
 
     def run(batches):
         for batch in batches:
-            texts, spans = batch.column(where).to_pylist(), batch.column(len(names)).to_pylist()
-            out = [t if not x or t is None else _kept(t.encode(), x)[0].decode("utf-8", "ignore") for t, x in zip(texts, spans, strict=True)]
+            texts, found = batch.column(where).to_pylist(), batch.column(len(names)).to_pylist()
+            out = [t if not x or t is None else _kept(t.encode(), x)[0].decode("utf-8", "ignore") for t, x in zip(texts, found, strict=True)]
             cols = [*batch.columns[:where], pa.array(out, pa.string()), *batch.columns[where + 1 : len(names)]]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 

@@ -76,6 +76,25 @@ def byte_repeats(rows, width):
     return sorted(out, key=repr)
 
 
+def later_bytes(rows, width):
+    """(doc_id, text without the bytes of strings of width bytes that also start earlier); ids are unique where it counts."""
+    texts = [(d, t, (t or "").encode()) for d, t in rows]
+    order = lambda d, i: (d is None, d or 0, i)
+    first = {}
+    for d, _, t in texts:
+        for i in range(len(t) - width + 1):
+            key = t[i : i + width]
+            first[key] = min(first.get(key, order(d, i)), order(d, i))
+    out = []
+    for d, text, t in texts:
+        gone = bytearray(len(t))
+        for i in range(len(t) - width + 1):
+            if first[t[i : i + width]] < order(d, i):
+                gone[i : i + width] = b"\1" * width
+        out.append((d, None if text is None else bytes(c for c, g in zip(t, gone) if not g).decode("utf-8", "ignore")))
+    return sorted(out, key=repr)
+
+
 def word_repeats(rows, width):
     first = {}
     docs = [(d, WORD.findall(t or "")) for d, t in rows]
