@@ -11,6 +11,8 @@ from . import projection as P
 from .functions.text import find_pattern, slice_lines
 from .operators import intent, trace, upsert, vectors
 from .plans.traversal import trails_recursive
+from .samples import SAMPLES, Sample, expected
+from .sources.extract import extract
 from .sources.jsonl import discriminate, node_lines
 from .sources.markup import script_bodies
 
@@ -326,3 +328,27 @@ def graph_state(spark, sf_dir):
 @query(f"WITH {_G} SELECT label, id, count(*) AS n FROM (SELECT label, name AS id FROM nodes WHERE name IS NOT NULL) GROUP BY ALL HAVING count(*) > 1")
 def duplicate_keys(spark, sf_dir):
     return upsert.duplicate_ids(P.graph(spark, sf_dir).nodes.where("name is not null").selectExpr("label", "name as id"))
+
+
+def _found_sql(sample: Sample) -> str:
+    """What a reader of the language expects in the sample's files, one for each part."""
+    quoted = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'"
+    rows = ", ".join(f"({', '.join(map(quoted, x))})" for x in expected(sample))
+    return f"SELECT kind, label, replace(id, '{{k}}', p_partkey::VARCHAR) AS id, replace(target, '{{k}}', p_partkey::VARCHAR) AS target FROM part, (VALUES {rows}) v(kind, label, id, target)"
+
+
+def _files(spark: SparkSession, sf_dir: str, sample: Sample) -> DataFrame:
+    """The sample's file for every part: path and content."""
+    k = F.col("p_partkey").cast("string")
+    return P.table(spark, sf_dir, "part").select(F.replace(F.lit(sample.path), F.lit("{k}"), k).alias("path"), F.replace(F.lit(sample.text), F.lit("{k}"), k).cast("binary").alias("content"))
+
+
+for _n, _sample in SAMPLES.items():
+    query(_found_sql(_sample), f"extract_{_n}")(lambda spark, sf_dir, x=_sample: extract(_files(spark, sf_dir, x)).select("kind", "label", "id", F.col("dst").alias("target")))
+
+
+@query("""SELECT suffix, count(*) AS n FROM (SELECT CASE p_partkey % 4 WHEN 0 THEN '.java' WHEN 1 THEN '.vb' WHEN 2 THEN '.JAVA' ELSE '.txt' END AS suffix, p_partkey % 3 AS bad FROM part) WHERE suffix IN ('.java', '.vb') AND bad > 0 GROUP BY 1""")
+def extract_file(spark, sf_dir):
+    suffix = F.element_at(F.array(*map(F.lit, (".java", ".vb", ".JAVA", ".txt"))), (F.col("p_partkey") % 4 + 1).cast("int"))
+    files = P.table(spark, sf_dir, "part").select(F.concat(F.lit("f/x"), "p_partkey", suffix).alias("path"), F.when(F.col("p_partkey") % 3 > 0, F.lit("class A")).cast("binary").alias("content"))
+    return extract(files).where("label = 'File'").groupBy(F.regexp_extract("id", r"(\.[^.]*)$", 1).alias("suffix")).agg(F.count("*").alias("n"))

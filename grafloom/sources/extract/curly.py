@@ -32,8 +32,8 @@ class Member:
 class Reader:
     """Types and members of a token list."""
 
-    def __init__(self, source: str, kinds: frozenset[str]):
-        self.toks = tokens(source)
+    def __init__(self, source: str, kinds: frozenset[str], access: tuple[str, ...] = (".", "::")):
+        self.toks, self.access = tokens(source), access
         self.close = matches(self.toks)
         self.kinds = kinds
 
@@ -54,7 +54,10 @@ class Reader:
             j = self.close[j] + 1
         bases, clause = [], ""
         while j < end and t[j].text not in "{;":
-            if t[j].text in ("extends", "implements", ":", "permits", "where", "final"):
+            if t[j].text == "where":  # constraints name no bases
+                while j < end and t[j].text not in "{;":
+                    j += 1
+            elif t[j].text in ("extends", "implements", ":", "permits", "final"):
                 clause = t[j].text
                 j += 1
             elif t[j].word and t[j].text not in ("public", "private", "protected", "virtual"):
@@ -191,15 +194,11 @@ class Reader:
             j = skip_generic(t, i + 1) if self.text(i + 1) == "<" else i + 1
             if self.text(j) != "(" or t[i].text in NO_CALL or before == "new":
                 continue
-            if before in (".", "->", "::"):
+            if before in self.access:
                 head = i - 2
-                single = head >= start and t[head].word and self.text(head - 1) not in (".", "->", "::")
+                single = head >= start and t[head].word and self.text(head - 1) not in self.access
                 made = self.text(head - 1) == "new"
                 if not made:
                     yield ("scoped" if single else "chained"), (t[head].text if single else ""), t[i].text
             else:
                 yield "plain", "", t[i].text
-
-
-def names_of(toks: list[Token]) -> set[str]:
-    return {t.text for t in toks if t.word}
