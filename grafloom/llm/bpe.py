@@ -3,30 +3,36 @@
 The corpus's frequent words (a word is a stretch without white space and the space before
 it) are encoded once and compiled into a minimal automaton: common prefixes and common
 suffixes are shared, every edge carries how many words it skips, and so a walk ends at the
-word's number, which leads to its ids.  The automaton is one flat file that the Python
-workers map into memory.  Words it does not hold are split by the tokenizer's pattern and
-merged exactly; both ways lead to the same ids.
+word's number, which leads to its ids.  The automaton is one flat file, its edges an
+open-addressed table, that the Python workers of an executor map into memory.  Words it
+does not hold are split by the tokenizer's pattern and merged exactly; both ways lead to
+the same ids.
+
+A slice of texts is encoded at once: the words that the worker does not know yet walk the
+automaton in step, byte by byte, and those left merge in step, a pair of each at a time.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import mmap
 import os
 import re
-import struct
 import tempfile
-from bisect import bisect_left
+import uuid
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import discard, materialize, mix64, slices
 
 _WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: White space as the tokenizer's pattern sees it, cut the same way; the rest is left to words.
@@ -37,6 +43,50 @@ PATTERN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_W
 LETTERS = re.compile(" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
 
 
+#: Pieces up to this many bytes are merged together; the few longer ones alone.
+TOGETHER = 48
+#: Stands for a pair that no merge joins; above every rank and place.
+NO_PAIR = np.int32(np.iinfo(np.int32).max)
+
+
+class Table:
+    """Integers below 2**32 - 1 to places of an array, by open addressing."""
+
+    EMPTY = np.uint32(0xFFFFFFFF)
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+
+    @classmethod
+    def build(cls, keys: np.ndarray) -> tuple["Table", np.ndarray]:
+        """The table of distinct keys, and the place of each."""
+        out = cls(np.full(1 << max(4 * len(keys), 2).bit_length(), cls.EMPTY, np.uint32))
+        slot, open_ = out._slot(keys), np.arange(len(keys))
+        while len(open_):
+            free = open_[out.keys[slot[open_]] == cls.EMPTY]
+            out.keys[slot[free]] = keys[free]  # of those that meet, the last one stays
+            open_ = open_[out.keys[slot[open_]] != keys[open_]]
+            slot[open_] = (slot[open_] + 1) & (len(out.keys) - 1)
+        return out, slot
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (mix64(keys) & np.uint64(len(self.keys) - 1)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, or -1."""
+        slot = self._slot(keys)
+        there = self.keys[slot]
+        out = np.where(there == keys, slot, -1)
+        open_ = np.flatnonzero((there != keys) & (there != self.EMPTY))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & (len(self.keys) - 1)
+            there = self.keys[slot[open_]]
+            hit = there == keys[open_]
+            out[open_[hit]] = slot[open_[hit]]
+            open_ = open_[~hit & (there != self.EMPTY)]
+        return out
+
+
 def _byte_chars() -> dict[str, int]:
     """The printable stand-ins of byte-level vocabularies, to bytes."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -63,126 +113,176 @@ class Vocabulary:
             self.tokens[t["id"]] = t["content"].encode()
         self.bytes = [model["vocab"][c] for c, _ in sorted(chars.items(), key=lambda x: x[1])]
         # rank of a merge by its left and right id, and the id it makes by its rank
-        nothing: dict[int, int] = {}
-        self.ranks, self.merged = [nothing] * (max(self.tokens) + 1), []
-        for rank, merge in enumerate(model["merges"]):
-            a, b = merge.split(" ") if isinstance(merge, str) else merge
-            left = model["vocab"][a]
-            if self.ranks[left] is nothing:
-                self.ranks[left] = {}
-            self.ranks[left][model["vocab"][b]] = rank
-            self.merged.append(model["vocab"][a + b])
-        none = len(self.merged)
-        self.first_ranks = [self.ranks[a].get(b, none) for a in self.bytes for b in self.bytes]
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        place = model["vocab"].__getitem__
+        self.merged = np.array([place(a + b) for a, b in pairs], np.int32)
+        if max(self.tokens) >= 1 << 16 or len(pairs) >= 1 << 22:
+            raise ValueError("ids or ranks are too large for pairs of 32 bits")
+        left, right = (np.array([place(m[k]) for m in pairs], np.uint32) for k in (0, 1))
+        self.pairs, slot = Table.build(left << np.uint32(16) | right)
+        self.rank = np.full(len(self.pairs.keys), -1, np.int32)
+        self.rank[slot] = np.arange(len(pairs))
+        self.ranks = dict(zip(zip(left.tolist(), right.tolist(), strict=True), range(len(pairs)), strict=True))
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def merge(self, word: bytes) -> list[int]:
-        """Exact BPE of one pre-token: always the leftmost pair of least rank."""
+        """Exact BPE of one pre-token: always the leftmost pair of least rank; a heap over a linked list."""
         ids = [self.bytes[b] for b in word]
-        if len(ids) > 200:
-            return self._merge_long(ids)
-        ranks_of, merged, first, none = self.ranks, self.merged, self.first_ranks, len(self.merged)
-        ranks = [first[a << 8 | b] for a, b in zip(word, word[1:])]  # noqa: B905
-        while ranks and (best := min(ranks)) < none:
-            k = ranks.index(best)
-            ids[k] = new = merged[best]
-            del ids[k + 1], ranks[k]
-            if k:
-                ranks[k - 1] = ranks_of[ids[k - 1]].get(new, none)
-            if k < len(ranks):
-                ranks[k] = ranks_of[new].get(ids[k + 1], none)
-        return ids
-
-    def _merge_long(self, ids: list[int]) -> list[int]:
-        """The same with a heap over a linked list, for very long words."""
-        import heapq
-
         n = len(ids)
         after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
         heap = []
 
         def push(k):
             if k >= 0 and after[k] < n:
-                found = self.ranks[ids[k]].get(ids[after[k]])
+                found = self.ranks.get((ids[k], ids[after[k]]))
                 if found is not None:
-                    heapq.heappush(heap, (found, k, ids[k], ids[after[k]], self.merged[found]))
+                    heapq.heappush(heap, (found, k, ids[k], ids[after[k]]))
 
         for k in range(n - 1):
             push(k)
         while heap:
-            _, k, a, b, new = heapq.heappop(heap)
+            found, k, a, b = heapq.heappop(heap)
             if not alive[k] or ids[k] != a or after[k] >= n or ids[after[k]] != b:
                 continue
             gone = after[k]
-            ids[k], alive[gone], after[k] = new, False, after[gone]
+            ids[k], alive[gone], after[k] = int(self.merged[found]), False, after[gone]
             if after[k] < n:
                 before[after[k]] = k
             push(before[k])
             push(k)
         return [x for x, live in zip(ids, alive, strict=True) if live]
 
-    def encode_word(self, word: str) -> list[int]:
-        """Ids of a stretch that no special token touches."""
-        if LETTERS.fullmatch(word):  # one piece
-            return self.merge(word.encode("utf-8"))
-        return [i for piece in PATTERN.findall(word) for i in self.merge(piece.encode("utf-8"))]
+    def _keys(self, left: np.ndarray, right: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Rank and place of pairs in one integer, so that the least is the leftmost of least rank."""
+        at = self.pairs.find(left.astype(np.uint32) << np.uint32(16) | right.astype(np.uint32))
+        return np.where(at >= 0, self.rank[at] << np.int32(8) | place.astype(np.int32), NO_PAIR)
+
+    def _merge_like(self, words: list[bytes]) -> list[bytes]:
+        """Exact BPE of pieces of about the same length, a merge of each piece at a time."""
+        n, lengths = len(words), np.fromiter(map(len, words), np.int64, len(words))
+        tall = int(lengths.max())
+        text = np.frombuffer(b"".join(w.ljust(tall, b"\0") for w in words), np.uint8).reshape(n, tall).T
+        inside = np.arange(tall)[:, None] < lengths
+        ids = np.where(inside, np.array(self.bytes, np.int32)[text], -1)
+        rows = np.arange(tall, dtype=np.int16)[:, None]
+        # the row below tall stands for the end of every piece
+        after = np.where(rows + 1 < lengths, rows + np.int16(1), np.int16(tall)).astype(np.int16)
+        before = np.repeat(np.arange(-1, tall, dtype=np.int16)[:, None], n, axis=1)
+        keys = np.full((tall, n), NO_PAIR, np.int32)
+        if tall > 1:
+            r, c = np.nonzero(inside[1:])
+            keys[r, c] = self._keys(ids[r, c], ids[r + 1, c], r)
+        cols = np.arange(n)  # pieces that may still merge, and where they stand
+        done = ids.copy()
+        while len(cols):
+            best = keys.min(axis=0)
+            live = np.flatnonzero(best != NO_PAIR)
+            if 2 * len(live) < len(cols):  # leave the finished ones behind
+                done[:, cols] = ids
+                cols, ids, after, before, keys, best = cols[live], ids[:, live], after[:, live], before[:, live], keys[:, live], best[live]
+                live = np.arange(len(cols))
+                if not len(cols):
+                    break
+            best = best[live]
+            at = (best & np.int32(255)).astype(np.int64)
+            new = self.merged[best >> np.int32(8)]
+            gone = after[at, live].astype(np.int64)
+            follower = after[gone, live].astype(np.int64)
+            ids[at, live], ids[gone, live], keys[gone, live] = new, -1, NO_PAIR
+            after[at, live] = follower
+            more = follower < tall
+            f, c, k = follower[more], live[more], at[more]
+            before[f, c] = k
+            keys[at, live] = NO_PAIR
+            keys[k, c] = self._keys(new[more], ids[f, c], k)
+            front = before[at, live].astype(np.int64)
+            more = front >= 0
+            f, c = front[more], live[more]
+            keys[f, c] = self._keys(ids[f, c], new[more], f)
+        if len(cols):
+            done[:, cols] = ids
+        flat = np.ascontiguousarray(done.T)
+        real = flat >= 0
+        packed, ends = flat[real].astype("<u4").tobytes(), np.cumsum(real.sum(axis=1) * 4).tolist()
+        return [packed[a:b] for a, b in zip([0, *ends], ends)]  # noqa: B905
+
+    def merge_all(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each piece as little-endian 32-bit integers."""
+        out = [b""] * len(words)
+        order = sorted(range(len(words)), key=lambda i: len(words[i]))
+        short = [i for i in order if 0 < len(words[i]) <= TOGETHER]
+        for k in range(0, len(short), 4096):
+            for i, found in zip(short[k : k + 4096], self._merge_like([words[i] for i in short[k : k + 4096]]), strict=True):
+                out[i] = found
+        for i in order:
+            if len(words[i]) > TOGETHER:
+                out[i] = np.array(self.merge(words[i]), "<u4").tobytes()
+        return out
+
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of stretches that no special token touches."""
+        pieces, counts = [], []
+        for word in words:
+            found = [word] if LETTERS.fullmatch(word) else PATTERN.findall(word)
+            pieces += found
+            counts.append(len(found))
+        ids = self.merge_all([x.encode("utf-8") for x in pieces])
+        out, at = [], 0
+        for n in counts:
+            out.append(ids[at] if n == 1 else b"".join(ids[at : at + n]))
+            at += n
+        return out
 
 
 class Lexicon:
     """Reader of the automaton file; numbers words from 0 in byte order."""
 
-    HEAD = 3
-
     def __init__(self, buffer):
-        head = np.frombuffer(buffer, np.int64, 6)
-        states, edges, words, ids, root, _ = head.tolist()
+        slots, states, words, ids, self.root, self.longest = np.frombuffer(buffer, np.int64, 6).tolist()
         at = 48
 
         def take(kind, n):
             nonlocal at
-            view = memoryview(buffer)[at : at + n * np.dtype(kind).itemsize].cast(np.dtype(kind).char)
-            at += -(-n * np.dtype(kind).itemsize // 8) * 8
+            view = np.frombuffer(buffer, kind, n, at)
+            at += -(-view.nbytes // 8) * 8
             return view
 
-        self.root = root
-        self.first = take(np.uint32, states + 1)
+        self.edges = Table(take(np.uint32, slots))  # state * 256 + byte
+        self.target, self.skip = take(np.uint32, slots), take(np.uint32, slots)
         self.final = take(np.uint8, states)
-        self.label = take(np.uint8, edges)
-        self.target = take(np.uint32, edges)
-        self.skip = take(np.uint32, edges)
-        self.start = take(np.uint32, words + 1)
-        self.ids = take(np.uint32, ids)
-        # where the first bytes of words lead: walks start from there
-        self.heads = {b"": (root, 0)}
-        level = dict(self.heads)
-        for _ in range(self.HEAD):
-            level = {w + bytes((self.label[k],)): (self.target[k], n + self.skip[k]) for w, (state, n) in level.items() for k in range(self.first[state], self.first[state + 1])}
-            self.heads |= level
-
-    def number(self, word: bytes) -> int:
-        """The word's number, or -1."""
-        head = self.heads.get(word[: self.HEAD])
-        if head is None:
-            return -1
-        state, n = head
-        first, label = self.first, self.label
-        for b in word[self.HEAD :]:
-            lo, hi = first[state], first[state + 1]
-            k = bisect_left(label, b, lo, hi)
-            if k == hi or label[k] != b:
-                return -1
-            n += self.skip[k]
-            state = self.target[k]
-        return n if self.final[state] else -1
-
-    def get(self, word: bytes) -> bytes | None:
-        """Ids as little-endian 32-bit integers."""
-        n = self.number(word)
-        return None if n < 0 else bytes(self.ids[self.start[n] : self.start[n + 1]])
-
-
-def compile_lexicon(words: dict[bytes, list[int]]) -> bytes:
-    """The automaton of words and their ids; equal right languages share one state."""
+        self.start, self.ids = take(np.uint32, words + 1), take(np.uint32, ids)
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        """Each word's number, or -1."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        text, first = np.frombuffer(b"".join(words), np.uint8), np.cumsum(lengths) - lengths
+        state, n = np.full(len(words), self.root, np.int64), np.zeros(len(words), np.int64)
+        state[lengths > self.longest] = -1
+        walking = np.flatnonzero(state >= 0)
+        for k in range(self.longest):
+            walking = walking[lengths[walking] > k]
+            if not len(walking):
+                break
+            edge = self.edges.find((state[walking] << 8 | text[first[walking] + k]).astype(np.uint32))
+            state[walking[edge < 0]] = -1
+            walking, edge = walking[edge >= 0], edge[edge >= 0]
+            state[walking] = self.target[edge]
+            n[walking] += self.skip[edge]
+        known = np.flatnonzero(state >= 0)
+        out = np.full(len(words), -1, np.int64)
+        known = known[self.final[state[known]] > 0]
+        out[known] = n[known]
+        return out
+
+    def find(self, words: list[bytes]) -> list[bytes | None]:
+        """Ids as little-endian 32-bit integers, or None."""
+        numbers = self.numbers(words)
+        a, b = self.start[numbers].tolist(), self.start[numbers + 1].tolist()
+        return [self.ids[i:j].tobytes() if n >= 0 else None for n, i, j in zip(numbers.tolist(), a, b, strict=True)]
+
+
+def compile_lexicon(words: dict[bytes, bytes]) -> bytes:
+    """The automaton of words and their packed ids; equal right languages share one state."""
     register: dict[tuple, int] = {}
     states: list[tuple] = []  # (final, ((label, state), ...))
     counts: list[int] = []
@@ -210,80 +310,81 @@ def compile_lexicon(words: dict[bytes, list[int]]) -> bytes:
         node = path.pop()
         path[-1][1].append((last[len(path) - 1], freeze(node)))
     root = freeze(path[0])
-    first, label, target, skip = [0], [], [], []
-    for final, edges in states:
+    keys, target, skip = [], [], []
+    for state, (final, edges) in enumerate(states):
         n = int(final)
-        for b, t in edges:
-            label.append(b)
+        for byte, t in edges:
+            keys.append(state << 8 | byte)
             target.append(t)
             skip.append(n)
             n += counts[t]
-        first.append(len(label))
-    flat = [i for w in ordered for i in words[w]]
-    start = np.concatenate([[0], np.cumsum([len(words[w]) for w in ordered], dtype=np.int64)]) if ordered else np.zeros(1)
-    parts = [np.array([len(states), len(label), len(ordered), len(flat), root, 0], np.int64)]
-    parts += [np.array(first, np.uint32), np.array([s[0] for s in states], np.uint8), np.array(label, np.uint8), np.array(target, np.uint32), np.array(skip, np.uint32), start.astype(np.uint32), np.array(flat, np.uint32)]
+    edges, slot = Table.build(np.array(keys, np.uint32))
+    target_at, skip_at = np.zeros(len(edges.keys), np.uint32), np.zeros(len(edges.keys), np.uint32)
+    target_at[slot], skip_at[slot] = target, skip
+    start = np.concatenate([[0], np.cumsum([len(words[w]) // 4 for w in ordered], dtype=np.int64)])
+    head = [len(edges.keys), len(states), len(ordered), int(start[-1]), root, max(map(len, ordered), default=0)]
+    parts = [np.array(head, np.int64), edges.keys, target_at, skip_at, np.array([s[0] for s in states], np.uint8), start.astype(np.uint32), np.frombuffer(b"".join(words[w] for w in ordered), "<u4")]
     return b"".join(p.tobytes() + b"\0" * (-p.nbytes % 8) for p in parts)
 
 
-def map_into_memory(data: bytes):
-    """The bytes as a read-only mapped file; its name is gone at once, its pages are the system's."""
-    with tempfile.TemporaryFile() as f:
-        f.write(data)
-        f.flush()
+def map_into_memory(data: bytes, name: str):
+    """The bytes as a read-only mapped file in the executor's own folder, which its workers share and Spark removes."""
+    folder = SparkFiles.getRootDirectory()
+    path = os.path.join(folder if os.path.isdir(folder) else tempfile.gettempdir(), f"{name}.lexicon")
+    if not os.path.exists(path):
+        with open(mine := f"{path}.{uuid.uuid4().hex}", "wb") as f:
+            f.write(data)
+        os.replace(mine, path)
+    with open(path, "rb") as f:
         return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
 
 
-class _Cache(dict):
-    """word -> ids as bytes, through the lexicon, else merged.
-
-    Bounded by two generations: when the young one is full it becomes the old one, and
-    words that are met again move back.
-    """
+class Encoder:
+    """Encodes slices of texts; words met before are known, up to ``LIMIT`` of them beside the slice's own."""
 
     LIMIT = 300_000
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon):
-        super().__init__()
-        self.vocabulary, self.lexicon, self.old = vocabulary, lexicon, {}
-
-    def __missing__(self, word: str) -> bytes:
-        found = self.old.get(word)
-        if found is None:
-            found = self.lexicon.get(word.encode("utf-8"))
-        if found is None:
-            ids = self.vocabulary.encode_word(word)
-            found = struct.pack(f"<{len(ids)}I", *ids)
-        if len(self) >= self.LIMIT:
-            self.old = dict(self)
-            self.clear()
-        if len(word) < 100:
-            self[word] = found
-        return found
-
-
-class Encoder:
-    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon):
-        self.vocabulary, self.cache = vocabulary, _Cache(vocabulary, lexicon)
-
-    def encode(self, text: str) -> bytes:
-        """Ids of a text as little-endian 32-bit integers."""
-        get = self.cache.__getitem__
-        special = self.vocabulary.split
-        if special is None or not special.search(text):
-            return b"".join(map(get, CHUNK.findall(text)))
+        self.vocabulary, self.lexicon = vocabulary, lexicon
+        self.special = {i: i.to_bytes(4, "little") for i in vocabulary.special.values()}
+        self.known: dict[str | int, bytes] = dict(self.special)
+
+    def words(self, text: str) -> list[str | int]:
+        """Words of a text; special tokens as their ids."""
+        split = self.vocabulary.split
+        if split is None or not split.search(text):
+            return CHUNK.findall(text)
         named = self.vocabulary.special
-        return b"".join(named[x].to_bytes(4, "little") if x in named else b"".join(map(get, CHUNK.findall(x))) for x in special.split(text))
+        return list(chain.from_iterable([named[x]] if x in named else CHUNK.findall(x) for x in split.split(text)))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit integers."""
+        cut = [self.words(t) for t in texts]
+        met = set(chain.from_iterable(cut))
+        new = [w for w in met if w not in self.known]
+        if new:
+            found = self.lexicon.find([w.encode("utf-8") for w in new])
+            rest = [w for w, ids in zip(new, found, strict=True) if ids is None]
+            self.known |= zip(new, found, strict=True)
+            self.known |= zip(rest, self.vocabulary.encode_words(rest), strict=True)
+        get = self.known.__getitem__
+        out = [b"".join(map(get, words)) for words in cut]
+        if len(self.known) > self.LIMIT:
+            self.known = self.special | {w: self.known[w] for w in met}
+            if len(self.known) > self.LIMIT:
+                self.known = dict(self.special)
+        return out
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.vocabulary.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
 def frequent_words(docs: DataFrame, most: int) -> list[str]:
-    """At most ``most`` words: those of all texts that occur at least so often that no more do.
+    """At most ``most`` words: those that occur most often in all texts.
 
-    The bound is found in a histogram of counts on a logarithmic scale, so what reaches the
-    driver never exceeds ``most`` words, whatever the number of tasks.
+    The bound is found in a histogram of counts on a logarithmic scale; the step that does
+    not fit whole gives the words of its first hash buckets.  So what reaches the driver
+    never exceeds ``most`` words, whatever the number of tasks.
     """
 
     def count(batches):
@@ -297,12 +398,22 @@ def frequent_words(docs: DataFrame, most: int) -> list[str]:
 
     counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "word string, n long")
     words = materialize(counted.where("length(word) < 100").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1").withColumn("step", F.floor(F.log2("n") * 8).cast("int")))
-    least, room = None, most
+    bucket = F.pmod(F.xxhash64("word"), F.lit(4096))
+    least, edge, upto, room = 1 << 30, -1, 0, most  # steps from least on, and of the step at the edge the buckets below upto
     for step, n in words.groupBy("step").count().orderBy(F.desc("step")).collect():  # 8 * 63 rows at most
-        if n > room:
-            break
-        least, room = step, room - n
-    return [] if least is None else [r[0] for r in words.where(F.col("step") >= least).select("word").collect()]
+        if n <= room:
+            least, room = step, room - n
+            continue
+        edge = step
+        for b, m in words.where(F.col("step") == step).groupBy(bucket.alias("bucket")).count().orderBy("bucket").collect():
+            if m > room:
+                break
+            upto, room = b + 1, room - m
+        break
+    taken = (F.col("step") >= least) | ((F.col("step") == edge) & (bucket < upto))
+    found = [r[0] for r in words.where(taken).select("word").collect()]
+    discard(words)
+    return found
 
 
 def build_encoder(spark: SparkSession, docs: DataFrame, vocabulary_file: str, lexicon_words: int):
@@ -310,7 +421,8 @@ def build_encoder(spark: SparkSession, docs: DataFrame, vocabulary_file: str, le
     with open(vocabulary_file, encoding="utf-8") as f:
         source = f.read()
     vocabulary = Vocabulary(source)
-    lexicon = compile_lexicon({w.encode("utf-8"): vocabulary.encode_word(w) for w in frequent_words(docs, lexicon_words) if not (vocabulary.split and vocabulary.split.search(w))})
+    words = [w for w in frequent_words(docs, lexicon_words) if not (vocabulary.split and vocabulary.split.search(w))]
+    lexicon = compile_lexicon(dict(zip([w.encode("utf-8") for w in words], vocabulary.encode_words(words), strict=True)))
     name = hashlib.sha256(source.encode("utf-8") + lexicon).hexdigest()
     shared = spark.sparkContext.broadcast((source, lexicon))
 
@@ -328,7 +440,7 @@ def _encoder(name: str, shared) -> Encoder:
     if name not in _encoders:
         source, data = shared.value
         _encoders.clear()
-        _encoders[name] = Encoder(Vocabulary(source), Lexicon(map_into_memory(data)))
+        _encoders[name] = Encoder(Vocabulary(source), Lexicon(map_into_memory(data, name)))
     return _encoders[name]
 
 
@@ -345,10 +457,9 @@ def bpe_round_trip(docs: DataFrame, vocabulary_file: str, lexicon_words: int = 1
 
     def run(batches):
         encoder = make()
-        for batch in batches:
+        for batch in (part for big in batches for part in slices(big, "text")):
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encoder.encode(text or "")
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
                 back = encoder.decode(ids).encode("utf-8")
                 rows.append((doc_id, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest(), *[np.frombuffer(ids, "<i4").tolist()] * with_ids))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * (4 + with_ids)
