@@ -13,7 +13,9 @@ from grafloom.llm import bpe, mixing, quality, simhash, suffix_dedup
 from grafloom.llm.common import materialize, read_table
 from grafloom.llm.queries import vocabulary_path
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Repeated strings of this many bytes are cut: half of what the operator's own query takes,
+#: so that a passage of somewhat over 50 words, short ones too, holds several of them.
+REPEAT_BYTES = 200
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,8 +30,13 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def cut_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the strings of 400 bytes that occur twice or more."""
-    return suffix_dedup.cut_repeats(docs).withColumn("n_chars", F.char_length("text").cast("long"))
+    """Every document, without the strings of REPEAT_BYTES bytes that also start earlier (smaller doc_id, or earlier in the text).
+
+    One copy of each passage stays.  Null and empty texts stay as they are and n_chars
+    follows the text; other rules as in ``suffix_dedup.cut_repeats``.
+    """
+    cut = suffix_dedup.cut_repeats(docs, width=REPEAT_BYTES, first_stays=True)
+    return cut.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else cut
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
