@@ -37,20 +37,8 @@ def one_of_group(rows):
 
 
 def cut(rows):
-    texts = [(r[1] or "").encode() for r in rows]
-    seen = {}
-    for t in texts:
-        for i in range(len(t) - 399):
-            seen[t[i : i + 400]] = seen.get(t[i : i + 400], 0) + 1
-    out = []
-    for r, t in zip(rows, texts):
-        gone = bytearray(len(t))
-        for i in range(len(t) - 399):
-            if seen[t[i : i + 400]] > 1:
-                gone[i : i + 400] = b"\1" * 400
-        text = bytes(c for c, g in zip(t, gone) if not g).decode("utf-8", "ignore")
-        out.append((r[0], text, *r[2:]))
-    return out
+    texts = dict(brute.later_bytes([(r[0], r[1]) for r in rows], corpus_pipeline.REPEAT_BYTES))
+    return [(r[0], texts[r[0]], *r[2:]) for r in rows]
 
 
 def mixed(rows):
