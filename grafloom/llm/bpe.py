@@ -8,7 +8,7 @@ open-addressed table, that the Python workers of an executor map into memory.  W
 does not hold are split by the tokenizer's pattern and merged exactly; both ways lead to
 the same ids.
 
-A slice of texts is encoded at once: the words that the worker does not know yet walk the
+A slice of texts is encoded at once: its bytes are cut into words, its distinct words walk the
 automaton in step, byte by byte, and those left merge in step, a pair of each at a time.
 """
 
@@ -22,8 +22,6 @@ import os
 import re
 import tempfile
 import uuid
-from collections import Counter
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,17 +30,15 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, mix64, slices
+from .common import discard, materialize, mix64, slices, utf8
 
 _WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: White space as the tokenizer's pattern sees it, cut the same way; the rest is left to words.
 CHUNK = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 PATTERN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 
-#: Words that the pattern leaves whole, told without it.
-LETTERS = re.compile(" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
-
-
+#: Texts longer than SEGMENT characters are cut between two words; slices hold about SLICE bytes.
+SEGMENT, SLICE = 4_000_000, 8_000_000
 #: Pieces up to this many bytes are merged together; the few longer ones alone.
 TOGETHER = 48
 #: Stands for a pair that no merge joins; above every rank and place.
@@ -87,6 +83,70 @@ class Table:
         return out
 
 
+def _kinds() -> np.ndarray:
+    """For each byte: 1 white space, 2 may be part of a word of Latin letters alone, 0 neither."""
+    kinds = np.zeros(256, np.uint8)
+    kinds[[*range(9, 14), 32]] = 1
+    kinds[[*range(65, 91), *range(97, 123), *range(0xC3, 0xC9), *range(0x80, 0xC0)]] = 2
+    return kinds
+
+
+KINDS = _kinds()
+
+
+def odd_spaces(raw: np.ndarray) -> np.ndarray:
+    """Places of white space of more than one byte."""
+    out = []
+    for head, rest in ((0xC2, {b"\x85", b"\xa0"}), (0xE1, {b"\x9a\x80"}), (0xE3, {b"\x80\x80"}), (0xE2, {b"\x81\x9f", *(bytes((0x80, b)) for b in (*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF))})):
+        n = len(next(iter(rest)))
+        at = np.flatnonzero(raw[: max(len(raw) - n, 0)] == head)
+        if len(at):
+            tail = np.stack([raw[at + 1 + k] for k in range(n)], axis=1)
+            out.append(at[np.any([(tail == np.frombuffer(x, np.uint8)).all(axis=1) for x in rest], axis=0)])
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
+def word_starts(raw: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Where the words of CHUNK start in texts laid end to end; begins: where the texts do, and the end."""
+    n = len(raw)
+    if not n:
+        return np.zeros(0, np.int64)
+    space = KINDS[raw] == 1
+    first = np.zeros(n + 1, bool)
+    first[begins] = True
+    before = np.concatenate([[False], space[:-1]]) & ~first[:n]
+    word_next = np.concatenate([~space[1:], [False]]) & ~first[1:]
+    after_other = np.concatenate([[False], raw[:-1] != 32]) & before
+    start = first[:n] | np.where(space, ~before | word_next, after_other)
+    for k in np.unique(np.searchsorted(begins, odd_spaces(raw), side="right") - 1).tolist():
+        a, b = int(begins[k]), int(begins[k + 1])
+        lengths = [len(x.encode()) for x in CHUNK.findall(raw[a:b].tobytes().decode("utf-8"))]
+        start[a:b] = False
+        start[a + np.cumsum([0, *lengths[:-1]])] = True
+    return np.flatnonzero(start)
+
+
+def distinct(raw: np.ndarray, start: np.ndarray, n: int) -> tuple[np.ndarray, pa.Array]:
+    """Which of the distinct strings each stretch of raw is, and those strings."""
+    offsets = np.append(start, n).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
+    found = words.dictionary_encode()
+    return found.indices.to_numpy(), found.dictionary
+
+
+def gathered(pool: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The stretches of pool one after another."""
+    out = np.empty(int(count.sum()), pool.dtype)
+    at = 0
+    for k in range(0, len(start), 1 << 18):
+        s, c = start[k : k + (1 << 18)], count[k : k + (1 << 18)]
+        upto = np.cumsum(c)
+        n = int(upto[-1])
+        out[at : at + n] = pool[np.repeat(s - (upto - c), c) + np.arange(n)]
+        at += n
+    return out
+
+
 def _byte_chars() -> dict[str, int]:
     """The printable stand-ins of byte-level vocabularies, to bytes."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -112,6 +172,9 @@ class Vocabulary:
             self.special[t["content"]] = t["id"]
             self.tokens[t["id"]] = t["content"].encode()
         self.bytes = [model["vocab"][c] for c, _ in sorted(chars.items(), key=lambda x: x[1])]
+        names = [self.tokens.get(i, b"") for i in range(max(self.tokens) + 1)]
+        self.token_bytes, self.token_count = np.frombuffer(b"".join(names), np.uint8), np.array(list(map(len, names)))
+        self.token_start = np.cumsum(self.token_count) - self.token_count
         # rank of a merge by its left and right id, and the id it makes by its rank
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         place = model["vocab"].__getitem__
@@ -157,11 +220,10 @@ class Vocabulary:
         at = self.pairs.find(left.astype(np.uint32) << np.uint32(16) | right.astype(np.uint32))
         return np.where(at >= 0, self.rank[at] << np.int32(8) | place.astype(np.int32), NO_PAIR)
 
-    def _merge_like(self, words: list[bytes]) -> list[bytes]:
-        """Exact BPE of pieces of about the same length, a merge of each piece at a time."""
-        n, lengths = len(words), np.fromiter(map(len, words), np.int64, len(words))
-        tall = int(lengths.max())
-        text = np.frombuffer(b"".join(w.ljust(tall, b"\0") for w in words), np.uint8).reshape(n, tall).T
+    def _merge_like(self, raw: np.ndarray, start: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Exact BPE of pieces of about the same length, a merge of each piece at a time: all ids, and how many each has."""
+        n, tall = len(start), int(lengths.max())
+        text = raw[np.minimum(start + np.arange(tall)[:, None], len(raw) - 1)]
         inside = np.arange(tall)[:, None] < lengths
         ids = np.where(inside, np.array(self.bytes, np.int32)[text], -1)
         rows = np.arange(tall, dtype=np.int16)[:, None]
@@ -203,35 +265,55 @@ class Vocabulary:
             done[:, cols] = ids
         flat = np.ascontiguousarray(done.T)
         real = flat >= 0
-        packed, ends = flat[real].astype("<u4").tobytes(), np.cumsum(real.sum(axis=1) * 4).tolist()
-        return [packed[a:b] for a, b in zip([0, *ends], ends)]  # noqa: B905
-
-    def merge_all(self, words: list[bytes]) -> list[bytes]:
-        """Ids of each piece as little-endian 32-bit integers."""
-        out = [b""] * len(words)
-        order = sorted(range(len(words)), key=lambda i: len(words[i]))
-        short = [i for i in order if 0 < len(words[i]) <= TOGETHER]
-        for k in range(0, len(short), 4096):
-            for i, found in zip(short[k : k + 4096], self._merge_like([words[i] for i in short[k : k + 4096]]), strict=True):
-                out[i] = found
-        for i in order:
-            if len(words[i]) > TOGETHER:
-                out[i] = np.array(self.merge(words[i]), "<u4").tobytes()
-        return out
+        return flat[real].astype(np.uint32), real.sum(axis=1)
 
-    def encode_words(self, words: list[str]) -> list[bytes]:
-        """Ids of stretches that no special token touches."""
-        pieces, counts = [], []
-        for word in words:
-            found = [word] if LETTERS.fullmatch(word) else PATTERN.findall(word)
+    def merge_all(self, raw: np.ndarray, start: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of pieces of raw: all ids, and where each piece's begin and how many it has."""
+        count, found = np.zeros(len(start), np.int64), []
+        order = np.argsort(lengths, kind="stable")
+        short = order[lengths[order] <= TOGETHER]
+        for k in range(0, len(short), 4096):
+            some = short[k : k + 4096]
+            ids, count[some] = self._merge_like(raw, start[some], lengths[some])
+            found.append(ids)
+        for i in order[len(short) :].tolist():
+            found.append(np.array(self.merge(raw[start[i] : start[i] + lengths[i]].tobytes()), np.uint32))
+            count[i] = len(found[-1])
+        begin = np.zeros(len(start), np.int64)
+        begin[order] = np.cumsum(count[order]) - count[order]
+        return np.concatenate(found) if found else np.zeros(0, np.uint32), begin, count
+
+    def encode_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of words that no special token touches: a pool of ids, and where each word's begin and how many it has."""
+        raw, ends = utf8(words)
+        start, lengths = ends[:-1], np.diff(ends)
+        if not len(start):
+            return np.zeros(0, np.uint32), start, lengths
+        # words of Latin letters alone are one piece; U+00D7 and U+00F7 are no letters
+        plain = KINDS[raw] == 2
+        sign = np.flatnonzero((raw[:-1] == 0xC3) & ((raw[1:] == 0x97) | (raw[1:] == 0xB7)))
+        plain[sign] = False
+        plain[start] |= (raw[start] == 32) & (lengths > 1)
+        whole = np.logical_and.reduceat(plain, start)
+        owner, pieces, sizes = [], [], []
+        for i in np.flatnonzero(~whole).tolist():
+            found = [x.encode("utf-8") for x in PATTERN.findall(raw[ends[i] : ends[i + 1]].tobytes().decode("utf-8"))]
+            owner += [i] * len(found)
             pieces += found
-            counts.append(len(found))
-        ids = self.merge_all([x.encode("utf-8") for x in pieces])
-        out, at = [], 0
-        for n in counts:
-            out.append(ids[at] if n == 1 else b"".join(ids[at : at + n]))
-            at += n
-        return out
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        more = np.frombuffer(b"".join(pieces), np.uint8)
+        owner = np.concatenate([np.flatnonzero(whole), np.array(owner, np.int64)])
+        size = np.concatenate([lengths[whole], sizes])
+        at = np.concatenate([start[whole], len(raw) + np.cumsum(sizes) - sizes])
+        order = np.argsort(owner, kind="stable")
+        owner, size, at = owner[order], size[order], at[order]
+        # pieces recur in many words: each distinct one is merged once
+        flat = gathered(np.concatenate([raw, more]), at, size)
+        which, names = distinct(flat, np.cumsum(size) - size, len(flat))
+        raw, ends = utf8(names)
+        ids, begin, count = self.merge_all(raw, ends[:-1], np.diff(ends))
+        of_word = np.bincount(owner, weights=count[which], minlength=len(start)).astype(np.int64)
+        return gathered(ids, begin[which], count[which]), np.cumsum(of_word) - of_word, of_word
 
 
 class Lexicon:
@@ -252,10 +334,10 @@ class Lexicon:
         self.final = take(np.uint8, states)
         self.start, self.ids = take(np.uint32, words + 1), take(np.uint32, ids)
 
-    def numbers(self, words: list[bytes]) -> np.ndarray:
+    def numbers(self, words: pa.Array) -> np.ndarray:
         """Each word's number, or -1."""
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        text, first = np.frombuffer(b"".join(words), np.uint8), np.cumsum(lengths) - lengths
+        text, ends = utf8(words)
+        first, lengths = ends[:-1], np.diff(ends)
         state, n = np.full(len(words), self.root, np.int64), np.zeros(len(words), np.int64)
         state[lengths > self.longest] = -1
         walking = np.flatnonzero(state >= 0)
@@ -274,12 +356,6 @@ class Lexicon:
         out[known] = n[known]
         return out
 
-    def find(self, words: list[bytes]) -> list[bytes | None]:
-        """Ids as little-endian 32-bit integers, or None."""
-        numbers = self.numbers(words)
-        a, b = self.start[numbers].tolist(), self.start[numbers + 1].tolist()
-        return [self.ids[i:j].tobytes() if n >= 0 else None for n, i, j in zip(numbers.tolist(), a, b, strict=True)]
-
 
 def compile_lexicon(words: dict[bytes, bytes]) -> bytes:
     """The automaton of words and their packed ids; equal right languages share one state."""
@@ -340,43 +416,72 @@ def map_into_memory(data: bytes, name: str):
 
 
 class Encoder:
-    """Encodes slices of texts; words met before are known, up to ``LIMIT`` of them beside the slice's own."""
-
-    LIMIT = 300_000
+    """Encodes and decodes lists of texts."""
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon):
         self.vocabulary, self.lexicon = vocabulary, lexicon
-        self.special = {i: i.to_bytes(4, "little") for i in vocabulary.special.values()}
-        self.known: dict[str | int, bytes] = dict(self.special)
 
-    def words(self, text: str) -> list[str | int]:
-        """Words of a text; special tokens as their ids."""
-        split = self.vocabulary.split
-        if split is None or not split.search(text):
-            return CHUNK.findall(text)
-        named = self.vocabulary.special
-        return list(chain.from_iterable([named[x]] if x in named else CHUNK.findall(x) for x in split.split(text)))
+    def segments(self, text: str) -> list[str | int]:
+        """Parts that are encoded apart: special tokens as their ids, and long texts cut between two words."""
+        split, named = self.vocabulary.split, self.vocabulary.special
+        parts = split.split(text) if split is not None and split.search(text) else [text]
+        out: list[str | int] = []
+        for part in parts:
+            if part in named:
+                out.append(named[part])
+                continue
+            at = 0
+            while len(part) - at > SEGMENT:
+                cut = part.find(" ", at + SEGMENT)
+                while cut > 0 and (part[cut - 1].isspace() or part[cut + 1 : cut + 2].isspace()):
+                    cut = part.find(" ", cut + 1)
+                if cut < 0:
+                    break
+                out.append(part[at:cut])
+                at = cut
+            out.append(part[at:])
+        return out
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        raw, ends = utf8(pa.array(texts, pa.large_string()))
+        start = word_starts(raw, ends)
+        if not len(start):
+            return [b""] * len(texts)
+        which, words = distinct(raw, start, len(raw))
+        number = self.lexicon.numbers(words)
+        known = number >= 0
+        begin, count = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        begin[known] = self.lexicon.start[number[known]]
+        count[known] = self.lexicon.start[number[known] + 1] - self.lexicon.start[number[known]]
+        ids, at, n = self.vocabulary.encode_words(words.filter(pa.array(~known)))
+        begin[~known], count[~known] = at + len(self.lexicon.ids), n
+        flat = gathered(np.concatenate([self.lexicon.ids, ids]), begin[which], count[which]).astype("<u4").tobytes()
+        upto = np.concatenate([[0], np.cumsum(count[which])]) * 4
+        cuts = upto[np.searchsorted(start, ends)].tolist()
+        return [flat[a:b] for a, b in zip(cuts, cuts[1:])]  # noqa: B905
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
-        cut = [self.words(t) for t in texts]
-        met = set(chain.from_iterable(cut))
-        new = [w for w in met if w not in self.known]
-        if new:
-            found = self.lexicon.find([w.encode("utf-8") for w in new])
-            rest = [w for w, ids in zip(new, found, strict=True) if ids is None]
-            self.known |= zip(new, found, strict=True)
-            self.known |= zip(rest, self.vocabulary.encode_words(rest), strict=True)
-        get = self.known.__getitem__
-        out = [b"".join(map(get, words)) for words in cut]
-        if len(self.known) > self.LIMIT:
-            self.known = self.special | {w: self.known[w] for w in met}
-            if len(self.known) > self.LIMIT:
-                self.known = dict(self.special)
-        return out
-
-    def decode(self, ids: bytes) -> str:
-        return b"".join(map(self.vocabulary.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+        parts = [self.segments(t) for t in texts]
+        flat = [x for p in parts for x in p if isinstance(x, str)]
+        found, some, size = [], [], 0
+        for x in flat:
+            some.append(x)
+            size += len(x)
+            if size >= SLICE:
+                found += self._encode(some)
+                some, size = [], 0
+        found = iter(found + self._encode(some))
+        return [b"".join(next(found) if isinstance(x, str) else x.to_bytes(4, "little") for x in p) for p in parts]
+
+    def decode(self, lists: list[bytes]) -> list[str]:
+        """Text of each list of ids; bytes that are no UTF-8 become U+FFFD."""
+        v = self.vocabulary
+        ids = np.frombuffer(b"".join(lists), "<u4").astype(np.int64)
+        flat = gathered(v.token_bytes, v.token_start[ids], v.token_count[ids]).tobytes()
+        upto = np.concatenate([[0], np.cumsum(v.token_count[ids])])
+        cuts = upto[np.cumsum([0, *(len(x) // 4 for x in lists)])].tolist()
+        return [flat[a:b].decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:])]  # noqa: B905
 
 
 def frequent_words(docs: DataFrame, most: int) -> list[str]:
@@ -389,12 +494,10 @@ def frequent_words(docs: DataFrame, most: int) -> list[str]:
 
     def count(batches):
         for big in batches:
-            for batch in slices(big, "text", 16_000_000):
-                n = Counter()
-                for text in batch.column(0).to_pylist():
-                    if text:
-                        n.update(CHUNK.findall(text))
-                yield pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.string()), pa.array(n.values(), pa.int64())], names=["word", "n"])
+            for batch in slices(big, "text", SLICE):
+                raw, ends = utf8(batch.column(0))
+                which, words = distinct(raw, word_starts(raw, ends), len(raw))
+                yield pa.RecordBatch.from_arrays([words.cast(pa.string()), pa.array(np.bincount(which, minlength=len(words)))], names=["word", "n"])
 
     counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "word string, n long")
     words = materialize(counted.where("length(word) < 100").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1").withColumn("step", F.floor(F.log2("n") * 8).cast("int")))
@@ -416,13 +519,20 @@ def frequent_words(docs: DataFrame, most: int) -> list[str]:
     return found
 
 
+def packed_words(vocabulary: Vocabulary, words: list[str]) -> dict[bytes, bytes]:
+    """Words and their ids as little-endian 32-bit integers."""
+    ids, at, n = vocabulary.encode_words(pa.array(words, pa.string()).cast(pa.binary()))
+    ids = ids.astype("<u4")
+    return {w.encode("utf-8"): ids[a : a + m].tobytes() for w, a, m in zip(words, at.tolist(), n.tolist(), strict=True)}
+
+
 def build_encoder(spark: SparkSession, docs: DataFrame, vocabulary_file: str, lexicon_words: int):
     """Broadcast vocabulary and automaton (bounded by the vocabulary and lexicon_words), and a maker of encoders for workers."""
     with open(vocabulary_file, encoding="utf-8") as f:
         source = f.read()
     vocabulary = Vocabulary(source)
     words = [w for w in frequent_words(docs, lexicon_words) if not (vocabulary.split and vocabulary.split.search(w))]
-    lexicon = compile_lexicon(dict(zip([w.encode("utf-8") for w in words], vocabulary.encode_words(words), strict=True)))
+    lexicon = compile_lexicon(packed_words(vocabulary, words))
     name = hashlib.sha256(source.encode("utf-8") + lexicon).hexdigest()
     shared = spark.sparkContext.broadcast((source, lexicon))
 
@@ -457,11 +567,12 @@ def bpe_round_trip(docs: DataFrame, vocabulary_file: str, lexicon_words: int = 1
 
     def run(batches):
         encoder = make()
-        for batch in (part for big in batches for part in slices(big, "text")):
-            rows = []
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
-                back = encoder.decode(ids).encode("utf-8")
-                rows.append((doc_id, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest(), *[np.frombuffer(ids, "<i4").tolist()] * with_ids))
+        for batch in (part for big in batches for part in slices(big, "text", SLICE)):
+            found = encoder.encode([t or "" for t in batch.column(1).to_pylist()])
+            rows = [
+                (doc_id, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back.encode("utf-8")).hexdigest(), *[np.frombuffer(ids, "<i4").tolist()] * with_ids)
+                for doc_id, ids, back in zip(batch.column(0).to_pylist(), found, encoder.decode(found), strict=True)
+            ]
             cols = list(zip(*rows, strict=True)) if rows else [[]] * (4 + with_ids)
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())][: 4 + with_ids]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
