@@ -10,6 +10,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import settings
 from .operators import intent
 from .operators.upsert import merge_edges, merge_nodes
 from .operators.vectors import embed_column, hash_embedder
@@ -117,10 +118,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     p.add_argument("--input", required=True)
     p.add_argument("--graph", required=True)
     p.add_argument("--clean", action="store_true")
+    own = settings.load()
     p = sub.add_parser("query")
-    p.add_argument("--graph", required=True)
+    p.add_argument("--graph", required=not own["graph"], default=own["graph"])
     p.add_argument("--type", required=True)
-    for name, kind, default in (("target", str, ""), ("target2", str, ""), ("edge-types", str, ""), ("direction", str, "outgoing"), ("module", str, ".*"), ("sources", str, ""), ("depth", int, 1), ("limit", int, 10)):
+    for name, kind, default in (("target", str, ""), ("target2", str, ""), ("edge-types", str, ""), ("direction", str, "outgoing"), ("module", str, ".*"), ("sources", str, own["sources"]), ("depth", int, 1), ("limit", int, int(own["limit"] or 10))):
         p.add_argument(f"--{name}", type=kind, default=default)
     a = top.parse_args(argv)
     spark = spark or SparkSession.builder.appName("grafloom").getOrCreate()

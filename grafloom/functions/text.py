@@ -30,11 +30,6 @@ def slice_lines(text: Text, start: Column | int, end: Column | int) -> Column:
     return F.when(a > b, F.lit("")).otherwise(F.array_join(F.slice(lines(text), a, F.greatest(b - a + 1, F.lit(0))), "\n"))
 
 
-def numbered_lines(df: DataFrame, text: str, *keep: str) -> DataFrame:
-    """One row a line: keep, number (from 1) and content."""
-    return df.select(*keep, F.posexplode(lines(text)).alias("number", "content")).withColumn("number", F.col("number") + 1)
-
-
 def find_pattern(df: DataFrame, text: str, pattern: Column | str, context: int, *keep: str, first_line: Column | int = 1) -> DataFrame:
     """Lines around every line that contains a literal: keep, match_no (from 1), number, content.
 
@@ -54,10 +49,6 @@ def path_base(path: Text) -> Column:
     return F.regexp_extract(_col(path), r"([^/]*)/*$", 1)
 
 
-def path_dir(path: Text) -> Column:
-    return F.regexp_extract(_col(path), r"^(.*)/[^/]*$", 1)
-
-
 def path_ext(path: Text) -> Column:
     """From the last dot of the base on; empty without one."""
     return F.regexp_extract(_col(path), r"(\.[^./]*)$", 1)
@@ -82,4 +73,4 @@ def cut_bytes(text: Text, most: int, ending: str = "") -> Column:
 
 def regex_full(column: Text, pattern: str) -> Column:
     """Whether the pattern matches the whole value."""
-    return F.rlike(_col(column), F.lit(f"^(?:{pattern})$"))
+    return F.rlike(_col(column), F.lit(rf"\A(?:{pattern})\z"))

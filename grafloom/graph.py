@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from .functions.text import find_pattern, regex_full, slice_lines
@@ -91,10 +92,11 @@ class Graph:
         """
         scope = self._scope(start)
         paths = trails(self.edges, scope, ["CALLS"], "outgoing", depth, least=0)
-        named = self.nodes.select("id", "name").groupBy("id").agg(F.min("name").alias("name"))
         uses = self._of("USES_GLOBAL").select(F.col("src").alias("end"), F.col("dst").alias("gid")).join(self.nodes.where("label = 'Global'").select(F.col("id").alias("gid"), F.col("name").alias("gname")), "gid")
         used = paths.join(uses, "end").select("start", "node_ids", "edges", "gid", "gname")
         steps = used.select("*", F.posexplode("node_ids").alias("pos", "id"))
+        # an id may stand for nodes of several labels; only those on a way are looked at
+        named = self.nodes.select("id", "name").join(steps.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("name").alias("name"))
         on_way = steps.join(named, "id").groupBy("start", "node_ids", "edges", "gid", "gname")
         names = F.transform(F.array_sort(F.collect_list(F.when(F.col("id") != F.col("start"), F.struct("pos", "name")))), lambda x: x["name"])
         via = on_way.agg(names.alias("way")).select(F.col("gname").alias("name"), F.lit("Global").alias("type"), F.array_append("way", F.col("gname")).alias("via")).distinct()
@@ -121,38 +123,67 @@ class Graph:
         return out
 
     def search_similar(self, vector: Sequence[float], limit: int = 10) -> DataFrame:
-        """Functions nearest to a vector: id, name, score (cosine)."""
-        return top_by_cosine(self.nodes.where("label = 'Function'").select("id", "name", "embedding"), vector, limit).select("id", "name", "score")
+        """Functions nearest to a vector: all their properties, and score (cosine)."""
+        return self._nearest("Function", vector, limit)
 
     def search_features(self, vector: Sequence[float], limit: int = 10) -> DataFrame:
-        """Features nearest to a vector: id, name, score (cosine)."""
-        return top_by_cosine(self.nodes.where("label = 'Feature'").select("id", "name", "embedding"), vector, limit).select("id", "name", "score")
+        """Features nearest to a vector: all their properties, and score (cosine)."""
+        return self._nearest("Feature", vector, limit)
+
+    def _nearest(self, label: str, vector: Sequence[float], limit: int) -> DataFrame:
+        """The few nearest are found over ids and vectors alone; then their properties are joined."""
+        own = self.nodes.where(F.col("label") == label)
+        best = top_by_cosine(own.select("id", "embedding"), vector, limit).select("id", "score")
+        return own.join(best, "id").orderBy(F.desc("score"), "id")
 
     def hybrid_context(self, start: str, embedder: Embedder | Sequence[float], depth: int = 1, limit: int = 10) -> DataFrame:
-        """Neighbors and functions similar to the start's own text, in one table: kind, name, type, via, score."""
-        vector = embedder([start])[0] if callable(embedder) else embedder
+        """Neighbors and functions similar to the start's own text, in one table: kind, name, type, via, score.
+
+        If the embedder fails, that is logged and there are no similar functions.
+        """
+        try:
+            vector = embedder([start])[0] if callable(embedder) else embedder
+        except Exception:
+            logging.getLogger(__name__).exception("no vector for %r", start)
+            vector = None
         near = self.neighbors(start, depth).select(F.lit("neighbor").alias("kind"), "name", "type", "via", F.lit(None).cast("double").alias("score"))
+        if vector is None:
+            return near
         like = self.search_similar(vector, limit).select(F.lit("similar").alias("kind"), "name", F.lit("Function").alias("type"), F.lit(None).cast("array<string>").alias("via"), "score")
         return near.unionByName(like)
 
-    def _located(self, start: str) -> DataFrame:
-        """id, file, first, last and text of the first match; lines 1 to 50 where it has none."""
+    def _located(self, start: str) -> tuple[Row, DataFrame]:
+        """The first match, and its source's row (file, text); LookupError without a match, ValueError without a file."""
         if self.sources is None:
             raise ValueError("the graph has no sources (path, text)")
-        a, b = F.coalesce("start_line", F.lit(0)), F.coalesce("end_line", F.lit(0))
-        none = (a == 0) & (b == 0)
-        one = self.first(start).where("file is not null").select("id", "file", F.when(none, 1).otherwise(a).alias("first"), F.when(none, 50).otherwise(b).alias("last"))
-        return one.join(self.sources.select(F.col("path").alias("file"), "text"), "file")
+        one = self.first(start).select("id", "file", F.coalesce("start_line", F.lit(0)).alias("first"), F.coalesce("end_line", F.lit(0)).alias("last")).first()
+        if one is None:
+            raise LookupError(f"no node has id or name {start!r}")
+        if not one["file"]:
+            raise ValueError(f"node {start!r} has no file")
+        return one, self.sources.where(F.col("path") == one["file"]).select(F.col("path").alias("file"), "text")
 
     def fetch_source(self, start: str) -> DataFrame:
-        """id, file and source, the lines of the first match."""
-        return self._located(start).select("id", "file", slice_lines("text", F.col("first"), F.col("last")).alias("source"))
+        """id, file and source: the lines of the first match, 1 to 50 where it has none."""
+        one, source = self._located(start)
+        first, last = (one["first"], one["last"]) if one["first"] or one["last"] else (1, 50)
+        return source.select(F.lit(one["id"]).alias("id"), "file", slice_lines("text", first, last).alias("source"))
 
     def locate_usage(self, source: str, target: str, context: int = 0) -> DataFrame:
-        """match_no, number and content of the source's lines that hold the target's name."""
-        name = self.first(target).where("name <> ''").select(F.col("name").alias("needle"))
-        both = self._located(source).crossJoin(name).withColumn("scope", slice_lines("text", F.col("first"), F.col("last")))
-        return find_pattern(both, "scope", F.col("needle"), context, "needle", first_line=F.greatest(F.col("first"), F.lit(1))).drop("needle")
+        """match_no, number and content of the source's lines that hold the target's name.
+
+        The source must have lines and the target a name: ValueError else.
+        """
+        one, text = self._located(source)
+        if not one["first"] or not one["last"]:
+            raise ValueError(f"node {source!r} has no lines")
+        other = self.first(target).select("name").first()
+        if other is None:
+            raise LookupError(f"no node has id or name {target!r}")
+        if not other["name"]:
+            raise ValueError(f"node {target!r} has no name")
+        scope = text.select(slice_lines("text", one["first"], one["last"]).alias("scope"))
+        return find_pattern(scope, "scope", other["name"], context, first_line=max(one["first"], 1))
 
     def status(self) -> DataFrame:
         """commit: that of the graph state, or empty."""

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import cut_bytes, path_stem
+from ..storage import held
 from .vectors import Embedder, embed_column, group_count, kmeans
 
 BASES = ("internal", "pkg", "cmd", "src")
@@ -64,7 +65,8 @@ def semantic_clusters(rows: DataFrame, embedder: Embedder, seed: int = 1, k_of:
     Up to three members make one ``<domain>-core``.  Domains are taken one at a time, each
     as a distributed K-Means; their number is the number of folders.
     """
-    embedded = embed_column(rows.withColumn("__text", cluster_text()), "__text", embedder, "__vector")
+    asked = rows.select("domain", "id", "name", "atomic_features").withColumn("__text", cluster_text())
+    embedded = held(embed_column(asked, "__text", embedder, "__vector").select("domain", "id", "__vector"))  # every row is asked for once
     out = None
     for domain, n in [(r[0], r[1]) for r in rows.groupBy("domain").count().orderBy("domain").toLocalIterator()]:
         own = embedded.where(F.col("domain").eqNullSafe(domain))

@@ -1,10 +1,16 @@
-"""Execution traces: call-stack depth over ordered events, session logs, search."""
+"""Execution traces: the stack of agents over ordered events, session logs, search."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: The tools that are agents of their own, and the agent outside all of them.
+AGENTS = ("architect", "auditor", "engineer", "msbuild", "scout", "supervisor", "codebase_investigator")
+OUTSIDE = "CLI"
+
 
 def stack_depth(events: DataFrame, session: str, order: list[str], push: Column, pop: Column) -> DataFrame:
     """events with ``depth``, the height of a session's stack after each event.
@@ -17,16 +23,24 @@ def stack_depth(events: DataFrame, session: str, order: list[str], push: Column,
     return summed.withColumn("depth", (F.col("__sum") - F.least(F.lit(0), F.min("__sum").over(w))).cast("long")).drop("__sum")
 
 
-def current_agent(events: DataFrame, session: str, order: list[str], push: Column, pop: Column, agent: str, root: str = "main") -> DataFrame:
-    """events with ``top``, the agent on top of a session's stack after each event; ``root`` on an empty one.
+def agent_at(events: DataFrame, session: str, order: list[str], hook: str, tool: str, agents: tuple[str, ...] = AGENTS, outside: str = OUTSIDE) -> DataFrame:
+    """events with ``agent`` and ``depth`` as seen while each event runs.
 
-    The top after an event is the last push that reached its depth: the agent of the latest
-    push at the same depth, found by a window over (session, depth) rather than by a loop.
+    A BeforeTool of an agent's tool puts it on the session's stack before the event counts,
+    an AfterTool takes the top off after it.  So an event belongs to the top of the stack as
+    high as it then is: the latest push that reached that height, found by a window over
+    (session, height) rather than by a loop.  An agent's own events stand one level up, with
+    what called it.
     """
-    deep = stack_depth(events.withColumn("__push", push), session, order, F.col("__push"), pop)
-    w = Window.partitionBy(session, "depth").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    pushed = F.last(F.when(F.col("__push"), F.col(agent)), ignorenulls=True).over(w)
-    return deep.withColumn("top", F.when(F.col("depth") == 0, F.lit(root)).otherwise(pushed)).drop("__push")
+    own = F.coalesce(F.col(tool).isin(*agents), F.lit(False))
+    push, pop = own & (F.col(hook) == "BeforeTool"), own & (F.col(hook) == "AfterTool")
+    deep = stack_depth(events.withColumn("__push", F.coalesce(push, F.lit(False))).withColumn("__pop", F.coalesce(pop, F.lit(False))), session, order, F.col("__push"), F.col("__pop"))
+    before = F.coalesce(F.lag("depth").over(Window.partitionBy(session).orderBy(*order)), F.lit(0))
+    high = deep.withColumn("__high", F.when(F.col("__pop"), before).otherwise(F.col("depth")))
+    w = Window.partitionBy(session, "__high").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    top = F.last(F.when(F.col("__push"), F.col(tool)), ignorenulls=True).over(w)
+    inside = F.col("__high") - F.when(own & F.col(hook).isNotNull(), 1).otherwise(0)
+    return high.withColumn("agent", F.when(F.col("__high") == 0, F.lit(outside)).otherwise(top)).withColumn("depth", F.greatest(inside, F.lit(0)).cast("long")).drop("__push", "__pop", "__high")
 
 
 def search(events: DataFrame, text: str, *columns: str) -> DataFrame:
@@ -34,44 +48,102 @@ def search(events: DataFrame, text: str, *columns: str) -> DataFrame:
     return events.where(F.contains(F.lower(F.concat_ws(" ", *columns)), F.lit(text.lower())))
 
 
-def summary(details: Column | str) -> Column:
-    """One line for an event: its command, the file it replaces in, or the head of its JSON."""
-    d = F.col(details) if isinstance(details, str) else details
-    command, file = F.get_json_object(d, "$.command"), F.get_json_object(d, "$.file_path")
-    return F.coalesce(F.concat(F.lit("$ "), command), F.concat(F.lit("Replace: "), file), F.substring(d, 1, 100))
+def found(events: DataFrame, text: str, *columns: str) -> DataFrame:
+    """shown and total: how many events ``search`` gives, of how many."""
+    hit = F.contains(F.lower(F.concat_ws(" ", *columns)), F.lit(text.lower()))
+    return events.agg(F.count_if(hit).alias("shown"), F.count("*").alias("total"))
 
 
-EVENT = "seq long, ts timestamp, type string, category string, summary string, agent string, depth long, is_error boolean, details string"
+def _there(value: Column) -> Column:
+    """Whether JSON text is a value that counts as given: not missing, null, false, 0 or empty."""
+    return F.coalesce(~value.isin("", "null", "false", "0"), F.lit(False))
 
 
-def read_trace(lines: DataFrame) -> DataFrame:
-    """EVENT rows of JSON lines (session, seq, value): malformed lines are skipped."""
-    f = lambda k: F.get_json_object("value", f"$.{k}")
-    sound = lines.where(F.try_parse_json("value").isNotNull())
-    name = F.coalesce(f("type"), f("hook_event_name"))
-    rows = sound.select("session", "seq", F.try_to_timestamp(f("timestamp")).alias("ts"), name.alias("type"), F.coalesce(f("agent"), f("agent_name")).alias("agent"), F.coalesce(f("tool_input"), f("details")).alias("details"), F.coalesce(f("error").isNotNull(), F.lit(False)).alias("is_error"))
-    category = F.when(F.col("type").contains("Tool"), "tool").when(F.col("type").contains("Agent"), "agent").when(F.col("type").contains("Model"), "model").otherwise("system")
-    rows = rows.withColumn("category", category).withColumn("summary", F.coalesce(summary("details"), F.col("type")))
-    push, pop = (F.col("type") == "BeforeTool") & F.col("agent").isNotNull(), (F.col("type") == "AfterTool") & F.col("agent").isNotNull()
-    deep = current_agent(rows, "session", ["seq"], push, pop, "agent")
-    return deep.withColumn("agent", F.col("top")).select("session", "seq", "ts", "type", "category", "summary", "agent", "depth", "is_error", "details")
+def kind_of(content: Column | str) -> Column:
+    """``trace`` for JSON lines whose first is a hook event, ``session`` for an object with a list of messages, else null."""
+    c = F.col(content) if isinstance(content, str) else content
+    first = F.trim(F.split(F.trim(F.btrim(c, F.lit(" \t\r\n"))), "\n")[0])
+    hook = F.lit(False)
+    for k in ("hook_event_name", "tool_name", "timestamp", "event"):
+        hook = hook | _there(F.get_json_object(first, f"$.{k}"))
+    listed = F.get_json_object(c, "$.messages").startswith("[")
+    return F.when(F.try_parse_json(first).isNotNull() & hook, "trace").when(F.try_parse_json(c).isNotNull() & F.coalesce(listed, F.lit(False)), "session")
 
 
-MESSAGE = "struct<type:string,timestamp:string,content:string,thoughts:array<struct<subject:string,description:string>>,toolCalls:array<struct<name:string,args:string,status:string,result:string>>>"
+def summary(tool_input: Column | str, data: Column | None = None) -> Column:
+    """One line for an event: its command, its instruction, or the head of the JSON of its input or data; else empty."""
+    d = F.col(tool_input) if isinstance(tool_input, str) else tool_input
+    command, instruction = F.get_json_object(d, "$.command"), F.get_json_object(d, "$.instruction")
+    said = F.when(_there(command), F.concat(F.lit("$ "), command)).when(_there(instruction), F.concat(F.lit("Replace: "), instruction))
+    return F.coalesce(said, F.substring(d, 1, 100), F.lit("") if data is None else F.substring(data, 1, 100), F.lit(""))
 
 
-def read_session(documents: DataFrame) -> DataFrame:
-    """Events of chat sessions, one JSON document (session, value) each: user, thought, tool, tool_result and assistant rows."""
-    parsed = documents.select("session", F.from_json("value", f"struct<messages:array<{MESSAGE}>>").alias("doc"))
-    m = parsed.select("session", F.posexplode("doc.messages").alias("msg", "m")).select("session", "msg", "m.*")
-    when = F.try_to_timestamp("timestamp").alias("ts")
-    head = lambda kind, part: ["session", "msg", F.lit(part).alias("part"), when, F.lit(kind).alias("type")]
-    user = m.where("type = 'user'").select(*head("user", 0), F.lit(0).alias("pos"), F.col("content").alias("summary"))
-    answer = m.where("type <> 'user' and content <> ''").select(*head("assistant", 3), F.lit(0).alias("pos"), F.col("content").alias("summary"))
-    thought = m.select(*head("thought", 1), F.posexplode("thoughts").alias("pos", "x")).select("session", "msg", "part", "ts", "type", "pos", F.concat_ws(": ", "x.subject", "x.description").alias("summary"))
-    calls = m.select(*head("tool", 2), F.posexplode("toolCalls").alias("pos", "x"))
-    tool = calls.select("session", "msg", "part", "ts", "type", F.col("pos") * 2, F.concat_ws(" ", "x.name", summary("x.args")).alias("summary"))
-    result = calls.where("x.result is not null").select("session", "msg", "part", "ts", F.lit("tool_result").alias("type"), F.col("pos") * 2 + 1, F.substring("x.result", 1, 100).alias("summary"))
-    return user.union(thought).union(tool).union(result).union(answer).select("session", "msg", "part", "pos", "ts", "type", "summary")
+EVENT = "session, seq long, ts timestamp, type string, category string, summary string, agent string, depth long, is_error boolean, details string"
+
+
+def read_trace(lines: DataFrame, agents: tuple[str, ...] = AGENTS) -> DataFrame:
+    """EVENT rows of JSON lines (session, seq, value): malformed and blank lines are skipped.
+
+    The fields of an object under ``data`` stand beside the line's own and win.
+    """
+    sound = lines.where(F.try_parse_json("value").isNotNull() & F.json_object_keys("value").isNotNull())
+    raw = lambda k: F.get_json_object("value", f"$.{k}")
+    data = F.when(raw("data").startswith("{"), raw("data"))
+    field = lambda k: F.coalesce(F.get_json_object(data, f"$.{k}"), raw(k)).alias(f"__{k}")
+    rows = sound.select("session", "seq", *[field(k) for k in ("timestamp", "hook_event_name", "tool_name", "tool_input", "tool_response", "data", "error", "event")])
+    seen = agent_at(rows, "session", ["seq"], "__hook_event_name", "__tool_name", agents)
+    parts = [F.coalesce(F.from_json(x, "map<string,string>"), F.create_map().cast("map<string,string>")) for x in ("__tool_input", "__data")]
+    answer = F.map_filter(F.create_map(F.lit("response"), F.col("__tool_response")), lambda _, v: v.isNotNull())
+    details = F.to_json(F.map_from_entries(F.concat(*[F.map_entries(x) for x in _last_wins(*parts, answer)])))
+    category = F.coalesce(*[F.when(_there(F.col(c)), F.col(c)) for c in ("__tool_name", "__hook_event_name")], F.lit("unknown"))
+    error = _there(F.col("__error")) | F.coalesce(F.col("__event") == "ERROR", F.lit(False))
+    return seen.select("session", "seq", F.try_to_timestamp("__timestamp").alias("ts"), F.lit("tool").alias("type"), category.alias("category"), summary("__tool_input", F.col("__data")).alias("summary"), "agent", "depth", error.alias("is_error"), details.alias("details"))
+
+
+def _last_wins(*maps: Column) -> list[Column]:
+    """The maps without the keys that a later one has."""
 
+    def without(m: Column, later: Column) -> Column:
+        return F.map_filter(m, lambda k, _: ~F.map_contains_key(later, k))
 
+    return [reduce(without, maps[i + 1 :], m) for i, m in enumerate(maps)]
+
+
+_THOUGHT = "struct<subject:string,description:string,timestamp:string>"
+_CALL = "struct<name:string,args:string,timestamp:string,result:array<string>>"
+MESSAGE = f"struct<type:string,timestamp:string,lastUpdated:string,content:string,thoughts:array<{_THOUGHT}>,toolCalls:array<{_CALL}>>"
+#: What a summary of a tool's arguments begins with, by tool and argument.
+_TOOL_HEADS = (("run_shell_command", "command", "$ "), ("replace", "instruction", "Replace: "), ("read_file", "file_path", "Read: "), ("write_file", "file_path", "Write: "))
+
+
+def _tool_summary(name: Column, args: Column) -> Column:
+    heads = [F.when((name == tool) & _there(F.get_json_object(args, f"$.{k}")), F.concat(F.lit(head), F.get_json_object(args, f"$.{k}"))) for tool, k, head in _TOOL_HEADS]
+    return F.coalesce(*heads, F.substring(args, 1, 100))
+
+
+def read_session(documents: DataFrame, model: str = "model") -> DataFrame:
+    """Events of chat sessions, one JSON document (session, value) each, in the order session, msg, part, pos.
+
+    A message of type user gives one event; one of type ``model`` gives its thoughts
+    (depth 1), its tool calls (depth 1) each followed by their results (depth 2), and its
+    content, if not empty.  Other messages give none.
+    """
+    parsed = documents.select("session", F.from_json("value", f"struct<messages:array<{MESSAGE}>>").alias("doc"))
+    m = parsed.select("session", F.posexplode("doc.messages").alias("msg", "m")).select("session", "msg", "m.*").withColumnRenamed("type", "kind").withColumnRenamed("timestamp", "at")
+
+    def event(rows: DataFrame, part: int, pos, at: Column, kind: str, category, text: Column, agent: str, depth: int, error=None) -> DataFrame:
+        as_col = lambda x: x if isinstance(x, Column) else F.lit(x)
+        return rows.select("session", "msg", F.lit(part).alias("part"), as_col(pos).alias("pos"), F.try_to_timestamp(at).alias("ts"), F.lit(kind).alias("type"), as_col(category).alias("category"), text.alias("summary"), F.lit(agent).alias("agent"), F.lit(depth).cast("long").alias("depth"), as_col(False if error is None else error).alias("is_error"))
+
+    said = m.where(F.col("kind") == model)
+    user = event(m.where("kind = 'user'"), 0, 0, F.col("at"), "user", "USER", F.col("content"), "User", 0)
+    thoughts = said.select("session", "msg", "at", F.posexplode("thoughts").alias("pos", "x"))
+    thought = event(thoughts, 1, F.col("pos"), F.coalesce("x.timestamp", "at"), "thought", "THOUGHT", F.coalesce(F.nullif("x.subject", F.lit("")), F.lit("Reasoning")), model, 1)
+    calls = said.select("session", "msg", "at", F.posexplode("toolCalls").alias("pos", "x"))
+    tool = event(calls, 2, F.col("pos") * 1000, F.coalesce("x.timestamp", "at"), "tool", F.col("x.name"), _tool_summary(F.col("x.name"), F.col("x.args")), model, 1)
+    results = calls.select("session", "msg", "at", "pos", "x", F.posexplode("x.result").alias("k", "r"))
+    answer = F.coalesce(F.get_json_object("r", "$.functionResponse.response"), F.col("r"))
+    failed = F.coalesce(F.get_json_object("r", "$.status") == "error", F.lit(False)) | _there(F.get_json_object(answer, "$.error"))
+    result = event(results, 2, F.col("pos") * 1000 + 1 + F.col("k"), F.coalesce("x.timestamp", "at"), "tool_result", F.when(failed, "ERROR").otherwise("RESULT"), F.when(failed, "Tool Failed").otherwise("Tool Finished"), "System", 2, failed)
+    content = event(said.where("content <> ''"), 3, 0, F.coalesce("lastUpdated", "at"), "assistant", "RESPONSE", F.col("content"), model, 0)
+    return user.unionByName(thought).unionByName(tool).unionByName(result).unionByName(content)

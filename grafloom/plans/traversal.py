@@ -91,28 +91,25 @@ def reachable(edges: DataFrame, starts: DataFrame, types=None, direction: str =
     """Distinct ids at the end of a directed trail of 1 to ``depth`` edges from the ids in starts.
 
     A start is among them only if it lies on a cycle of at most that length.  Depth 0 gives
-    no rows.  Shallow searches are one chain of joins, each step keeping what it has and
-    adding neighbours; deeper ones expand new ids only and stop when there are none.
+    no rows.  Each step expands the ids that the one before found first; searches of more
+    than UNROLLED steps hold every level and stop when there is nothing new.
     """
     if depth < 0:
         raise ValueError("depth must not be negative")
     if direction == "both":
         raise ValueError("an edge walked forth and back is no trail: take trails()")
-    step = steps(edges, types, direction).select("at", "to").distinct()
+    step = steps(edges, types, direction).select("at", "to")
     seed = starts.select("id").where("id is not null").distinct()
     if depth == 0:
         return seed.where("false")
-    found = seed.join(step, seed["id"] == step["at"]).select(F.col("to").alias("id")).distinct()
-    if depth <= UNROLLED:
-        for _ in range(depth - 1):
-            both = F.array_compact(F.array("id", "to"))
-            found = found.join(step, found["id"] == step["at"], "left").select(F.explode(both).alias("id")).distinct()
-        return found
-    levels = [held(found)]
-    for _ in range(depth - 1):
+    # every level makes only what it has found distinct, never the edges
+    levels = [seed.join(step, seed["id"] == step["at"]).select(F.col("to").alias("id")).distinct()]
+    for d in range(1, depth):
+        if depth > UNROLLED:
+            levels[-1] = held(levels[-1])
+            if levels[-1].isEmpty():
+                break
         seen = reduce(DataFrame.unionByName, levels)
-        new = held(levels[-1].join(step, levels[-1]["id"] == step["at"]).select(F.col("to").alias("id")).distinct().join(seen, "id", "left_anti"))
-        if new.isEmpty():
-            break
-        levels.append(new)
+        near = levels[-1].join(step, levels[-1]["id"] == step["at"]).select(F.col("to").alias("id")).distinct()
+        levels.append(near.join(seen, "id", "left_anti"))
     return reduce(DataFrame.unionByName, levels)

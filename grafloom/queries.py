@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import projection as P
-from .functions.text import find_pattern, slice_lines
+from .functions.text import cut_bytes, find_pattern, path_ext, path_join, path_stem, slice_lines
 from .operators import intent, trace, upsert, vectors
 from .plans.traversal import trails_recursive
 from .samples import SAMPLES, Sample, expected
 from .sources.extract import extract
-from .sources.jsonl import discriminate, node_lines
+from .sources.jsonl import discriminate, edges_of, functions_of, node_lines, nodes_of, write_graph
 from .sources.markup import script_bodies
+from .storage import shared_folder
 
 START, NAME, FEATURE = "part:7", "blue anvil", "feat-NATION_3"
 Query = Callable[[SparkSession, str], DataFrame]
@@ -153,7 +154,7 @@ _COSINE = "list_dot_product(a::DOUBLE[], b::DOUBLE[]) / (sqrt(list_dot_product(a
 
 
 def _nearest_sql(odd: int) -> str:
-    return f"""SELECT id, name, round(score, 6) AS score FROM (SELECT 'vec:' || vec_id AS id, 'v' || (vec_id % 7) AS name, {_COSINE.replace('a::', 'embedding::').replace('b::', 'q::')} AS score
+    return f"""SELECT id, name, label, round(score, 6) AS score FROM (SELECT 'vec:' || vec_id AS id, 'v' || (vec_id % 7) AS name, '{('Function', 'Feature')[odd]}' AS label, {_COSINE.replace('a::', 'embedding::').replace('b::', 'q::')} AS score
     FROM embeddings, (SELECT embedding AS q FROM embeddings WHERE vec_id = 3) WHERE label % 2 = {odd} ORDER BY score DESC, id LIMIT 10)"""
 
 
@@ -163,12 +164,12 @@ def _third(spark, sf_dir):
 
 @query(_nearest_sql(0))
 def search_similar_topk(spark, sf_dir):
-    return P.vector_graph(spark, sf_dir).search_similar(_third(spark, sf_dir)).withColumn("score", F.round("score", 6))
+    return P.vector_graph(spark, sf_dir).search_similar(_third(spark, sf_dir)).select("id", "name", "label", F.round("score", 6).alias("score"))
 
 
 @query(_nearest_sql(1))
 def search_features_topk(spark, sf_dir):
-    return P.vector_graph(spark, sf_dir).search_features(_third(spark, sf_dir)).withColumn("score", F.round("score", 6))
+    return P.vector_graph(spark, sf_dir).search_features(_third(spark, sf_dir)).select("id", "name", "label", F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH near AS ({_neighbors_sql(START, 1)}) SELECT 'neighbor' AS kind, name, type, via, NULL::DOUBLE AS score FROM near
@@ -278,11 +279,13 @@ def fetch_source_window(spark, sf_dir):
     return P.graph(spark, sf_dir).fetch_source(START)
 
 
-@query(f"""WITH {_G}, {_SOURCE}, one AS (SELECT * FROM nodes WHERE id = 'src/Brand#17/ECONOMY.x'),
-l AS (SELECT unnest(string_split(text, chr(10))[1:50]) AS content, unnest(range(1, least(50, len(string_split(text, chr(10)))) + 1)) AS number FROM one JOIN src ON path = file)
-SELECT row_number() OVER (ORDER BY number)::INTEGER AS match_no, number, content FROM l WHERE contains(content, (SELECT name FROM nodes WHERE id = 'part:1'))""")
+@query(f"""WITH {_G}, {_SOURCE}, one AS (SELECT * FROM nodes WHERE id = '{START}'),
+l AS (SELECT content, unnest(range(len(content))) AS i, start_line FROM (SELECT start_line, string_split(text, chr(10))[start_line:end_line] AS content FROM one JOIN src ON path = file)),
+h AS (SELECT *, row_number() OVER (ORDER BY i) AS match_no FROM l WHERE contains(content[i + 1], '{NAME}'))
+SELECT match_no::INTEGER AS match_no, start_line + j AS number, content[j + 1] AS content FROM (SELECT *, unnest(range(greatest(i - 1, 0), least(i + 1, len(content) - 1) + 1)) AS j FROM h)""")
 def locate_usage(spark, sf_dir):
-    return P.graph(spark, sf_dir).locate_usage("src/Brand#17/ECONOMY.x", "part:1")
+    g = P.graph(spark, sf_dir)
+    return g.locate_usage(START, g.match(NAME).orderBy("id").first()["id"], 1)
 
 
 _JSON_CASES = """CASE p_partkey % 5 WHEN 0 THEN '{"id":"p' || p_partkey || '","type":"Function","name":"' || p_name || '"}'
@@ -306,13 +309,60 @@ def script_block_mask(spark, sf_dir):
     return P.table(spark, sf_dir, "pages").select("page_id", F.size(script_bodies("html")).alias("bodies"), F.array_join(script_bodies("html"), "\n").alias("code"))
 
 
-_MOVES = "CASE event_type WHEN 'signup' THEN 1 WHEN 'purchase' THEN -1 ELSE 0 END"
-
-
-@query(f"""SELECT event_id, (s - least(0, min(s) OVER (PARTITION BY user_id ORDER BY ts, event_id)))::BIGINT AS depth
-FROM (SELECT *, sum({_MOVES}) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM events)""")
-def trace_depth(spark, sf_dir):
-    return trace.stack_depth(P.table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], F.col("event_type") == "signup", F.col("event_type") == "purchase").select("event_id", "depth")
+_TOOL = "CASE WHEN event_type IN ('signup', 'purchase') AND event_id % 4 < 3 THEN CASE event_id % 3 WHEN 0 THEN 'scout' WHEN 1 THEN 'auditor' ELSE 'engineer' END WHEN event_id % 5 = 0 THEN NULL ELSE 'shell' END"
+_HOOK = "CASE event_type WHEN 'signup' THEN 'BeforeTool' WHEN 'purchase' THEN 'AfterTool' WHEN 'error' THEN NULL ELSE 'Notice' END"
+_INPUT = """CASE event_id % 4 WHEN 0 THEN '{"command":"run ' || event_id || '"}' WHEN 1 THEN '{"instruction":"fix ' || event_id || '"}' WHEN 2 THEN '{"k":' || event_id || '}' END"""
+
+
+@query(f"""WITH e AS (SELECT event_id, user_id, event_type, {_TOOL} AS tool, {_HOOK} AS hook, {_INPUT} AS input FROM events),
+m AS (SELECT *, coalesce(tool, '') IN ('scout', 'auditor', 'engineer') AS own FROM e),
+b AS (SELECT *, own AND coalesce(hook, '') = 'BeforeTool' AS push, own AND coalesce(hook, '') = 'AfterTool' AS pop FROM m),
+s AS (SELECT *, sum(CASE WHEN push THEN 1 WHEN pop THEN -1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS s FROM b),
+a AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY user_id ORDER BY event_id)) AS upto FROM s),
+h AS (SELECT *, CASE WHEN pop THEN coalesce(lag(upto) OVER (PARTITION BY user_id ORDER BY event_id), 0) ELSE upto END AS high FROM a)
+SELECT event_id AS seq, coalesce(tool, hook, 'unknown') AS category,
+  CASE WHEN high = 0 THEN 'CLI' ELSE last_value(CASE WHEN push THEN tool END IGNORE NULLS) OVER (PARTITION BY user_id, high ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END AS agent,
+  greatest(high - CASE WHEN own AND hook IS NOT NULL THEN 1 ELSE 0 END, 0)::BIGINT AS depth,
+  CASE event_id % 4 WHEN 0 THEN '$ run ' || event_id WHEN 1 THEN 'Replace: fix ' || event_id WHEN 2 THEN input ELSE CASE WHEN event_type = 'error' THEN '{{"event":"ERROR"}}' ELSE '' END END AS summary,
+  event_type = 'error' AS is_error FROM h""")
+def trace_events(spark, sf_dir):
+    text = f"""to_json(named_struct('hook_event_name', {_HOOK}, 'tool_name', {_TOOL}))"""
+    part = f"""concat(left({text}, length({text}) - 1), if({text} = '{{}}', '', ','), '"at":0', coalesce(concat(',"tool_input":', {_INPUT}), ''), if(event_type = 'error', ',"data":{{"event":"ERROR"}}', ''), '}}')"""
+    lines = P.table(spark, sf_dir, "events").selectExpr("user_id as session", "event_id as seq", f"{part} as value")
+    broken = lines.where("seq % 7 = 0").selectExpr("session", "seq", "'{\"hook_event_name\": \"BeforeTool\", ' as value")
+    return trace.read_trace(lines.unionByName(broken)).select("seq", "category", "agent", "depth", "summary", "is_error")
+
+
+@query("""WITH m AS (SELECT conv_id AS session, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS msg, turn, role, text FROM conversations),
+a AS (SELECT * FROM m WHERE role <> 'user'), t AS (SELECT * FROM a WHERE turn % 3 = 1), c AS (SELECT * FROM a WHERE turn % 4 = 1)
+SELECT session, msg, type, category, summary, agent, depth::BIGINT AS depth, is_error FROM (
+SELECT session, msg, 'user' AS type, 'USER' AS category, text AS summary, 'User' AS agent, 0 AS depth, false AS is_error FROM m WHERE role = 'user'
+UNION ALL SELECT session, msg, 'thought', 'THOUGHT', 'think ' || turn, 'model', 1, false FROM t
+UNION ALL SELECT session, msg, 'thought', 'THOUGHT', 'Reasoning', 'model', 1, false FROM t
+UNION ALL SELECT session, msg, 'tool', 'read_file', 'Read: f' || turn, 'model', 1, false FROM c
+UNION ALL SELECT session, msg, 'tool', 'list', '{"depth":"' || turn || '"}', 'model', 1, false FROM c
+UNION ALL SELECT session, msg, 'tool_result', 'RESULT', 'Tool Finished', 'System', 2, false FROM c
+UNION ALL SELECT session, msg, 'tool_result', 'ERROR', 'Tool Failed', 'System', 2, true FROM c
+UNION ALL SELECT session, msg, 'assistant', 'RESPONSE', text, 'model', 0, false FROM a WHERE text <> '')""")
+def session_events(spark, sf_dir):
+    thoughts = "if(turn % 3 = 1, array(named_struct('subject', concat('think ', turn), 'description', 'd'), named_struct('subject', '', 'description', 'e')), null)"
+    calls = """if(turn % 4 = 1, array(named_struct('name', 'read_file', 'args', map('file_path', concat('f', turn)), 'result', array(named_struct('status', 'ok'), named_struct('status', 'error'))),
+        named_struct('name', 'list', 'args', map('depth', cast(turn as string)), 'result', cast(array() as array<struct<status:string>>))), null)"""
+    message = f"named_struct('type', if(role = 'user', 'user', 'model'), 'content', text, 'thoughts', {thoughts}, 'toolCalls', {calls})"
+    rows = P.table(spark, sf_dir, "conversations").selectExpr("conv_id as session", f"struct(turn, role, text, {message} as m) as x")
+    docs = rows.groupBy("session").agg(F.to_json(F.struct(F.transform(F.array_sort(F.transform(F.collect_list("x"), lambda x: F.struct(x["turn"], x["role"], x["text"], F.to_json(x["m"]).alias("m")))), lambda x: F.from_json(x["m"], trace.MESSAGE)).alias("messages"))).alias("value"))
+    return trace.read_session(docs).select("session", F.col("msg").cast("long").alias("msg"), "type", "category", "summary", "agent", "depth", "is_error")
+
+
+@query("SELECT count(*) FILTER (WHERE contains(lower(concat_ws(' ', role, text)), 'assistant the')) AS shown, count(*) AS total FROM conversations")
+def trace_found(spark, sf_dir):
+    return trace.found(P.table(spark, sf_dir, "conversations"), "Assistant THE", "role", "text")
+
+
+@query("SELECT CASE WHEN event_id % 3 = 0 THEN 'trace' WHEN event_id % 3 = 1 THEN 'session' END AS kind, count(*) AS n FROM events GROUP BY 1")
+def trace_kind(spark, sf_dir):
+    content = """CASE event_id % 3 WHEN 0 THEN concat('\n{"tool_name":"x","n":', event_id, '}\n{broken') WHEN 1 THEN concat('{\n"messages": [', event_id, ']}') ELSE concat('{"n":', event_id, '}') END"""
+    return P.table(spark, sf_dir, "events").select(trace.kind_of(F.expr(content)).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
 
 
 @query("SELECT conv_id, turn FROM conversations WHERE contains(lower(concat_ws(' ', role, text)), 'assistant the')")
@@ -352,3 +402,83 @@ def extract_file(spark, sf_dir):
     suffix = F.element_at(F.array(*map(F.lit, (".java", ".vb", ".JAVA", ".txt"))), (F.col("p_partkey") % 4 + 1).cast("int"))
     files = P.table(spark, sf_dir, "part").select(F.concat(F.lit("f/x"), "p_partkey", suffix).alias("path"), F.when(F.col("p_partkey") % 3 > 0, F.lit("class A")).cast("binary").alias("content"))
     return extract(files).where("label = 'File'").groupBy(F.regexp_extract("id", r"(\.[^.]*)$", 1).alias("suffix")).agg(F.count("*").alias("n"))
+
+
+_KM_STEP = """a{n} AS (SELECT id, cluster FROM (SELECT v.id, c{n}.cluster, row_number() OVER (PARTITION BY v.id ORDER BY 1 - COS, c{n}.cluster) AS r FROM v, c{n}) WHERE r = 1),
+p{n} AS (SELECT cluster, unnest(b) AS x, generate_subscripts(b, 1) AS dim FROM a{n} JOIN v USING (id)),
+m{n} AS (SELECT cluster, list(x ORDER BY dim) AS moved FROM (SELECT cluster, dim, avg(x) AS x FROM p{n} GROUP BY ALL) GROUP BY cluster),
+c{m} AS (SELECT c{n}.cluster, coalesce(moved, a) AS a FROM c{n} LEFT JOIN m{n} USING (cluster))""".replace("COS", _COSINE)
+
+
+@query("WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS b FROM embeddings), c0 AS (SELECT id::INTEGER AS cluster, b AS a FROM v WHERE id < 10), " + ", ".join(_KM_STEP.format(n=n, m=n + 1) for n in range(4)) + " SELECT * FROM a3")
+def kmeans_lloyd_4(spark, sf_dir):
+    return vectors.lloyd(*_lloyd(spark, sf_dir), max_iter=4)
+
+
+@query(f"SELECT p_partkey, regexp_replace(regexp_extract({P._FILE}, '([^/]*)$', 1), '\\.[^.]*$', '') AS stem, '.x' AS ext, 'lib/' || p_type AS joined, CASE WHEN length(p_name) > 10 THEN p_name[1:10] || '..' ELSE p_name END AS cut FROM part")
+def path_parts(spark, sf_dir):
+    rows = P.table(spark, sf_dir, "part").selectExpr("p_partkey", "p_type", "p_name", f"{P._FILE} as f")
+    return rows.select("p_partkey", path_stem("f").alias("stem"), path_ext("f").alias("ext"), path_join(F.lit("lib/core"), F.concat(F.lit("./../"), "p_type")).alias("joined"), cut_bytes("p_name", 10, "..").alias("cut"))
+
+
+@query("SELECT p_partkey AS id, CASE WHEN p_partkey % 7 = 0 THEN NULL WHEN p_partkey % 7 = 1 THEN 1.0 ELSE length(p_name)::DOUBLE END AS size, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE 100.0 END AS most FROM part")
+def embed_batches(spark, sf_dir):
+    text = F.when(F.col("p_partkey") % 7 == 0, None).when(F.col("p_partkey") % 7 == 1, "").otherwise(F.col("p_name"))
+    rows = P.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), text.alias("text"))
+    sized = vectors.embed_column(rows, "text", lambda texts: [[float(len(t)), 100.0 if len(texts) <= 100 else 0.0] for t in texts])
+    return sized.select("id", F.get("embedding", F.lit(0)).cast("double").alias("size"), F.get("embedding", F.lit(1)).cast("double").alias("most"))
+
+
+_DESCRIBED = "CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE 'code of ' || p_name END"
+
+
+@query(f"SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE replace(p_name, ' ', ',') END AS features, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE '// Atomic features: ' || replace(p_name, ' ', ', ') || chr(10) || {_DESCRIBED} END AS shown FROM part")
+def describe_functions(spark, sf_dir):
+    rows = P.table(spark, sf_dir, "part").selectExpr("p_partkey as id", "p_name as name", f"{_DESCRIBED} as content")
+    return intent.describe(rows).select("id", F.array_join("atomic_features", ",").alias("features"), intent.snippet().alias("shown"))
+
+
+@query("""WITH s AS (SELECT 'feat-' || n_name AS feature, 'part:' || p_partkey AS id, p_name, row_number() OVER (PARTITION BY n_name ORDER BY 'part:' || p_partkey) AS r FROM part JOIN nation ON p_partkey % 20 = n_nationkey)
+SELECT 'feat-' || n_name AS id, CASE WHEN n_nationkey < 10 THEN lower(n_name) ELSE n_name END AS name, CASE WHEN n_nationkey < 10 THEN (SELECT string_agg(p_name, '; ' ORDER BY id) FROM s WHERE r <= 11 AND feature = 'feat-' || n_name) END AS description FROM nation""")
+def enrich_features(spark, sf_dir):
+    nation, part = P.table(spark, sf_dir, "nation"), P.table(spark, sf_dir, "part")
+    features = nation.selectExpr("concat('feat-', n_name) as id", "n_name as name")
+    pairs = part.join(nation, F.col("p_partkey") % 20 == F.col("n_nationkey")).selectExpr("concat('feat-', n_name) as feature", "concat('part:', p_partkey) as id", "p_name as content", "cast(null as array<string>) as atomic_features")
+    low = [r[0] for r in nation.where("n_nationkey < 10").select("n_name").collect()]
+
+    def summarise(name, snippets):
+        if name not in low:
+            raise ValueError("no answer")
+        return {"name": name.lower(), "description": "; ".join(snippets)}
+
+    return intent.enrich(features, intent.feature_samples(pairs), summarise).drop("embedding")
+
+
+@query(f"""WITH {_G}, {_PLACED}, c AS (SELECT *, CASE WHEN id LIKE '%1' THEN 'one' ELSE 'rest' END AS category FROM placed)
+SELECT DISTINCT 'domain-' || domain AS src, 'cat-' || category AS dst, 'PARENT_OF' AS type FROM c
+UNION ALL SELECT DISTINCT 'cat-' || category, 'feat-' || cluster, 'PARENT_OF' FROM c UNION ALL SELECT DISTINCT id, 'feat-' || cluster, 'IMPLEMENTS' FROM c""")
+def category_build_edges(spark, sf_dir):
+    placed = _placed(spark, sf_dir).withColumn("category", F.when(F.endswith("id", F.lit("1")), "one").otherwise("rest"))
+    return intent.hierarchy(placed)[1]
+
+
+@query("SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN p_type END AS name FROM part")
+def parse_replies(spark, sf_dir):
+    reply = """CASE p_partkey % 3 WHEN 0 THEN concat('```json\n', to_json(named_struct('name', p_name)), '\n```') WHEN 1 THEN to_json(named_struct('name', p_type)) ELSE p_name END"""
+    return P.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), intent.parse_reply(F.expr(reply), "name string")["name"].alias("name"))
+
+
+@query("""SELECT 'node' AS kind, 'part:' || p_partkey AS id, p_name AS value FROM part UNION ALL SELECT 'edge', 'part:' || p_partkey, 'supp:' || (p_partkey % 10) FROM part""")
+def graph_lines_round_trip(spark, sf_dir):
+    part = P.table(spark, sf_dir, "part")
+    path = shared_folder(spark)
+    write_graph(part.selectExpr("concat('part:', p_partkey) as id", "'Function' as label", "map('name', p_name, 'id', 'own') as props"), part.selectExpr("concat('part:', p_partkey) as src", "concat('supp:', p_partkey % 10) as dst", "'CALLS' as type"), path)
+    lines = spark.read.text(path)
+    nodes = nodes_of(lines).select(F.lit("node").alias("kind"), "id", F.try_element_at("props", F.lit("name")).alias("value"))
+    return nodes.unionByName(edges_of(lines).select(F.lit("edge").alias("kind"), F.col("src").alias("id"), F.col("dst").alias("value")))
+
+
+@query("SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN p_name END AS props_name FROM part WHERE p_partkey % 5 <> 0")
+def function_lines(spark, sf_dir):
+    line = """if(p_partkey % 5 = 0, '{"type":"File","id":0}', to_json(named_struct('id', p_partkey, 'type', 'Function', 'name', if(p_partkey % 2 = 0, p_name, null))))"""
+    return functions_of(P.table(spark, sf_dir, "part").selectExpr(f"{line} as value")).select(F.col("id").cast("long").alias("id"), F.try_element_at("props", F.lit("name")).alias("props_name"))

@@ -54,10 +54,3 @@ def follow(spark: SparkSession, source: str, folder: str, available_now: bool =
     lines = spark.readStream.format("text").load(source)
     writer = lines.writeStream.foreachBatch(Upserter(folder)).option("checkpointLocation", f"{folder}/progress")
     return (writer.trigger(availableNow=True) if available_now else writer).start()
-
-
-def depth_over_time(events: DataFrame, every: str = "10 minutes", late: str = "10 minutes") -> DataFrame:
-    """Pushes and pops of a stream of events (ts, event_type) by window; rows later than ``late`` are dropped."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", every), "event_type").agg(F.count("*").alias("n"))
-
-

@@ -117,7 +117,10 @@ def test_stored_graph_and_sources(spark, tmp_path):
     g = load_graph(spark, f"file://{tmp_path}/g", with_sources=True)
     assert rows(g.status()) == [("abc",)] and rows(g.callers("B")) == [("A",)]
     assert rows(g.fetch_source("A")) == [("a", "x.c", "two\nthree two")]
-    assert rows(g.fetch_source("b")) == [("b", "x.c", "one\ntwo\nthree two\nfour")] and g.fetch_source("c").count() == 0
+    assert rows(g.fetch_source("b")) == [("b", "x.c", "one\ntwo\nthree two\nfour")]
+    for error, bad in ((LookupError, lambda: g.fetch_source("x")), (ValueError, lambda: g.fetch_source("c")), (ValueError, lambda: g.locate_usage("b", "a")), (LookupError, lambda: g.locate_usage("a", "x")), (ValueError, lambda: Graph(nodes, edges).fetch_source("a"))):
+        with pytest.raises(error):
+            bad()
     assert rows(g.locate_usage("a", "c")) == [(1, 2, "two"), (2, 3, "three two")]
     assert rows(Graph(nodes, edges).status()) == [("",)]
     assert g.find_node("Function", "name", "two").first()["id"] == "c"
@@ -166,6 +169,18 @@ def test_vectors_and_groups(spark):
     assert len({groups[i] for i in range(4)}) == 1 and len({groups[i] for i in range(4, 8)}) == 1 and groups[0] != groups[4] and groups[8] == 0
     assert [vectors.group_count(n) for n in (0, 1, 3, 4, 9, 10, 15, 100)] == [0, 1, 1, 2, 2, 2, 3, 20]
     assert [r["id"] for r in vectors.top_by_cosine(v, [0.9, 0.0], 2).collect()] == [0, 2]
+    sound = v.where("id < 8")
+    centroids = vectors.seed_centroids(sound, 5, seed=2)
+    assert centroids.collect() == vectors.seed_centroids(sound.repartition(3), 5, seed=2).collect() and centroids.count() == 4  # no two alike
+    near = rows(vectors.assign(v, centroids))
+    assert near == rows(vectors.assign(v, centroids, block=2)) == rows(vectors.assign(v, centroids, block=1)) and (8, 0) in near
+    g = Graph(v.selectExpr("cast(id as string) as id", "'Function' as label", "'n' as name", "embedding"), spark.createDataFrame([], E))
+
+    def broken(texts):
+        raise OSError("no service")
+
+    assert g.search_similar([1.0, 0.0], 3).columns[-1] == "score" and [r["id"] for r in g.search_similar([1.0, 0.0], 3).collect()] == ["0", "2", "1"]
+    assert g.hybrid_context("0", broken).count() == 0 and g.hybrid_context("0", [1.0, 0.0], limit=2).count() == 2
     calls = []
 
     def embedder(texts):
@@ -200,18 +215,39 @@ def test_intent_layer(spark, tmp_path):
 
 
 def test_traces(spark):
-    from pyspark.sql import functions as F
-
-    events = [(1, "pop", None), (2, "push", "x"), (3, "push", "y"), (4, "pop", "y"), (5, "other", None), (6, "pop", "x"), (7, "pop", None), (8, "push", "z")]
-    df = spark.createDataFrame([("s", *e) for e in events], "session string, seq long, kind string, agent string")
-    got = trace.current_agent(df, "session", ["seq"], F.col("kind") == "push", F.col("kind") == "pop", "agent").orderBy("seq").collect()
-    assert [r["depth"] for r in got] == [0, 1, 2, 1, 1, 0, 0, 1]
-    assert [r["top"] for r in got] == ["main", "x", "y", "x", "x", "main", "main", "z"]
-    doc = '{"messages":[{"type":"user","content":"hi"},{"type":"model","content":"done","thoughts":[{"subject":"s","description":"d"}],"toolCalls":[{"name":"run","args":"{\\"command\\":\\"ls\\"}","result":"ok"}]}]}'
+    steps = [(1, "AfterTool", "scout"), (2, "BeforeTool", "scout"), (3, "BeforeTool", "auditor"), (4, "Notice", "ls"), (5, "AfterTool", "auditor"), (6, None, "scout"), (7, "AfterTool", "scout"), (8, "AfterTool", "scout"), (9, "BeforeTool", "engineer")]
+    df = spark.createDataFrame([("s", *e) for e in steps], "session string, seq long, hook string, tool string")
+    got = trace.agent_at(df, "session", ["seq"], "hook", "tool").orderBy("seq").collect()
+    assert [r["depth"] for r in got] == [0, 0, 1, 2, 1, 1, 0, 0, 0]
+    assert [r["agent"] for r in got] == ["CLI", "scout", "auditor", "auditor", "auditor", "scout", "scout", "CLI", "engineer"]
+    lines = [
+        '{"hook_event_name":"BeforeTool","tool_name":"scout","tool_input":{"command":"ls","x":"1"},"timestamp":"2024-01-01T00:00:00Z"}', "{x", "", "[1]",
+        '{"tool_name":"replace","tool_input":{"instruction":"swap","x":"1"},"data":{"x":"2","error":"e"},"tool_response":"done"}',
+        '{"hook_event_name":"Stop","data":{"hook_event_name":"AfterTool","tool_name":"scout"},"event":"ERROR"}', '{"other":1}',
+    ]
+    rows_ = trace.read_trace(spark.createDataFrame([("s", i, x) for i, x in enumerate(lines)], "session string, seq long, value string")).orderBy("seq").collect()
+    assert [(r["seq"], r["category"], r["agent"], r["depth"], r["summary"], r["is_error"]) for r in rows_] == [
+        (0, "scout", "scout", 0, "$ ls", False), (4, "replace", "scout", 1, "Replace: swap", True),
+        (5, "scout", "scout", 0, '{"hook_event_name":"AfterTool","tool_name":"scout"}', True), (6, "unknown", "CLI", 0, "", False),
+    ]
+    import json
+
+    assert json.loads(rows_[1]["details"]) == {"instruction": "swap", "x": "2", "error": "e", "response": "done"} and rows_[0]["ts"] is not None
+    doc = '{"messages":[{"type":"user","content":"hi"},{"type":"model","content":"done","thoughts":[{"subject":"s","description":"d"},{}],"toolCalls":[{"name":"run_shell_command","args":{"command":"ls"},"result":[{"functionResponse":{"response":{"error":"no"}}},{"ok":1}]}]},{"type":"info","content":"x"}]}'
     chat = trace.read_session(spark.createDataFrame([("c", doc)], "session string, value string")).orderBy("msg", "part", "pos").collect()
-    assert [(r["type"], r["summary"]) for r in chat] == [("user", "hi"), ("thought", "s: d"), ("tool", "run $ ls"), ("tool_result", "ok"), ("assistant", "done")]
-    lines = spark.createDataFrame([("s", 1, '{"type":"BeforeTool","agent":"w","details":{"command":"ls"},"timestamp":"2024-01-01T00:00:00Z"}'), ("s", 2, "{x"), ("s", 3, '{"type":"AfterTool","agent":"w","error":"e"}')], "session string, seq long, value string")
-    assert [(r["agent"], r["depth"], r["summary"], r["is_error"]) for r in trace.read_trace(lines).orderBy("seq").collect()] == [("w", 1, "$ ls", False), ("main", 0, "AfterTool", True)]
+    assert [(r["type"], r["summary"], r["depth"]) for r in chat] == [("user", "hi", 0), ("thought", "s", 1), ("thought", "Reasoning", 1), ("tool", "$ ls", 1), ("tool_result", "Tool Failed", 2), ("tool_result", "Tool Finished", 2), ("assistant", "done", 0)]
+    kinds = spark.createDataFrame([(x,) for x in (lines[0] + "\n{x", " \n" + lines[0], doc, '{"a":1}', "", None)], "c string").select(trace.kind_of("c")).collect()
+    assert [r[0] for r in kinds] == ["trace", "trace", "session", None, None, None]
+
+
+def test_settings(tmp_path, monkeypatch):
+    from grafloom.settings import load
+
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    (tmp_path / ".env").write_text("# c\nGRAFLOOM_GRAPH='file:///g'\nexport GRAFLOOM_SOURCES=/s\nbroken\n")
+    monkeypatch.delenv("GRAFLOOM_GRAPH", raising=False)
+    monkeypatch.setenv("GRAFLOOM_SOURCES", "/mine")
+    assert load(str(tmp_path / "a" / "b")) == {"graph": "file:///g", "sources": "/mine", "limit": ""}
 
 
 def test_incremental_upserts(spark, tmp_path):
