@@ -30,7 +30,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, mix64, slices, utf8
+from .common import discard, materialize, mix64, short_batches, slices, utf8
 
 _WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: White space as the tokenizer's pattern sees it, cut the same way; the rest is left to words.
@@ -562,6 +562,7 @@ def bpe_round_trip(docs: DataFrame, vocabulary_file: str, lexicon_words: int = 1
     doc_id and repeated rows are kept as they are; other columns are not read; an empty
     table gives an empty result.  vocabulary_file is read on the driver.
     """
+    short_batches(docs.sparkSession)
     make = build_encoder(docs.sparkSession, docs, vocabulary_file, lexicon_words)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -16,16 +17,21 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 _LOCAL_FALLBACK: list[str] = []
+#: Folders handed out so far, so that a run can sweep up after itself.
+_made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """A new folder under spark.checkpoint.dir; where that is unset, a temporary one in local mode and an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not _LOCAL_FALLBACK:
             _LOCAL_FALLBACK.append("file://" + tempfile.mkdtemp(prefix="grafloom-"))
         base = _LOCAL_FALLBACK[0]
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    _made.append(f"{base.rstrip('/')}/{uuid.uuid4().hex}")
+    return _made[-1]
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -37,11 +43,33 @@ def materialize(df: DataFrame) -> DataFrame:
     return held
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
 def discard(held: DataFrame) -> None:
     """Delete the files of a materialised table; nothing that still runs may read it."""
-    jvm = held.sparkSession._jvm
-    path = jvm.org.apache.hadoop.fs.Path(held.shared_path)
-    path.getFileSystem(held.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    _delete(held.sparkSession, held.shared_path)
+
+
+def sweep(spark: SparkSession, since: int, keep: DataFrame) -> int:
+    """Delete the folders handed out from number ``since`` on but that of ``keep``; returns the number of the next one."""
+    for path in _made[since:]:
+        if path != keep.shared_path:
+            _delete(spark, path)
+    return len(_made)
+
+
+def folders_made() -> int:
+    return len(_made)
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Texts are long: hand Python 2,000 rows at once, unless the session has its own number."""
+    name, usual = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+    if spark.conf.get(name, usual) == usual:
+        spark.conf.set(name, "2000")
 
 
 def fresh(taken: Iterable[str], name: str) -> str:

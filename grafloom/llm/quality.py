@@ -18,9 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import WordHashes
+from .common import WordHashes, short_batches
 
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 SCALE = 1 << 20
@@ -168,6 +167,7 @@ def log_ratios(counts: list, buckets: int, prior: int) -> np.ndarray:
 
 def _scorer(docs: DataFrame, labels: DataFrame, params: QualityParams):
     """A function from (text, cache, ratios) to the counts, verdict and score, and the broadcast ratios."""
+    short_batches(docs.sparkSession)
     trusted = trusted_ids(labels, params)
     counts = corpus_counts(docs, trusted, params).collect()  # params.buckets rows at most
     table = docs.sparkSession.sparkContext.broadcast(log_ratios(counts, params.buckets, params.prior).tobytes())
@@ -210,20 +210,23 @@ def quality_rules(docs: DataFrame, labels: DataFrame, params: QualityParams | No
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def quality_verdicts(docs: DataFrame, labels: DataFrame, params: QualityParams | None = None) -> DataFrame:
-    """Every row of docs, with all its columns, and its verdict as ``kept``."""
+def keep_good(docs: DataFrame, labels: DataFrame, params: QualityParams | None = None) -> DataFrame:
+    """The rows of docs, with all their columns, that the base rules and the score keep.
+
+    Null, empty and blank texts fail the base rules and go.  Rows with a null doc_id are
+    scored, never trusted; repeated rows are kept or go alike.  Columns of any name pass
+    unchanged; without trusted labels the base rules alone decide; an empty table gives an
+    empty result.
+    """
     score, table = _scorer(docs, labels, params or QualityParams())
-    names = [c for c in docs.columns if c != "kept"]
-    at = names.index("text")
+    at = docs.columns.index("text")
 
     def run(batches):
         ratio, cache = np.frombuffer(table.value, np.int64), WordHashes(word_hash)
         for batch in batches:
-            kept = [score(t, cache, ratio)[6] for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(kept, pa.bool_())], names=[*names, "kept"])
+            yield batch.filter(pa.array([score(t, cache, ratio)[6] for t in batch.column(at).to_pylist()], pa.bool_()))
 
-    rows = docs.select(*names)
-    return rows.mapInArrow(run, T.StructType([*rows.schema, T.StructField("kept", T.BooleanType())]))
+    return docs.mapInArrow(run, docs.schema)
 
 
 def _ids(words: list[bytes]) -> np.ndarray:

@@ -23,12 +23,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Powers, WordHashes, merge_intervals, minimizers, mix64, row_key, runs, slices, sorted_groups, window_hashes
+from .common import Powers, WordHashes, merge_intervals, minimizers, mix64, row_key, runs, short_batches, slices, sorted_groups, window_hashes
 
 GRAM = 8
 ROWS = 2
 BLOCK_CELLS = 1 << 20
-PIECE = 1 << 20
+PIECE = 1 << 18
 _Q, _Q2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _SALTS = (0x243F6A8885A308D3, 0x13198A2E03707344)
 _LAST = 1 << 62
@@ -209,6 +209,7 @@ def substring_dedup(docs: DataFrame, width: int = 20, most_cells: int = 1 << 28)
     """
     if width < GRAM:
         raise ValueError(f"width must be {GRAM} or more")
+    short_batches(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), row_key("doc_id", text).alias("uid"), text.alias("text"))
     chars = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0

@@ -91,3 +91,41 @@ def test_stages_keep_columns_and_empty_tables(spark, tmp_path):
         assert out.count() == 0
         if name != "bpe":
             assert out.columns == empty.columns
+
+
+def test_every_stage_alone_with_odd_rows(spark, tmp_path):
+    """Null ids, null and empty texts, repeated rows and columns with clashing names."""
+    from pyspark.sql import functions as F
+
+    clash = ("kept", "tag", "times", "uid", "spans", "fp", "h", "doc", "size", "key")
+    rows = documents(seed=3, n=40)
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3).withColumns({c: F.lit(c) for c in clash})
+    spark.createDataFrame([(r[0], 1, 0) for r in rows[:9]], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    counted = lambda df: sorted(repr((r["doc_id"], r["text"])) for r in df.collect())
+    given = counted(docs)
+    out = {name: stage(spark, docs, str(tmp_path)) for name, stage in corpus_pipeline.STAGES}
+    for name in ("quality", "near_dedup", "suffix_dedup", "mix"):
+        assert out[name].columns == docs.columns and all(r[c] == c for r in out[name].limit(5).collect() for c in clash)
+    kept = counted(out["quality"])
+    assert set(kept) <= set(given) and not any(r["text"] is None or not r["text"].strip() for r in out["quality"].collect())
+    assert all(kept.count(x) == given.count(x) for x in set(kept))
+    one = counted(out["near_dedup"])
+    assert set(one) <= set(given) and len(set(one)) == len(one) and len(one) == len({c for _, _, c in brute.components([(r[0], r[1]) for r in rows])})
+    assert out["suffix_dedup"].count() == len(rows)
+    mix = counted(out["mix"])
+    assert set(mix) <= set(given) and all(mix.count(x) <= 3 * given.count(x) for x in set(mix)) and mix
+    assert out["bpe"].count() == len(rows)
+
+
+def test_run_sweeps_up(spark, tmp_path):
+    import os
+
+    rows = documents(seed=5, n=30)
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(r[0], 1, 0) for r in rows[:9]], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    from grafloom.llm import common
+
+    before = common.folders_made()
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+    left = [p for p in common._made[before:] if os.path.exists(p.removeprefix("file://"))]
+    assert len(left) <= 2
