@@ -6,16 +6,19 @@ distance of the fingerprints, so it is a lower bound to filter by.  In unary cod
 (0 -> 00, 1 -> 01, 2 -> 11) the embedding is again 64 bits and that distance is one
 popcount of an exclusive or.
 
-The 32 coordinates fall into six blocks.  Within Manhattan distance 3, at most three
-blocks differ, so two near fingerprints share a cell of at least one of the twenty grids
-that three blocks span.  Cells that hold several fingerprints are compared inside; a cell
-of more than ``chunk`` is cut into chunks that meet pair by pair, each pair in a task.
-Of the links of a comparison only a spanning forest is emitted.
+The 32 coordinates fall into blocks.  Within Manhattan distance 3, at most three blocks
+differ, so two near fingerprints share a cell of at least one of the grids that all blocks
+but three span: twenty grids for six blocks.  The more fingerprints there are, the more
+blocks are taken, so that cells stay small: see ``block_count``.  Cells that hold several
+fingerprints are compared inside; a cell of more than ``chunk`` is cut into chunks that
+meet pair by pair, each pair in a task.  Of the links of a comparison only a spanning
+forest is emitted.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
+import math
+from itertools import combinations, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -23,19 +26,38 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, mix64, row_key, sorted_groups
+from .common import connected_components, fresh, materialize, mix64, row_key, short_batches, sorted_groups
 
 LOW = np.uint64(0x5555555555555555)
-BLOCKS = 6
-_CUTS = [0, 5, 10, 15, 20, 26, 32]  # in segments of two bits
-_MASKS = [sum(3 << (2 * s) for s in range(a, b)) for a, b in zip(_CUTS, _CUTS[1:], strict=False)]
+SEGMENTS = 32
+#: Bits that tell the counts of two random segments apart: 0, 1, 2 with odds 1, 2, 1.
+SEGMENT_BITS = -math.log2((1 + 4 + 1) / 16)
+#: A cell entry costs about as much as comparing so many pairs.
+ENTRY_COST = 32
 
 
-def grid_masks(distance: int) -> list[int]:
+def block_count(n: int, distance: int) -> int:
+    """Number of blocks with the least expected work for n fingerprints.
+
+    A fingerprint has an entry in each grid, and meets by chance those that agree in all
+    blocks of a grid.  Pairs a fingerprint so stay bounded while entries a fingerprint grow
+    with the logarithm of n.
+    """
+
+    def work(blocks: int) -> float:
+        grids = math.comb(blocks, distance)
+        return grids * (ENTRY_COST + n * 2.0 ** (-SEGMENT_BITS * SEGMENTS * (blocks - distance) / blocks))
+
+    return min(range(distance + 3, 17), key=work) if distance <= 8 else distance + 3
+
+
+def grid_masks(distance: int, blocks: int) -> list[int]:
     """Masks of the block choices of which near embeddings share at least one."""
-    if not 0 <= distance < BLOCKS:
-        raise ValueError(f"distance must be 0 to {BLOCKS - 1}")
-    return [sum(x) for x in combinations(_MASKS, BLOCKS - distance)]
+    if not 0 <= distance < blocks <= SEGMENTS:
+        raise ValueError(f"distance must be 0 to {blocks - 1}")
+    cuts = [SEGMENTS * b // blocks for b in range(blocks + 1)]
+    masks = [sum(3 << (2 * s) for s in range(a, b)) for a, b in pairwise(cuts)]
+    return [sum(x) for x in combinations(masks, blocks - distance)]
 
 
 def embed(x: np.ndarray) -> np.ndarray:
@@ -72,6 +94,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, tag: bool = False) -> DataFr
             values = np.fromiter((fingerprint(t, shingle) for t in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64)), *batch.columns[2:]], names=["doc_id", "fp", "tag"][: batch.num_columns])
 
+    short_batches(docs.sparkSession)
     keys = [row_key("doc_id", F.col("text").cast("string")).alias("tag")] * tag
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"), *keys)
     return rows.mapInArrow(run, "doc_id long, fp long" + ", tag long" * tag)
@@ -103,12 +126,13 @@ def forest(x: np.ndarray, e: np.ndarray, distance: int, split: int = 0) -> list[
     return out
 
 
-def near_links(distinct: DataFrame, distance: int = 3, chunk: int = 512) -> DataFrame:
+def near_links(distinct: DataFrame, distance: int = 3, chunk: int = 512, blocks: int | None = None) -> DataFrame:
     """Links (a, b) that connect just what fingerprints within ``distance`` bits connect.
 
-    distinct: one column fp without repeats or nulls.
+    distinct: one column fp without repeats or nulls.  blocks: of the grids; by default
+    what ``block_count`` says.  Either way no link is missed.
     """
-    masks = grid_masks(distance)
+    masks = grid_masks(distance, blocks or block_count(distinct.count(), distance))
 
     def cells(batches):
         for batch in batches:
@@ -177,18 +201,19 @@ def near_duplicates(docs: DataFrame, distance: int = 3, shingle: int = 3) -> Dat
 
 
 def drop_near_duplicates(docs: DataFrame, distance: int = 3, shingle: int = 3) -> DataFrame:
-    """One row of docs for each near-duplicate group: that with the smallest doc_id.
+    """One row of docs, with all its columns, for each near-duplicate group: that with the smallest doc_id.
 
     Of rows that repeat that id, the one with the least fingerprint and text hash stays; a
-    group of null ids only keeps one row likewise.
+    group of null ids only keeps one row likewise, and of repeated rows one.  Null, empty and
+    blank texts form one group, fingerprint zero.  Columns of any name pass unchanged; an
+    empty table gives an empty result.
     """
     rows = materialize(fingerprints(docs, shingle, tag=True))
     named = fingerprint_classes(rows, distance)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "tag")
     first = rows.join(named, "fp").groupBy(F.coalesce("component_id", "fp").alias("g"), F.col("component_id").isNull()).agg(F.min(place).alias("p"))
-    winners = first.select(F.col("p.doc_id").alias("__id"), F.col("p.tag").alias("__tag"))
-    names = docs.columns
-    tagged = docs.withColumn("__tag", row_key("doc_id", F.col("text").cast("string")))
-    joined = tagged.join(winners, "__tag", "left_semi")
+    tag = fresh(docs.columns, "tag")
+    tagged = docs.withColumn(tag, row_key("doc_id", F.col("text").cast("string")))
+    joined = tagged.join(first.select(F.col("p.tag").alias(tag)), tag, "left_semi")
     # equal rows share a tag: one of them stays
-    return joined.dropDuplicates(["__tag"]).select(*names)
+    return joined.dropDuplicates([tag]).select(*docs.columns)
