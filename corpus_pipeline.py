@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grafloom.llm import bpe, mixing, quality, simhash, suffix_dedup
-from grafloom.llm.common import materialize, read_table
+from grafloom.llm.common import discard, folders_made, materialize, read_table, sweep
 from grafloom.llm.queries import vocabulary_path
 
 #: Repeated strings of this many bytes are cut: half of what the operator's own query takes,
@@ -19,13 +19,20 @@ REPEAT_BYTES = 200
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the likelihood ratio keep."""
-    verdict = quality.quality_verdicts(docs, read_table(spark, sf_dir, "labels"))
-    return verdict.where("kept").select(*docs.columns)
+    """Documents that the base rules and the likelihood ratio keep; rules of ``quality.keep_good``.
+
+    Null, empty and blank texts go, null ids are scored like others, repeated rows are kept
+    or go alike, an empty table stays empty.
+    """
+    return quality.keep_good(docs, read_table(spark, sf_dir, "labels"))
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: that with the smallest doc_id."""
+    """One document of each near-duplicate group: that with the smallest doc_id; rules of ``simhash.drop_near_duplicates``.
+
+    Null, empty and blank texts are one group; null ids are never the smallest; of repeated
+    rows one stays; an empty table stays empty.
+    """
     return simhash.drop_near_duplicates(docs)
 
 
@@ -40,12 +47,20 @@ def cut_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it, none to three."""
+    """Each document as many times as the mix takes it, none to three; rules of ``mixing.take_mix``.
+
+    Null, empty and blank texts are not taken; null ids are ordered by their text; repeated
+    rows are documents of their own; an empty table stays empty.
+    """
     return mixing.take_mix(docs)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Tokens of every document of the mix, and the digest of their decoding."""
+    """Tokens of every row of the mix, and the digest of their decoding; rules of ``bpe.bpe_round_trip``.
+
+    A null text has no tokens; null ids and repeated rows come back as they are; an empty
+    table gives an empty result.
+    """
     return bpe.bpe_round_trip(docs, vocabulary_path())
 
 
@@ -62,9 +77,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in a row.
+
+    What a stage held in the shared folder goes when its result is written there; the last
+    stage's input and tables stay, as its result reads them.
+    """
     docs = read_table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        since = folders_made()
+        old, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = materialize(docs)
+            sweep(spark, since, docs)
+            if k:
+                discard(old)
     return docs
