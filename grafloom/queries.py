@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ from .plans.traversal import trails_recursive
 from .samples import SAMPLES, Sample, expected
 from .sources.extract import extract
 from .sources.jsonl import discriminate, edges_of, functions_of, node_lines, nodes_of, write_graph
-from .sources.markup import script_bodies
+from .sources.markup import language, script_bodies, server_code
 from .storage import shared_folder
 
 START, NAME, FEATURE = "part:7", "blue anvil", "feat-NATION_3"
@@ -309,6 +310,20 @@ def script_block_mask(spark, sf_dir):
     return P.table(spark, sf_dir, "pages").select("page_id", F.size(script_bodies("html")).alias("bodies"), F.array_join(script_bodies("html"), "\n").alias("code"))
 
 
+_PAGE = "'<p>' || p_name || '</p>' || chr(10) || CASE p_partkey % 3 WHEN 0 THEN '<%@ Page Language=\"VB\" %>' WHEN 1 THEN '<%@ language=''C#''%>' ELSE '' END || '<%= Run(' || p_partkey || ') %><script runat=\"server\">x()</script><script>y()</script>'"
+_HIDDEN = "CASE p_partkey % 3 WHEN 0 THEN 25 WHEN 1 THEN 19 ELSE 0 END"
+
+
+@query(f"SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 OR p_partkey % 3 = 2 AND p_partkey % 2 = 0 THEN 'vb' ELSE 'cs' END AS lang, repeat(' ', 7 + length(p_name)) || chr(10) || repeat(' ', 3 + {_HIDDEN}) || ' Run(' || p_partkey || ') ' || repeat(' ', 2 + 23) || 'x()' || repeat(' ', 9 + 20) AS code FROM part")
+def server_code_mask(spark, sf_dir):
+    @F.pandas_udf("code string, lang string")
+    def read(path: pd.Series, text: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"code": text.map(server_code), "lang": [language(p, t) for p, t in zip(path, text, strict=True)]})
+
+    path = F.when(F.col("p_partkey") % 2 == 0, "a.ASP").otherwise("a.aspx")
+    return P.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), read(path, F.expr(_PAGE)).alias("r")).select("id", "r.lang", "r.code")
+
+
 _TOOL = "CASE WHEN event_type IN ('signup', 'purchase') AND event_id % 4 < 3 THEN CASE event_id % 3 WHEN 0 THEN 'scout' WHEN 1 THEN 'auditor' ELSE 'engineer' END WHEN event_id % 5 = 0 THEN NULL ELSE 'shell' END"
 _HOOK = "CASE event_type WHEN 'signup' THEN 'BeforeTool' WHEN 'purchase' THEN 'AfterTool' WHEN 'error' THEN NULL ELSE 'Notice' END"
 _INPUT = """CASE event_id % 4 WHEN 0 THEN '{"command":"run ' || event_id || '"}' WHEN 1 THEN '{"instruction":"fix ' || event_id || '"}' WHEN 2 THEN '{"k":' || event_id || '}' END"""
