@@ -29,11 +29,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Powers, discard, fresh, materialize, merge_intervals, minimizers, row_key, runs, slices, sorted_groups, utf8, window_hashes
+from .common import Powers, fresh, materialize, merge_intervals, minimizers, row_key, runs, short_batches, slices, sorted_groups, utf8, window_hashes
 
 GRAM = 32
-PIECE = 1 << 21
-BLOCK = 1 << 21
+PIECE = 1 << 19
+BLOCK = 1 << 19
 #: Segments that a task gathers before it sends one row for each distinct one.
 GATHER = 50_000
 _Q = 0x9E3779B97F4A7C15
@@ -207,7 +207,7 @@ def _classes(parts: DataFrame, width: int, size: int) -> DataFrame:
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in (big.slice(i, 500) for big in batches for i in range(0, big.num_rows, 500)):
             rows = []
             for _, _, _, _, doc, uid, s, n, p, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for c in range((p - n + 1) // size, p // size + 1):
@@ -274,6 +274,7 @@ def repeated_spans(keyed: DataFrame, width: int, hot: int, first_stays: bool = F
     keyed: doc, uid, text.  With ``first_stays`` the first place of each window, by doc,
     uid and s, is left out.
     """
+    short_batches(keyed.sparkSession)
     found = materialize(anchors(keyed, width))
     place = F.struct("doc", "uid", "s", "n", "p")
     kinds = materialize(found.groupBy("h", "g", "k").agg(F.sum("c").alias("c"), F.min(place).alias("first")))
@@ -283,15 +284,15 @@ def repeated_spans(keyed: DataFrame, width: int, hot: int, first_stays: bool = F
     listed = found.join(twice, ["h", "g", "k"]).select("n", "first", F.explode(places).alias("x"))
     if first_stays:
         listed = listed.where("x != first")
-    whole = materialize(listed.select("x.uid", "x.s", (F.col("x.s") + F.col("n") - 1 + width).alias("e")))
-    discard(found)
+    whole = listed.select("x.uid", "x.s", (F.col("x.s") + F.col("n") - 1 + width).alias("e"))
 
     part = F.struct("h", "g", "k", "first.doc", "first.s", "first.n", "first.p", (F.col("kinds") > hot).alias("hot"))
     parts = materialize(_texts_of(keyed, kinds.join(keys, "h").select("first.uid", part.alias("part")), width))
-    discard(kinds)
     spans = whole.unionByName(_sorted_spans(parts.where("not hot"), width, first_stays))
     warm = parts.where("hot")
     for size in CLASSES:
+        if warm.isEmpty():
+            break
         twice, cold, warm = _split(warm, width, min(size, max(width // 4, 1)), hot, first_stays)
         spans = spans.unionByName(twice).unionByName(_sorted_spans(cold, width, first_stays))
     return spans
@@ -332,7 +333,7 @@ def _kept(text: bytes, spans) -> tuple[bytes, list[tuple[int, int]]]:
     return b"".join(out), cuts
 
 
-def suffix_dedup(docs: DataFrame, width: int = 400, hot: int = 1024) -> DataFrame:
+def suffix_dedup(docs: DataFrame, width: int = 400, hot: int = 512) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of docs.
 
     Removed is each byte covered by a string of ``width`` bytes that starts anywhere else
@@ -357,7 +358,7 @@ def suffix_dedup(docs: DataFrame, width: int = 400, hot: int = 1024) -> DataFram
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def cut_repeats(docs: DataFrame, width: int = 400, hot: int = 1024, first_stays: bool = False) -> DataFrame:
+def cut_repeats(docs: DataFrame, width: int = 400, hot: int = 512, first_stays: bool = False) -> DataFrame:
     """docs, with all its columns, with the repeated strings cut from text.
 
     Cut is each byte covered by a string of ``width`` bytes that starts anywhere else in
