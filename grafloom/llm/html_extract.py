@@ -9,6 +9,12 @@ different main text each hash recurs, and subtrees that recur are deleted.  Para
 headings, lists and the like inside an article can also be quoted or copied: they must
 recur over a share of the host's pages, and single ones over more pages than whole lists,
 tables and figures.  A page most of whose text they make up is a copy and stays whole.
+
+What stands around the main text often varies in its words, but not in its form.  So each
+frame, a container or list outside article and main that is dropped by the rules or whose
+text is links for the most part, is also hashed by its place and form alone (tags and class
+names, rows of like children as one) and counted likewise; frames that recur over a share
+of the host's pages are deleted, unless one holds most of its page's text.
 """
 
 from __future__ import annotations
@@ -30,8 +36,8 @@ BLOCKS = frozenset("address article aside blockquote body center dd details dial
 CONTENT = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre table tbody thead tfoot tr td th caption figure figcaption".split())
 #: Of CONTENT, those that hold a whole list, table or figure.
 GROUPS = frozenset("ul ol dl table figure".split())
-#: Kinds of subtrees: outside CONTENT or outside the roots; whole groups; other content.
-FREE, GROUP, SINGLE = range(3)
+#: Kinds of subtrees: outside CONTENT or outside the roots; whole groups; other content; frames, by form.
+FREE, GROUP, SINGLE, FRAME = range(4)
 ROOTS = frozenset("html body article main".split())
 CELLS = frozenset(("td", "th"))
 #: Class and id names of what is never article text; words that are also topics or layouts only as the sole name.
@@ -49,10 +55,12 @@ _SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}),
 
 
 class _Element:
-    __slots__ = ("dropped", "in_root", "parts", "roots", "start", "tag", "undo")
+    __slots__ = ("chars", "dropped", "form", "in_root", "links", "parts", "roots", "start", "tag", "undo")
 
-    def __init__(self, tag, dropped, in_root, start, roots):
+    def __init__(self, tag, dropped, in_root, start, roots, names):
         self.tag, self.dropped, self.in_root, self.start, self.roots, self.parts = tag, dropped, in_root, start, roots, []
+        self.form = [f"{tag}.{names}"]  # tag and class names, then the children's forms
+        self.chars = self.links = 0  # of its text, and of that in links
         self.undo = None  # state at the start, if the name says that this is no article text
 
 
@@ -102,7 +110,8 @@ class Page:
             self.articles = self._doubtful
         if self.articles or self.mains:  # subtrees outside cannot reach the main text
             roots = self.articles or self.mains
-            self.subtrees = [s for s in self.subtrees if any(a <= s[2] and s[3] <= b for a, b in roots)]
+            inside = [s for s in self.subtrees if s[1] != FRAME and any(a <= s[2] and s[3] <= b for a, b in roots)]
+            self.subtrees = inside + [(d, kind, 0, 0) for d, kind, _, _ in self.subtrees if kind == FRAME]
 
     def _flush(self) -> None:
         if self._text:
@@ -128,12 +137,21 @@ class Page:
 
     def _close(self) -> None:
         e = self._stack.pop()
+        above = self._stack[-1] if self._stack else None
+        form = f"{_signed(xxhash.xxh64_intdigest(' '.join(e.form))):x}"
+        if above is not None and above.form[-1] != form:
+            above.form.append(form)
         if e.undo and self._named_end(e):
+            self._frame(e, above, form)
             return
         block = e.tag in BLOCKS
         if block and not e.dropped:
             self._flush() if e.tag not in CELLS else self._text.append(" ")
-        above = self._stack[-1] if self._stack else None
+        if above is not None:
+            above.chars += e.chars
+            above.links += e.chars if e.tag == "a" else e.links
+        if e.dropped or 2 * e.links >= e.chars > 0:
+            self._frame(e, above, form)
         if e.dropped:
             return
         digest = xxhash.xxh64_intdigest(f"{e.tag}\0{'\0'.join(e.parts)}")
@@ -148,7 +166,13 @@ class Page:
             self.mains.append((e.start, end))
         elif end > e.start and e.tag not in ROOTS and e.tag not in CELLS and self._roots() == e.roots:
             kind = FREE if not e.in_root or e.tag not in CONTENT else GROUP if e.tag in GROUPS else SINGLE
-            self.subtrees.append((digest - (1 << 64) if digest >> 63 else digest, kind, e.start, end))
+            self.subtrees.append((_signed(digest), kind, e.start, end))
+
+    def _frame(self, e: _Element, above: _Element | None, form: str) -> None:
+        """Note a container or list outside the roots, without one, by its place and form; of dropped ones the outermost."""
+        if e.tag in BLOCKS and (e.tag not in CONTENT or e.tag in GROUPS) and e.tag not in ROOTS and e.tag != "head" and not e.in_root and self._roots() == e.roots and not (above and above.dropped):
+            place = "/".join(x.tag for x in self._stack)
+            self.subtrees.append((_signed(xxhash.xxh64_intdigest(f"{place} {form}")), FRAME, e.start, max(e.start, len(self.blocks))))
 
     def _open(self, tag: str, attrs: str) -> None:
         stack = self._stack
@@ -167,7 +191,8 @@ class Page:
             if tag == "br" and not dropped:
                 self._text.append(" ")
             return
-        e = _Element(tag, dropped, in_root, len(self.blocks), self._roots())
+        names = " ".join(_attributes(attrs).get("class", "").lower().split()) if "class" in attrs else ""
+        e = _Element(tag, dropped, in_root, len(self.blocks), self._roots(), names)
         if not dropped and _named(tag, attrs, bool(in_root)):
             e.undo = len(self.blocks), self._text.copy(), len(self.subtrees), len(self.articles), len(self.mains)
         stack.append(e)
@@ -191,7 +216,9 @@ class Page:
             text = entities.unescape(text)
         self._text.append(text)
         if top is not None:
-            top.parts.append(" ".join(text.split()))
+            part = " ".join(text.split())
+            top.parts.append(part)
+            top.chars += len(part)
 
     def _parse(self, source: str) -> None:
         at, find = 0, _TOKEN.search
@@ -243,7 +270,11 @@ class Page:
         """Blocks of the roots, and the subtrees by their places among these."""
         kept = self._kept()
         place = {i: k for k, i in enumerate(kept)}
-        return [self.blocks[i] for i in kept], [(d, kind, place[a], place[b - 1] + 1) for d, kind, a, b in self.subtrees]
+        return [self.blocks[i] for i in kept], [(d, kind, place[a], place[b - 1] + 1) if a < b else (d, kind, 0, 0) for d, kind, a, b in self.subtrees]
+
+
+def _signed(digest: int) -> int:
+    return digest - (1 << 64) if digest >> 63 else digest
 
 
 def host(url: str | None) -> str:
@@ -286,13 +317,14 @@ def parse_pages(rows: DataFrame) -> DataFrame:
 
 
 def cleaned_blocks(blocks: list[str], subtrees: list[dict], templates: list[dict] | None) -> list[str]:
-    """The blocks without those of templates; content that makes up most of the rest stays."""
+    """The blocks without those of templates; a frame that makes up most of the page stays, and content that makes up most of the rest."""
     if not templates:
         return blocks
     found = {(t["subtree"], t["kind"]) for t in templates}
     doomed = [x for x in subtrees if (x["subtree"], x["kind"]) in found]
-    free = {i for x in doomed if x["kind"] == FREE for i in range(x["a"], x["b"])}
-    content = {i for x in doomed if x["kind"] != FREE for i in range(x["a"], x["b"])} - free
+    half = sum(map(len, blocks)) / 2
+    free = {i for x in doomed if x["kind"] == FREE or x["kind"] == FRAME and sum(map(len, blocks[x["a"] : x["b"]])) <= half for i in range(x["a"], x["b"])}
+    content = {i for x in doomed if x["kind"] in (GROUP, SINGLE) for i in range(x["a"], x["b"])} - free
     chars = sum(len(x) for i, x in enumerate(blocks) if i not in free)
     if 2 * sum(len(blocks[i]) for i in content) <= chars:
         free |= content
@@ -306,22 +338,21 @@ def extract_main_text(pages: DataFrame, min_pages: int = 5, single_pages: int =
     main texts differ; copies of one page count once.  Inside an article or main, a whole
     list, table or figure must also be on ``share`` of the host's pages, and a paragraph,
     heading, list item or the like on ``single_pages`` pages besides; a page whose text is
-    mostly such templates keeps them.  A null or empty html gives an empty
+    mostly such templates keeps them.  Frames, told by their form, must also be on ``share``
+    of the host's pages.  A null or empty html gives an empty
     text.  A null url is a host of its own.  Unclosed and stray tags are repaired as far
     as block structure needs; text outside any element counts as body text.  Repeated rows
     all come back; extra columns are not read; an empty table gives an empty result.
 
-    Pages are parsed once and held in the shared folder; templates, and the pages that hold
-    some, are held likewise, so that both are sent to the pages while they are few.
+    Pages are parsed once and held in the shared folder; templates, and the pages whose text
+    holds some, are held likewise, so that both are sent to the pages while they are few.
     """
     parsed = materialize(parse_pages(pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))))
-    listed = parsed.where("main is not null").select("page_key", "host", "main", F.explode("subtrees").alias("s")).select("page_key", "host", "main", "s.subtree", "s.kind")
-    keys = ["host", "subtree", "kind"]
-    counted = listed.select(*keys, "main").distinct().groupBy(*keys).agg(F.count("*").alias("n"))
-    often = counted.where(F.col("n") >= F.when(F.col("kind") == SINGLE, max(single_pages, min_pages)).otherwise(min_pages))
-    hosts = parsed.where("main is not null").select("host", "main").distinct().groupBy("host").agg(F.count("*").alias("mains"))
-    templates = materialize(often.join(hosts, "host").where((F.col("kind") == FREE) | (F.col("n") >= share * F.col("mains"))).select(*keys))
-    doomed = materialize(listed.join(templates, keys).groupBy("page_key").agg(F.collect_set(F.struct("subtree", "kind")).alias("templates")))
+    templates = page_templates(parsed, min_pages, single_pages, share)
+    # of pages, only those where a template holds text have to meet it
+    with_text = F.filter("subtrees", lambda s: s["a"] < s["b"])
+    listed = parsed.where("main is not null").select("page_key", "host", F.explode(with_text).alias("s")).select("page_key", "host", "s.subtree", "s.kind")
+    doomed = materialize(listed.join(templates, ["host", "subtree", "kind"]).groupBy("page_key").agg(F.collect_set(F.struct("subtree", "kind")).alias("templates")))
 
     def cleaned(batches):
         for batch in batches:
@@ -333,3 +364,13 @@ def extract_main_text(pages: DataFrame, min_pages: int = 5, single_pages: int =
 
     held = parsed.join(doomed, "page_key", "left").select("page_id", "url", "blocks", "subtrees", "templates")
     return held.mapInArrow(cleaned, RESULT)
+
+
+def page_templates(parsed: DataFrame, min_pages: int, single_pages: int, share: float) -> DataFrame:
+    """(host, subtree, kind, n) of the subtrees that recur on a host's pages of different main text, held in the shared folder."""
+    listed = parsed.where("main is not null").select("host", "main", F.explode("subtrees").alias("s")).select("host", "main", "s.subtree", "s.kind")
+    keys = ["host", "subtree", "kind"]
+    counted = listed.select(*keys, "main").distinct().groupBy(*keys).agg(F.count("*").alias("n"))
+    often = counted.where(F.col("n") >= F.when(F.col("kind") == SINGLE, max(single_pages, min_pages)).otherwise(min_pages))
+    hosts = parsed.where("main is not null").select("host", "main").distinct().groupBy("host").agg(F.count("*").alias("mains"))
+    return materialize(often.join(hosts, "host").where((F.col("kind") == FREE) | (F.col("n") >= share * F.col("mains"))).select(*keys, "n"))

@@ -140,3 +140,50 @@ def top_k(rows, k=5, every=50):
             best = sorted((-sum(a * b for a, b in zip(q, v)), i) for i, v in sound if i != qi)[:k]
             out += [(qi, r + 1, i, -s) for r, (s, i) in enumerate(best)]
     return sorted(out)
+
+
+def flat_article(html):
+    """Text of the one article of a page whose article holds only paragraphs, headings, bold text and breaks."""
+    import html as entities
+
+    inner = re.search(r"<article>(.*?)</article>", html or "", re.S)
+    blocks = re.split(r"</?(?:p|h1)>", inner[1]) if inner else []
+    texts = [" ".join(entities.unescape(re.sub(r"<br>|</?b>", lambda m: " " * (m[0] == "<br>"), x)).split()) for x in blocks]
+    return "\n\n".join(x for x in texts if x)
+
+
+def template_texts(pages, min_pages=5, single_pages=20, share=0.5):
+    """page_id -> text of pages (page_id, host, article as nested (tag, text or list of nodes)), counting whole subtrees."""
+    groups, content = {"ul", "table"}, {"p", "h2", "li", "ul", "blockquote"}
+    kind = lambda tag: "free" if tag not in content else "group" if tag in groups else "single"
+
+    def inside(node):
+        yield node
+        if not isinstance(node[1], str):
+            for child in node[1]:
+                yield from inside(child)
+
+    def blocks(node, gone):
+        if any(node is g for g in gone):
+            return []
+        return [node[1]] if isinstance(node[1], str) else [b for child in node[1] for b in blocks(child, gone)]
+
+    seen, mains = defaultdict(set), defaultdict(set)
+    for _, host, article in pages:
+        nodes = [n for x in article for n in inside(x)]
+        free = [n for n in nodes if kind(n[0]) == "free"]
+        main = "\n".join(b for x in article for b in blocks(x, free)) or "\n\n".join(b for x in article for b in blocks(x, []))
+        mains[host].add(main)
+        for n in nodes:
+            seen[host, repr(n)].add(main)
+    out = {}
+    for page_id, host, article in pages:
+        nodes = [n for x in article for n in inside(x)]
+        often = {"free": min_pages, "group": min_pages, "single": single_pages}
+        doomed = [n for n in nodes if len(seen[host, repr(n)]) >= often[kind(n[0])] and (kind(n[0]) == "free" or len(seen[host, repr(n)]) >= share * len(mains[host]))]
+        free = [n for n in doomed if kind(n[0]) == "free"]
+        left = [b for x in article for b in blocks(x, free)]
+        both = [b for x in article for b in blocks(x, doomed)]
+        kept = both if 2 * (sum(map(len, left)) - sum(map(len, both))) <= sum(map(len, left)) else left
+        out[page_id] = "\n\n".join(kept)
+    return out
