@@ -3,8 +3,9 @@
 Every source streams its documents in a hashed order, up to three times over.  A
 document's virtual finish time is the source's cumulative words so far divided by the
 source's weight (its target); one global order by finish time, cut where the total budget
-is used up, is the mix.  Prefix sums are taken in two levels (hash buckets, then rows), so
-no source and no range of finish times has to fit into one task.
+is used up, is the mix.  Prefix sums are taken in two levels (hash buckets, then rows), and
+the cut is found in two levels of a grid of finish times and then among the few documents
+of one fine step, so no source and no range of finish times has to fit into one task.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize
+from .common import WORD, fresh, materialize
 
 #: Hash buckets of a source, and steps of the finish-time grid up to time 2.
 BUCKETS = 4096
@@ -46,9 +47,11 @@ def _finish(epoch: int) -> Column:
     return F.when((F.col("size") > 0) & (upto - F.col("size") < F.col("target")), upto.cast("double") / F.col("target"))
 
 
-def _step(epoch: int) -> Column:
-    """Step of the grid; null with the finish time (least() alone would pass over the null)."""
-    return F.when(_finish(epoch).isNotNull(), F.floor(F.least(_finish(epoch), F.lit(2.0)) * GRID))
+def _steps(epoch: int) -> list[Column]:
+    """Step of the grid, and step of the finer grid inside it; null with the finish time (least() alone would pass over the null)."""
+    at = F.least(_finish(epoch), F.lit(2.0)) * GRID
+    there = _finish(epoch).isNotNull()
+    return [F.when(there, F.floor(at)), F.when(there, F.floor((at - F.floor(at)) * GRID))]
 
 
 def _place(epoch: int) -> Column:
@@ -59,7 +62,7 @@ def _place(epoch: int) -> Column:
 def _mixed(docs: DataFrame, extra: list[Column], names: list[str]) -> DataFrame:
     """doc_id, size, source_size, target, how many times the mix takes the row, and the extra columns."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    h = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    h = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit(":"), F.col("text").cast("string")), F.lit("")).cast("binary"))
     key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
     rows = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), h.alias("h"), *extra).withColumn("key", key).withColumn("bucket", F.conv(F.substring("h", 1, 3), 16, 10).cast("int")))
     sums = rows.groupBy("key", "bucket").agg(F.first("source").alias("source"), F.sum("size").alias("bucket_size"))
@@ -69,18 +72,29 @@ def _mixed(docs: DataFrame, extra: list[Column], names: list[str]) -> DataFrame:
     running = F.sum("size").over(Window.partitionBy("key", "bucket").orderBy("h", "doc_id", "size", *names).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     timed = materialize(rows.withColumn("running", running).join(offsets, ["key", "bucket"]).select("doc_id", "size", "h", "source_size", "rank", "budget", "target", *names, (F.col("offset") + F.col("running")).alias("cum")))
 
-    # one row a step of the grid: at most 2 * GRID + 1
-    steps = timed.select("size", "budget", F.explode(F.array(*[_step(e) for e in range(REPEATS)])).alias("step")).where("step is not null").groupBy("step").agg(F.sum("size").alias("words"), F.first("budget").alias("budget"))
-    upto = F.sum("words").over(Window.orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    over = steps.withColumn("upto", upto).where("upto > budget").orderBy("step").select("step", F.expr("budget - upto + words").alias("left")).first()
+    # the budget ends in one step of the grid, and in one step of a finer grid inside it
+    inside, left, found = [F.lit(True)] * REPEATS, None, []
+    for level in range(2):
+        here = [F.when(x, _steps(e)[level]) for e, x in enumerate(inside)]
+        # one row a step: at most 2 * GRID + 1
+        steps = timed.select("size", "budget", F.explode(F.array(*here)).alias("step")).where("step is not null").groupBy("step").agg(F.sum("size").alias("words"), F.first("budget").alias("budget"))
+        upto = F.sum("words").over(Window.orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        room = F.col("budget") if left is None else F.lit(left)
+        over = steps.withColumn("upto", upto).where(F.col("upto") > room).orderBy("step").select("step", (room - F.col("upto") + F.col("words")).alias("left")).first()
+        if over is None:
+            break
+        left = over["left"]
+        found.append(over["step"])
+        inside = [x & (_steps(e)[level] == over["step"]) for e, x in enumerate(inside)]
     items = [F.lit(True)] * REPEATS
-    if over:
-        inside = timed.select("size", F.explode(F.array(*[F.when(_step(e) == over["step"], _place(e)) for e in range(REPEATS)])).alias("place")).where("place is not null")
-        cut = inside.withColumn("used", F.sum("size").over(Window.orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow))).where(F.col("used") <= over["left"]).agg(F.max("place").alias("place")).first()["place"]
-        items = [_step(e) < over["step"] for e in range(REPEATS)]
+    if found:
+        first, second = found  # what is over in a step is over in one of its own steps
+        places = timed.select("size", F.explode(F.array(*[F.when(x, _place(e)) for e, x in enumerate(inside)])).alias("place")).where("place is not null")
+        cut = places.withColumn("used", F.sum("size").over(Window.orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow))).where(F.col("used") <= left).agg(F.max("place").alias("place")).first()["place"]
+        items = [(_steps(e)[0] < first) | ((_steps(e)[0] == first) & (_steps(e)[1] < second)) for e in range(REPEATS)]
         if cut:
             last = F.struct(F.lit(cut["finish"]).cast("double").alias("finish"), F.lit(cut["rank"]).alias("rank"), F.lit(cut["epoch"]).alias("epoch"), F.lit(cut["h"]).alias("h"), F.lit(cut["doc_id"]).cast("long").alias("doc_id"), F.lit(cut["size"]).cast("long").alias("size"))
-            items = [before | ((_step(e) == over["step"]) & (_place(e) <= last)) for e, before in enumerate(items)]
+            items = [before | (x & (_place(e) <= last)) for e, (before, x) in enumerate(zip(items, inside, strict=True))]
     times = sum((F.when(F.coalesce(x, F.lit(False)) & (F.col("size") > 0), 1).otherwise(0) for x in items), F.lit(0))
     return timed.select("doc_id", "size", "source_size", "target", times.alias("times"), *names)
 
@@ -89,7 +103,7 @@ def mix_sources(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target and taken (words, repeats counted) of every row of docs.
 
     A null text has size 0 and is never taken; null is a source of its own, the last one.
-    A null doc_id is ordered like an id of its own.  Repeated rows are separate documents.
+    A null doc_id is ordered by its text.  Repeated rows are separate documents.
     Documents are taken whole, at most three times; the total stays within the sum of all
     sizes.  Columns other than doc_id, text and source are not read; an empty table gives
     an empty result.
@@ -98,13 +112,16 @@ def mix_sources(docs: DataFrame) -> DataFrame:
 
 
 def take_mix(docs: DataFrame) -> DataFrame:
-    """The rows of docs, each as many times as the mix takes it.
+    """The rows of docs, with all their columns, each as many times as the mix takes it.
 
     Taking is decided on hashes alone; texts are moved once, to meet the decision of the
-    row with their id, source and content.
+    row with their id, source and content.  Null, empty and blank texts have size 0 and are
+    left out; null is a source of its own; a null doc_id is ordered by its text.  Repeated
+    rows are separate documents: one of them stands for all, as often as all are taken.
+    Columns of any name pass unchanged; an empty table gives an empty result.
     """
+    mark, times = fresh(docs.columns, "tag"), fresh(docs.columns, "times")
     tag = F.xxhash64("doc_id", "source", "text")
-    decided = _mixed(docs, [tag.alias("tag")], ["tag"]).where("times > 0").groupBy("tag").agg(F.sum("times").alias("__times"))
-    # rows with one tag are equal in all that counts; one of them stands for all its repeats
-    rows = docs.withColumn("__tag", tag).join(decided.withColumnRenamed("tag", "__tag"), "__tag").dropDuplicates(["__tag"])
-    return rows.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select(*docs.columns)
+    decided = _mixed(docs, [tag.alias("tag")], ["tag"]).where("times > 0").groupBy(F.col("tag").alias(mark)).agg(F.sum("times").cast("int").alias(times))
+    rows = docs.withColumn(mark, tag).join(decided, mark).dropDuplicates([mark])
+    return rows.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)

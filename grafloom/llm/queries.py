@@ -131,7 +131,7 @@ FROM keyed LEFT JOIN last ON keyed.payload_digest = last.payload_digest AND payl
 """,
     "op3_mix_sources": rf"""
 WITH d AS (
-  SELECT doc_id, source, len({_WORDS})::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+  SELECT doc_id, source, len({_WORDS})::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, ':' || text, '')) AS h FROM documents
 ), s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS rank, 3 * source_size AS cap FROM s),
 w AS (SELECT *, (rank - 1) % 3 + 1 AS weight FROM r),
