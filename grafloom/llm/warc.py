@@ -67,9 +67,12 @@ def with_roles(pages: DataFrame, least: int = 1000) -> DataFrame:
     """page_id, url, payload, digest, refers_to (null for responses)."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).cast("binary").alias("payload")).withColumn("digest", F.sha1("payload"))
     copies = pages.select("page_id", F.coalesce("html", F.lit("")).cast("binary").alias("payload")).where(F.octet_length("payload") >= least)
+    large = F.octet_length("payload") >= least
     last = copies.groupBy(F.sha1("payload").alias("digest")).agg(F.max("page_id").cast("long").alias("last"), F.count("*").alias("n")).where("n > 1 and last is not null").select("digest", "last")
     other = F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("last")), F.col("last"))
-    return rows.join(last, "digest", "left").select("page_id", "url", "payload", "digest", other.alias("refers_to"))
+    names = ["page_id", "url", "payload", "digest"]
+    # small payloads, empty ones first of all, would only crowd one key of the join
+    return rows.where(large).join(last, "digest", "left").select(*names, other.alias("refers_to")).unionByName(rows.where(~large).select(*names, F.lit(None).cast("long").alias("refers_to")))
 
 
 def write_warc(rows: DataFrame, folder: str, file_bytes: int = 64 << 20) -> DataFrame:
@@ -105,30 +108,36 @@ def write_warc(rows: DataFrame, folder: str, file_bytes: int = 64 << 20) -> Data
 
 
 def read_warc(index: DataFrame, folder: str, stretch: int = 4 << 20, gap: int = 64 << 10, payloads: bool = True) -> DataFrame:
-    """The records that rows of an index name, as RECORD; without ``payloads`` those are null."""
+    """The records that rows of an index name, as RECORD; without ``payloads`` those are null.
+
+    Tasks are dealt by the bytes that they will fetch, not by the size of the index, and
+    records are handed on read by read.
+    """
 
     def run(batches):
         store, path = pafs.FileSystem.from_uri(folder)
         for batch in batches:
             files, offsets, lengths = batch.column(0).to_pylist(), batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            rows, i = [], 0
+            i = 0
             while i < len(files):
                 j, end = i + 1, offsets[i] + lengths[i]
                 while j < len(files) and files[j] == files[i] and offsets[j] - end <= gap and offsets[j] + lengths[j] - offsets[i] <= 2 * stretch:
                     end, j = max(end, offsets[j] + lengths[j]), j + 1
                 with store.open_input_file(f"{path}/{files[i]}") as f:
                     data = f.read_at(int(end - offsets[i]), int(offsets[i]))
+                rows = []
                 for k in range(i, j):
                     a = int(offsets[k] - offsets[i])
                     row = parse_record(data[a : a + int(lengths[k])])
                     rows.append(row if payloads else row | {"payload": None})
                 i = j
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
-            names = [x.split()[0] for x in RECORD.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds, strict=True)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds, strict=True)], names=names)
 
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
+    names = [x.split()[0] for x in RECORD.split(", ")]
     part = F.floor(F.col("offset") / stretch)
-    return index.select("file", "offset", "length").repartition("file", part).sortWithinPartitions("file", "offset").mapInArrow(run, RECORD)
+    tasks = -(-(index.agg(F.sum("length")).first()[0] or 1) // (2 * stretch))
+    return index.select("file", "offset", "length").repartition(tasks, "file", part).sortWithinPartitions("file", "offset").mapInArrow(run, RECORD)
 
 
 def warc_round_trip(pages: DataFrame) -> DataFrame:
