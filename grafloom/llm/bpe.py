@@ -30,7 +30,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, mix64, short_batches, slices, utf8
+from .common import discard, distinct, gathered, materialize, mix64, short_batches, slices, utf8
 
 _WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: White space as the tokenizer's pattern sees it, cut the same way; the rest is left to words.
@@ -126,27 +126,6 @@ def word_starts(raw: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
-def distinct(raw: np.ndarray, start: np.ndarray, n: int) -> tuple[np.ndarray, pa.Array]:
-    """Which of the distinct strings each stretch of raw is, and those strings."""
-    offsets = np.append(start, n).astype(np.int32)
-    words = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
-    found = words.dictionary_encode()
-    return found.indices.to_numpy(), found.dictionary
-
-
-def gathered(pool: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """The stretches of pool one after another."""
-    out = np.empty(int(count.sum()), pool.dtype)
-    at = 0
-    for k in range(0, len(start), 1 << 18):
-        s, c = start[k : k + (1 << 18)], count[k : k + (1 << 18)]
-        upto = np.cumsum(c)
-        n = int(upto[-1])
-        out[at : at + n] = pool[np.repeat(s - (upto - c), c) + np.arange(n)]
-        at += n
-    return out
-
-
 def _byte_chars() -> dict[str, int]:
     """The printable stand-ins of byte-level vocabularies, to bytes."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]

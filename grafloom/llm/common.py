@@ -116,6 +116,27 @@ def slices(batch: pa.RecordBatch, text: str, budget: int = 4_000_000) -> Iterato
         yield batch.slice(start)
 
 
+def distinct(raw: np.ndarray, start: np.ndarray, n: int) -> tuple[np.ndarray, pa.Array]:
+    """Which of the distinct strings each stretch of raw is, and those strings."""
+    offsets = np.append(start, n).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
+    found = words.dictionary_encode()
+    return found.indices.to_numpy(), found.dictionary
+
+
+def gathered(pool: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The stretches of pool one after another."""
+    out = np.empty(int(count.sum()), pool.dtype)
+    at = 0
+    for k in range(0, len(start), 1 << 18):
+        s, c = start[k : k + (1 << 18)], count[k : k + (1 << 18)]
+        upto = np.cumsum(c)
+        n = int(upto[-1])
+        out[at : at + n] = pool[np.repeat(s - (upto - c), c) + np.arange(n)]
+        at += n
+    return out
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser, element by element."""
     x = x.astype(np.uint64, copy=True)

@@ -5,12 +5,15 @@ counted over the buckets: the raw corpus (every document) and the trusted target
 labelled documents of good quality and without toxicity, a bounded sample of them).
 A document's score is its n-grams' summed log ratio divided by their number; the
 ratios are held as integers, so sums and verdicts do not depend on row order.
+
+Texts are worked off in slices laid end to end as one array of bytes: counts of a document
+are differences of running sums, and each distinct word of a slice is hashed once.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
+import math
 from collections import Counter
 from dataclasses import dataclass
 
@@ -19,9 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, short_batches
+from .common import distinct, gathered, mix64, short_batches, slices, utf8
 
-SYMBOLS = re.compile(r"[#*$%&|<>]")
+#: Bytes of texts in a slice.
+SLICE = 8_000_000
 SCALE = 1 << 20
 
 
@@ -46,64 +50,127 @@ class QualityParams:
     repeat_percent: int = 20
 
 
-def word_hash(word: bytes) -> int:
-    return int.from_bytes(hashlib.md5(word).digest()[:4], "big")
-
-
-def gram_buckets(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """Buckets of the words, then of the word pairs."""
-    pairs = (hashes[:-1] * 31 + hashes[1:]) % buckets
-    return np.concatenate([hashes % buckets, pairs])
-
+#: Fixed values of MD5: the starting state, and the shifts of its four rounds.
+_STATE = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
+_SHIFTS = ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21))
+_SINES = [int(abs(math.sin(i + 1)) * 2**32) for i in range(64)]
+
+
+def word_hashes(raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """First 32 bits, read big-endian, of the MD5 of each word; words of up to 55 bytes in step, a block each."""
+    start, lengths = ends[:-1], np.diff(ends)
+    out = np.zeros(len(start), np.int64)
+    for i in np.flatnonzero(lengths > 55).tolist():
+        out[i] = int.from_bytes(hashlib.md5(raw[ends[i] : ends[i + 1]].tobytes()).digest()[:4], "big")
+    short = np.flatnonzero(lengths <= 55)
+    for k in range(0, len(short), 1 << 14):
+        some = short[k : k + (1 << 14)]
+        n = lengths[some]
+        block = np.zeros((len(some), 64), np.uint8)
+        row, upto = np.repeat(np.arange(len(some)), n), np.cumsum(n)
+        column = np.arange(int(upto[-1])) - np.repeat(upto - n, n)
+        block[row, column] = raw[np.repeat(start[some], n) + column]
+        block[np.arange(len(some)), n] = 0x80
+        block[:, 56], block[:, 57] = (8 * n) & 255, (8 * n) >> 8
+        message = np.ascontiguousarray(block.view("<u4").T)
+        a, b, c, d = (np.full(len(some), x, np.uint32) for x in _STATE)
+        for i in range(64):
+            turn = i // 16
+            if turn == 0:
+                f, g = d ^ (b & (c ^ d)), i
+            elif turn == 1:
+                f, g = c ^ (d & (b ^ c)), (5 * i + 1) % 16
+            elif turn == 2:
+                f, g = b ^ c ^ d, (3 * i + 5) % 16
+            else:
+                f, g = c ^ (b | ~d), 7 * i % 16
+            f = f + a + np.uint32(_SINES[i]) + message[g]
+            shift = _SHIFTS[turn][i % 4]
+            a, d, c, b = d, c, b, b + (f << np.uint32(shift) | f >> np.uint32(32 - shift))
+        out[some] = (a + np.uint32(_STATE[0])).byteswap().astype(np.int64)
+    return out
+
+
+def _table(values: bytes) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(values)] = True
+    return out
+
+
+_SPACE, _SYMBOL = _table(b" \t\n\v\f\r"), _table(b"#*$%&|<>")
+_CONTINUES = _table(bytes(range(0x80, 0xC0)))
+
+
+class Slice:
+    """Words of texts laid end to end.
+
+    ends: where texts begin, and the end; first, last: of every word; upto: number of words
+    before each text, and of all; which: each word's place among ``words``, the distinct ones.
+    """
 
-def repeated_windows(ids: np.ndarray, width: int) -> np.ndarray:
-    """Whether each window of small integers occurs twice or more."""
-    bits = max(int(ids.max()).bit_length(), 1)
-    if bits * width <= 63:
-        m = len(ids) - width + 1
-        keys = np.zeros(m, np.int64)
+    def __init__(self, texts: pa.Array):
+        self.raw, self.ends = utf8(texts)
+        self.space = _SPACE[self.raw]
+        edge = np.zeros(len(self.raw) + 1, bool)
+        edge[self.ends] = True
+        inner = np.concatenate([[True], self.space[:-1]]) if len(self.raw) else self.space
+        self.first = np.flatnonzero(~self.space & (inner | edge[:-1]))
+        after = np.concatenate([self.space[1:], [True]]) if len(self.raw) else self.space
+        self.last = np.flatnonzero(~self.space & (after | edge[1:])) + 1
+        self.upto = np.searchsorted(self.first, self.ends)
+        lengths = self.last - self.first
+        flat = gathered(self.raw, self.first, lengths)
+        self.which, self.words = distinct(flat, np.cumsum(lengths) - lengths, len(flat))
+
+    def sums(self, values: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+        """Sums of values between neighbouring cuts."""
+        return np.diff(np.concatenate([[0], np.cumsum(values, dtype=np.int64)])[cuts])
+
+    def gram_buckets(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        """Bucket of every word, and of the pair that it ends; -1 for the first word of a text."""
+        hashes = word_hashes(*utf8(self.words))[self.which]
+        pairs = np.full(len(hashes), -1, np.int64)
+        pairs[1:] = (hashes[:-1] * 31 + hashes[1:]) % buckets
+        starts = self.upto[:-1]
+        pairs[starts[starts < len(hashes)]] = -1
+        return hashes % buckets, pairs
+
+    def repeated_words(self, width: int = 5) -> np.ndarray:
+        """For each text, its words in windows that occur in it twice or more."""
+        n = len(self.which)
+        text = np.repeat(np.arange(len(self.ends) - 1), np.diff(self.upto))
+        m = max(n - width + 1, 0)
+        at = np.flatnonzero(text[:m] == text[width - 1 :]) if m else np.zeros(0, np.int64)
+        key = text[at].astype(np.uint64)
+        for k in range(width):
+            key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + self.which[at + k].astype(np.uint64))
+        order = np.argsort(key)
+        at, key = at[order], key[order]
+        like = key[1:] == key[:-1]
+        same = like.copy()
         for k in range(width):
-            keys = (keys << bits) | ids[k : m + k]
-    else:  # name the windows of all but the last word, then add it
-        inner = np.unique(window_names(ids, width - 1), return_inverse=True)[1]
-        m = len(ids) - width + 1
-        keys = inner[:m] * (int(ids.max()) + 1) + ids[width - 1 :]
-    order = np.argsort(keys, kind="stable")
-    same = keys[order[1:]] == keys[order[:-1]]
-    twice = np.zeros(m, bool)
-    twice[order[1:][same]] = True
-    twice[order[:-1][same]] = True
-    return twice
-
-
-def window_names(ids: np.ndarray, width: int) -> np.ndarray:
-    """Integers, equal exactly for equal windows."""
-    names, base = ids, int(ids.max()) + 1
-    for k in range(1, width):
-        m = len(ids) - k
-        names = np.unique(names[:m] * base + ids[k:], return_inverse=True)[1]
-    return names
-
-
-def base_counts(text: str | None, words: list[bytes], ids: np.ndarray) -> tuple[int, int, int, int]:
-    """word_chars, n_symbols, n_dup_lines, n_repeat_words of a text."""
-    if not words:
-        return 0, (len(SYMBOLS.findall(text)) if text else 0), 0, 0
-    raw = b"".join(words)
-    chars = len(raw.decode("utf-8", "surrogatepass"))
-    symbols = len(SYMBOLS.findall(text))
-    lines = Counter(x for x in text.split("\n") if x.strip(" \t\n\v\f\r"))
-    dup_lines = sum(lines.values()) - len(lines)
-    repeat = 0
-    n = len(ids)
-    if n >= 5:
-        twice = repeated_windows(ids, 5)
-        if twice.any():
-            edge = np.zeros(n + 1, np.int64)
-            edge[: n - 4] += twice
-            edge[5:] -= twice
-            repeat = int((np.cumsum(edge)[:n] > 0).sum())
-    return chars, symbols, dup_lines, repeat
+            same &= self.which[at[1:] + k] == self.which[at[:-1] + k]
+        same &= text[at[1:]] == text[at[:-1]]
+        twice = np.zeros(n + 1, bool)
+        twice[at[1:][same]] = True
+        twice[at[:-1][same]] = True
+        for i in np.unique(text[at[1:][like & ~same]]).tolist():  # two windows share a hash: compare this text's outright
+            a, b = int(self.upto[i]), int(self.upto[i + 1])
+            seen = Counter(tuple(self.which[j : j + width].tolist()) for j in range(a, b - width + 1))
+            twice[a : b - width + 1] = [seen[tuple(self.which[j : j + width].tolist())] > 1 for j in range(a, b - width + 1)]
+        edge = np.zeros(n + width + 1, np.int64)
+        edge[: n + 1] += twice
+        edge[width : n + width + 1] -= twice
+        return self.sums(np.cumsum(edge)[:n] > 0, self.upto)
+
+    def base_counts(self) -> tuple[np.ndarray, ...]:
+        """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of each text."""
+        chars = self.sums(~self.space & ~_CONTINUES[self.raw], self.ends)
+        lines = np.zeros(len(self.ends) - 1, np.int64)
+        for i in np.flatnonzero(self.sums(self.raw == 10, self.ends)).tolist():
+            found = [x for x in self.raw[self.ends[i] : self.ends[i + 1]].tobytes().split(b"\n") if x.strip(b" \t\n\v\f\r")]
+            lines[i] = len(found) - len(set(found))
+        return np.diff(self.upto), chars, self.sums(_SYMBOL[self.raw], self.ends), lines, self.repeated_words()
 
 
 def trusted_ids(labels: DataFrame, params: QualityParams) -> np.ndarray:
@@ -125,21 +192,14 @@ def corpus_counts(docs: DataFrame, trusted: np.ndarray, params: QualityParams) -
     buckets = params.buckets
 
     def count(batches):
-        cache = WordHashes(word_hash)
         raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = text.split() if text else []
-                if not words:
-                    continue
-                h = np.fromiter(map(cache.__getitem__, words), np.int64, len(words))
-                found = np.bincount(gram_buckets(h, buckets), minlength=buckets) if len(words) > 4096 else None
-                good = doc_id is not None and len(trusted) and trusted[min(np.searchsorted(trusted, doc_id), len(trusted) - 1)] == doc_id
-                for into in (raw, target) if good else (raw,):
-                    if found is None:
-                        np.add.at(into, gram_buckets(h, buckets), 1)
-                    else:
-                        into += found
+        for batch in (part for big in batches for part in slices(big, "text", SLICE)):
+            words = Slice(batch.column(1))
+            ids = np.array([trusted[0] - 1 if d is None else d for d in batch.column(0).to_pylist()], np.int64) if len(trusted) else np.zeros(0, np.int64)
+            good = np.repeat(np.isin(ids, trusted) if len(trusted) else np.zeros(batch.num_rows, bool), np.diff(words.upto))
+            for found in words.gram_buckets(buckets):
+                raw += np.bincount(found[found >= 0], minlength=buckets)
+                target += np.bincount(found[good & (found >= 0)], minlength=buckets)
         used = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(raw[used]), pa.array(target[used])], names=["bucket", "raw", "target"])
 
@@ -166,22 +226,21 @@ def log_ratios(counts: list, buckets: int, prior: int) -> np.ndarray:
 
 
 def _scorer(docs: DataFrame, labels: DataFrame, params: QualityParams):
-    """A function from (text, cache, ratios) to the counts, verdict and score, and the broadcast ratios."""
+    """A function from (texts, ratios) to columns of counts, verdicts and scores, and the broadcast ratios."""
     short_batches(docs.sparkSession)
     trusted = trusted_ids(labels, params)
     counts = corpus_counts(docs, trusted, params).collect()  # params.buckets rows at most
     table = docs.sparkSession.sparkContext.broadcast(log_ratios(counts, params.buckets, params.prior).tobytes())
     floor = round(params.threshold * SCALE)
 
-    def score(text: str | None, cache: WordHashes, ratio: np.ndarray) -> tuple:
-        words = text.encode("utf-8", "surrogatepass").split() if text else []
-        n = len(words)
-        h = np.fromiter(map(cache.__getitem__, words), np.int64, n)
-        chars, symbols, dup_lines, repeat = base_counts(text, words, _ids(words))
-        failed = n < params.min_words or 100 * repeat > params.repeat_percent * n
-        total = int(ratio[gram_buckets(h, params.buckets)].sum()) if n else 0
-        size = (2 * n - 1 if n else 0) + params.ballast
-        return n, chars, symbols, dup_lines, repeat, failed, not failed and total >= floor * size, total / SCALE / size if size else 0.0
+    def score(texts: pa.Array, ratio: np.ndarray) -> list[np.ndarray]:
+        words = Slice(texts)
+        n, chars, symbols, dup_lines, repeat = words.base_counts()
+        single, pairs = words.gram_buckets(params.buckets)
+        total = words.sums(ratio[single] + np.where(pairs >= 0, ratio[pairs], 0), words.upto)
+        failed = (n < params.min_words) | (100 * repeat > params.repeat_percent * n)
+        size = np.maximum(2 * n - 1, 0) + params.ballast
+        return [n, chars, symbols, dup_lines, repeat, failed, ~failed & (total >= floor * size), total / SCALE / np.maximum(size, 1)]
 
     return score, table
 
@@ -200,12 +259,10 @@ def quality_rules(docs: DataFrame, labels: DataFrame, params: QualityParams | No
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, llr double"
 
     def run(batches):
-        ratio, cache = np.frombuffer(table.value, np.int64), WordHashes(word_hash)
-        for batch in batches:
-            out = [(d, *score(t, cache, ratio)) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            cols = list(zip(*out, strict=True)) if out else [[]] * 9
-            kinds = [pa.int64()] * 6 + [pa.bool_()] * 2 + [pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
+        ratio = np.frombuffer(table.value, np.int64)
+        for batch in (part for big in batches for part in slices(big, "text", SLICE)):
+            found = score(batch.column(1), ratio)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, found)], names=[x.split()[0] for x in schema.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
@@ -219,17 +276,12 @@ def keep_good(docs: DataFrame, labels: DataFrame, params: QualityParams | None =
     empty result.
     """
     score, table = _scorer(docs, labels, params or QualityParams())
-    at = docs.columns.index("text")
+    name = next(c for c in docs.columns if c.lower() == "text")
+    at = docs.columns.index(name)
 
     def run(batches):
-        ratio, cache = np.frombuffer(table.value, np.int64), WordHashes(word_hash)
-        for batch in batches:
-            yield batch.filter(pa.array([score(t, cache, ratio)[6] for t in batch.column(at).to_pylist()], pa.bool_()))
+        ratio = np.frombuffer(table.value, np.int64)
+        for batch in (part for big in batches for part in slices(big, name, SLICE)):
+            yield batch.filter(pa.array(score(batch.column(at), ratio)[6]))
 
     return docs.mapInArrow(run, docs.schema)
-
-
-def _ids(words: list[bytes]) -> np.ndarray:
-    """Small integers, equal for equal words of one text."""
-    seen: dict[bytes, int] = {}
-    return np.fromiter((seen.setdefault(w, len(seen)) for w in words), np.int64, len(words))

@@ -37,7 +37,7 @@ BLOCK = 1 << 19
 #: Segments that a task gathers before it sends one row for each distinct one.
 GATHER = 50_000
 _Q = 0x9E3779B97F4A7C15
-CLASSES = (64, 8, 1)
+CLASSES = (16, 1)
 #: Place of a null doc_id among documents: the last.
 _LAST = (1 << 63) - 1
 
@@ -301,7 +301,7 @@ def repeated_spans(keyed: DataFrame, width: int, hot: int, first_stays: bool = F
 def _split(parts: DataFrame, width: int, size: int, hot: int, first_stays: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Spans of classes that occur twice as a whole; one copy of each class of a core with different ones: at most ``hot`` of them, and more."""
     core, whole = ["a", "b"], ["a", "b", "g", "k"]
-    classes = materialize(_classes(parts.select(*[x.split()[0] for x in PART.split(", ")]), width, size))
+    classes = _classes(parts.select(*[x.split()[0] for x in PART.split(", ")]), width, size)  # cheaper made twice than held
     wholes = classes.groupBy(*whole).agg(F.count("*").alias("c"), F.min(F.struct("doc", "uid", "s")).alias("first"))
     shared = wholes.groupBy(*core).agg(F.count("*").alias("kinds"), F.sum("c").alias("all")).where("all > 1")
     judged = wholes.join(shared, core).where("c > 1 or kinds > 1").select(*whole, "c", "kinds", "first")

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 from collections import defaultdict
 
@@ -79,12 +80,21 @@ def test_quality_without_labels_and_rows(spark, docs, empty):
     assert quality.quality_rules(empty, labels).count() == 0
 
 
-@given(st.lists(st.integers(0, 3), min_size=5, max_size=60), st.integers(0, 1 << 20))
-def test_repeated_windows(ids, spread):
-    ids = np.array(ids) * (spread + 1)
-    ids = np.unique(ids, return_inverse=True)[1] + spread
-    seen = [tuple(ids[i : i + 5]) for i in range(len(ids) - 4)]
-    assert quality.repeated_windows(ids, 5).tolist() == [seen.count(x) > 1 for x in seen]
+@settings(deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet=st.sampled_from("ab é#\n\t\x0b\x1c—"), max_size=60)), max_size=6), st.booleans())
+def test_slice_counts(texts, weak):
+    with pytest.MonkeyPatch.context() as patch:
+        if weak:  # windows that share a hash are told apart all the same
+            patch.setattr(quality, "mix64", lambda x: x % np.uint64(3))
+        found = quality.Slice(pa.array(texts, pa.string())).base_counts()
+    assert list(zip(*(x.tolist() for x in found))) == [brute.base(t)[:5] for t in texts]
+
+
+def test_word_hashes():
+    r = random.Random(6)
+    words = [r.randbytes(n) for n in [*range(70), 200] for _ in range(3)]
+    found = quality.word_hashes(*common.utf8(pa.array(words)))
+    assert found.tolist() == [int(hashlib.md5(w).hexdigest()[:8], 16) for w in words]
 
 
 # 2
@@ -95,8 +105,8 @@ def test_near_duplicates(docs, rows, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
-@pytest.mark.parametrize("chunk", [4, 512])
-def test_links_in_hot_cells(spark, chunk):
+@pytest.mark.parametrize(("chunk", "blocks"), [(4, None), (512, 9)])
+def test_links_in_hot_cells(spark, chunk, blocks):
     r = random.Random(1)
     start = r.getrandbits(64)
     values = {start}
@@ -105,7 +115,7 @@ def test_links_in_hot_cells(spark, chunk):
         values.add(r.getrandbits(64))
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     df = spark.createDataFrame([(signed(v),) for v in sorted(values)], "fp long")
-    links = [(a & (1 << 64) - 1, b & (1 << 64) - 1) for a, b in simhash.near_links(df, 3, chunk).collect()]
+    links = [(a & (1 << 64) - 1, b & (1 << 64) - 1) for a, b in simhash.near_links(df, 3, chunk, blocks).collect()]
     assert all((a ^ b).bit_count() <= 3 for a, b in links)
 
     def classes(edges):
@@ -135,7 +145,23 @@ def test_bound_is_below_distance(x, bits):
     a, b = simhash.embed(np.array([x, y], np.uint64))
     assert int(a ^ b).bit_count() <= (x ^ y).bit_count()
     if (x ^ y).bit_count() <= 3:
-        assert any((int(a) ^ int(b)) & m == 0 for m in simhash.grid_masks(3))
+        for blocks in (6, 7, 10, 16):
+            assert any((int(a) ^ int(b)) & m == 0 for m in simhash.grid_masks(3, blocks))
+
+
+def test_candidate_pairs_stay_bounded():
+    r = np.random.default_rng(2)
+    for n in (10_000, 100_000, 1_000_000):
+        e = simhash.embed(r.integers(0, 1 << 63, n, dtype=np.uint64) << np.uint64(1) | r.integers(0, 2, n, dtype=np.uint64))
+        pairs = 0
+        for m in simhash.grid_masks(3, simhash.block_count(n, 3))[:4]:
+            c = np.unique(e & np.uint64(m), return_counts=True)[1]
+            pairs += int((c * (c - 1) // 2).sum())
+        assert pairs / n < 1
+    for n in (10**7, 10**9, 10**11):
+        blocks = simhash.block_count(n, 3)
+        grids = math.comb(blocks, 3)
+        assert grids <= 560 and grids * n * 2 ** (-simhash.SEGMENT_BITS * 32 * (blocks - 3) / blocks) < 5000
 
 
 def test_components_of_chains_and_stars(spark):
@@ -288,6 +314,44 @@ def test_html_templates_of_content_tags(spark):
     assert all(got[300 + i] == [f"paragraph {k} of the copied page" for k in range(5)] + [f"{i} views"] for i in range(25))
 
 
+def test_html_equals_direct_versions(spark):
+    """The flat articles of the test pages, and counted subtrees of made ones."""
+    given = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    want = {r["page_id"]: brute.flat_article(r["html"]) for r in given.collect()}
+    assert {r["page_id"]: r["text"] for r in html_extract.extract_main_text(given).collect()} == want
+
+    r = random.Random(8)
+    shared = {h: [("div", f"{h} sign up"), ("ul", [("li", f"{h} one"), ("li", f"{h} two")]), ("p", f"about {h}"), ("section", [("h2", f"more {h}"), ("p", "read on")])] for h in "abc"}
+    pages = []
+    for i in range(120):
+        h = "aaaaabbbc"[i % 9]
+        own = [("h2", f"title {i // 2}"), *(("p", " ".join(r.choices(["to", "be", "or", "not"], k=r.randint(1, 30)))) for _ in range(r.randint(0, 4)))]
+        pages.append((i, h, own + [x for x in shared[h] if r.random() < {"a": 0.9, "b": 0.6, "c": 0.3}[h]]))
+    render = lambda n: f"<{n[0]}>{n[1] if isinstance(n[1], str) else ''.join(map(render, n[1]))}</{n[0]}>"
+    rows = [(i, f"https://u@{h}:80/x", f"<article>{''.join(map(render, x))}</article>") for i, h, x in pages]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
+    want = brute.template_texts(pages)
+    assert got == want and sum("sign up" in t for t in want.values()) < 20 < sum("sign up" in str(x) for _, _, x in pages)
+
+
+def test_html_frames_by_form(spark):
+    """Menus whose words vary are counted by their form; on pages without article they go by it, and text does not."""
+    menu = lambda i, k: "".join(f'<li><a href="/{i}">entry {i} {j}</a></li>' for j in range(k))
+    rows = []
+    for i in range(12):
+        text = f"<div class=text><p>{f'page{i} ' * 30}</p><p>see <a href=x>more {i}</a></p></div>"
+        rows.append((i, "http://soup.x/", f'<body><div class="top"><ul>{menu(i, 3 + i % 3)}</ul></div>{text}<div class="low"><a>next {i}</a> <a>back {i}</a></div></body>'))
+        rows.append((100 + i, "http://site.x/", f"<body><nav><ul>{menu(i, 4)}</ul></nav><div class=ad>buy {i}</div><article><p>story {i}</p></article><footer>year {i}</footer></body>"))
+    rows.append((200, "http://lone.x/", rows[0][2]))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_main_text(df).collect()}
+    words = lambda i: " ".join([f"page{i}"] * 30)
+    assert all(got[i] == f"{words(i)}\n\nsee more {i}" and got[100 + i] == f"story {i}" for i in range(12))
+    assert got[200] == f"entry 0 0\n\nentry 0 1\n\nentry 0 2\n\n{words(0)}\n\nsee more 0\n\nnext 0 back 0"
+    found = html_extract.page_templates(html_extract.parse_pages(df), 5, 20, 0.5).collect()
+    assert sorted((r["host"], r["n"]) for r in found if r["kind"] == html_extract.FRAME and r["host"] == "site.x") == [("site.x", 12)] * 3
+
+
 @settings(deadline=None)
 @given(st.text(alphabet="<>/pbdiv \"'=&;!-a", max_size=80))
 def test_html_never_fails(source):
@@ -306,9 +370,14 @@ def test_two_stage_order(segments):
     raw = text.tobytes()
     assert order.tolist() == sorted(np.flatnonzero(want).tolist(), key=lambda i: raw[i:])
     seen = [s[i : i + 6] for s in segments for i in range(len(s) - 5)]
-    starts = suffix_dedup.repeated_starts(segments, 6)
+    starts = suffix_dedup.repeated_windows(segments, 6)
     for s, hits in zip(segments, starts):
         assert hits.tolist() == [i for i in range(len(s) - 5) if seen.count(s[i : i + 6]) > 1]
+    places = np.arange(len(text))[::-1].copy()  # the last copy is the first
+    later = suffix_dedup.repeated_windows(segments, 6, places)
+    for k, (s, hits) in enumerate(zip(segments, later)):
+        after = [x[i : i + 6] for x in segments[k + 1 :] for i in range(len(x) - 5)]
+        assert hits.tolist() == [i for i in range(len(s) - 5) if s[i : i + 6] in after + [s[j : j + 6] for j in range(i + 1, len(s) - 5)]]
 
 
 @pytest.mark.parametrize("hot", [1, 1024])
@@ -318,12 +387,25 @@ def test_suffix_dedup(docs, rows, empty, hot):
     assert suffix_dedup.suffix_dedup(empty).count() == 0
 
 
-def test_cut_repeats_keeps_columns(docs, rows):
-    out = suffix_dedup.cut_repeats(docs, 60)
-    assert out.columns == docs.columns and out.count() == len(rows)
-    want = {d: n - k for d, n, k, *_ in brute.byte_repeats(pairs(rows), 60) if d is not None and d not in (4, 9)}
-    got = {r["doc_id"]: len((r["text"] or "").encode()) for r in out.collect()}
-    assert all(0 <= want[d] - got[d] <= 8 for d in want)
+@pytest.mark.parametrize("hot", [1, 1024])
+@pytest.mark.parametrize("first_stays", [False, True])
+def test_cut_repeats(spark, rows, hot, first_stays):
+    from pyspark.sql import functions as F
+
+    clash = spark.createDataFrame(rows, SCHEMA).repartition(3).withColumns({c: F.lit(1) for c in ("uid", "UID_", "spans", "doc", "s", "h", "data", "first", "c")})
+    out = suffix_dedup.cut_repeats(clash, 60, hot, first_stays)
+    assert out.schema == clash.schema
+    got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=repr)
+    if first_stays:
+        order = {i: k for k, i in enumerate(sorted({r[0] for r in rows if r[0] is not None}))}
+        alone = {d for d in order if sum(r[0] == d for r in rows) == 1}
+        want = brute.later_bytes(pairs(rows), 60)
+        assert [x for x in got if x[0] in alone] == [x for x in want if x[0] in alone]
+        assert any(t and len(t) < len(u) for (_, t), (_, u) in zip(want, sorted(pairs(rows), key=repr)))
+    else:
+        lost = {d: n - k for d, n, k, *_ in brute.byte_repeats(pairs(rows), 60) if d is not None and d not in (4, 9)}
+        assert all(0 <= lost[d] - len((t or "").encode()) <= 8 for d, t in got if d in lost)
+    assert sum(t is None for _, t in got) == sum(r[1] is None for r in rows)
 
 
 # 8
@@ -352,32 +434,57 @@ def encoder():
     with open(vocabulary_path()) as f:
         vocabulary = bpe.Vocabulary(f.read())
     words = ["the", " the", " of", " often", "often", "e", " e's"]
-    data = bpe.compile_lexicon({w.encode(): vocabulary.encode_word(w) for w in words})
-    return bpe.Encoder(vocabulary, bpe.Lexicon(bpe.map_into_memory(data)))
+    data = bpe.compile_lexicon(bpe.packed_words(vocabulary, words))
+    return bpe.Encoder(vocabulary, bpe.Lexicon(data))
 
 
 @settings(deadline=None, max_examples=400)
 @given(st.text(alphabet=st.one_of(st.characters(exclude_categories=["Cs", "Cn", "Co"], max_codepoint=0xFFFF), st.sampled_from(" \n\t\x1c\x85 'sdé1the")), max_size=60), st.booleans())
 def test_encoder_equals_library(encoder, reference_tokenizer, text, special):
     text += "<|endoftext|> x" * special
-    ids = np.frombuffer(encoder.encode(text), "<u4").tolist()
-    assert ids == reference_tokenizer.encode(text, add_special_tokens=False).ids
-    assert encoder.decode(encoder.encode(text)) == text
+    [packed] = encoder.encode([text])
+    assert np.frombuffer(packed, "<u4").tolist() == reference_tokenizer.encode(text, add_special_tokens=False).ids
+    assert encoder.decode([packed]) == [text]
+
+
+def test_slices_merge_in_step(encoder, reference_tokenizer, monkeypatch):
+    r = random.Random(5)
+    texts = [" ".join("".join(r.choices("theandoiéж1'", k=r.randint(1, 60))) for _ in range(r.randint(0, 40))) for _ in range(60)]
+    want = [reference_tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    for size, segment in ((8_000_000, 4_000_000), (300, 50), (1, 1)):  # one slice, several, and cut texts
+        monkeypatch.setattr(bpe, "SLICE", size)
+        monkeypatch.setattr(bpe, "SEGMENT", segment)
+        got = encoder.encode(texts)
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == want and encoder.decode(got) == texts
+
+
+@settings(deadline=None, max_examples=300)
+@given(st.lists(st.text(alphabet=st.sampled_from(" \n\t\r\x0b\x1c\x85\xa0\u1680\u2003\u2028\u202f\u205f\u3000ab,é\u2014"), max_size=12), max_size=4))
+def test_words_are_cut_like_the_pattern(texts):
+    raw, ends = common.utf8(pa.array(texts, pa.large_string()))
+    starts = [*bpe.word_starts(raw, ends).tolist(), len(raw)]
+    assert [raw[a:b].tobytes().decode() for a, b in zip(starts, starts[1:])] == [w for t in texts for w in bpe.CHUNK.findall(t)]
+
+
+def test_frequent_words_are_bounded(spark):
+    words = [f"w{i}" for i in range(300)]
+    docs = spark.createDataFrame([(" ".join(words),), (" ".join(words),), (None,)], "text string")
+    found = bpe.frequent_words(docs, 150)
+    assert 100 < len(found) <= 150 and found != [] and bpe.frequent_words(docs, 10_000) and not bpe.frequent_words(docs, 0)
 
 
 def test_long_words_merge_exactly(encoder, reference_tokenizer):
     r = random.Random(3)
     for word in ("a" * 1000, "ab" * 700, "".join(r.choices("theandoi", k=3000))):
-        assert encoder.vocabulary.encode_word(word) == reference_tokenizer.encode(word, add_special_tokens=False).ids
+        assert encoder.vocabulary.encode_words(pa.array([word.encode()]))[0].tolist() == reference_tokenizer.encode(word, add_special_tokens=False).ids
 
 
 @given(st.sets(st.binary(min_size=1, max_size=5).map(lambda b: bytes(x % 3 for x in b)), max_size=40))
 def test_lexicon(words):
-    lexicon = bpe.Lexicon(bpe.map_into_memory(bpe.compile_lexicon({w: [len(w), i] for i, w in enumerate(sorted(words))})))
-    for i, w in enumerate(sorted(words)):
-        assert lexicon.number(w) == i and np.frombuffer(lexicon.get(w), "<u4").tolist() == [len(w), i]
-    for w in (b"\7", b"\0" * 6, b"\1\3"):
-        assert lexicon.get(w) is None
+    lexicon = bpe.Lexicon(bpe.compile_lexicon({w: np.array([len(w), i], "<u4").tobytes() for i, w in enumerate(sorted(words))}))
+    assert lexicon.numbers(pa.array(sorted(words), pa.binary())).tolist() == list(range(len(words)))
+    assert [lexicon.ids[a:b].tolist() for a, b in zip(lexicon.start, lexicon.start[1:])] == [[len(w), i] for i, w in enumerate(sorted(words))]
+    assert lexicon.numbers(pa.array([b"\7", b"\0" * 6, b"\1\3", b""])).tolist() == [-1] * 4
 
 
 # 9
@@ -416,12 +523,29 @@ def test_top_k(spark):
     rows += [(50 * k + 1000, v) for k, v in enumerate([None, [float("nan")] * 6, [1.0, None], [float("inf")] * 6, [], [1.0], [0.1] * 9])] + [(None, vec())]
     df = spark.createDataFrame([(*x, 3, 1) for x in rows], "vec_id long, embedding array<double>, label int, v int").repartition(4)
     assert plain(topk.top_k_search(df)) == sorted(brute.top_k(rows), key=repr)
-    assert plain(topk.top_k_search(df, tile=3)) == sorted(brute.top_k(rows), key=repr)
+    assert plain(topk.top_k_search(df.unionByName(df), pivots=7, group_rows=40, together=3)) == sorted(brute.top_k(rows), key=repr)
+    assert plain(topk.top_k_search(df, pivots=1, group_rows=100)) == sorted(brute.top_k(rows), key=repr)
     few = df.where("vec_id in (0, 1, 2)")
     assert plain(topk.top_k_search(few)) == sorted(brute.top_k([x for x in rows if x[0] in (0, 1, 2)]), key=repr)
     assert topk.top_k_search(df.limit(0)).count() == 0
 
 
+def test_top_k_prunes_where_rows_have_structure():
+    r = np.random.default_rng(1)
+    centre = r.normal(size=(40, 64)) * 200
+    rows = np.floor(np.repeat(centre, 50, axis=0) + r.normal(size=(2000, 64)) * 10).astype(np.int64)
+    ids = np.arange(2000)
+    index = topk.Blocks(ids, rows)
+    at = np.arange(0, 2000, 20)
+    name, score = index.best(ids[at], rows[at], 5, np.full(len(at), topk.NONE))
+    want = [sorted((-int(s), i) for i, s in enumerate(rows @ rows[q]) if i != q)[:5] for q in at]
+    assert [[(-s, i) for s, i in zip(x, y)] for x, y in zip(score.tolist(), name.tolist())] == want
+    assert index.scored < 0.2 * len(at) * len(rows)
+    # a k-th score known beforehand loses none that reaches it
+    name, _ = index.best(ids[at], rows[at], 5, score[:, 2])
+    assert [x[:3] for x in name.tolist()] == [[i for _, i in x[:3]] for x in want]
+
+
 def test_utf8_view_of_sliced_batches():
     col = pa.array(["ab", None, "é", ""]).slice(1)
     raw, offsets = common.utf8(col)
