@@ -95,9 +95,10 @@ class Graph:
         uses = self._of("USES_GLOBAL").select(F.col("src").alias("end"), F.col("dst").alias("gid")).join(self.nodes.where("label = 'Global'").select(F.col("id").alias("gid"), F.col("name").alias("gname")), "gid")
         used = paths.join(uses, "end").select("start", "node_ids", "edges", "gid", "gname")
         steps = used.select("*", F.posexplode("node_ids").alias("pos", "id"))
-        # an id may stand for nodes of several labels; only those on a way are looked at
-        named = self.nodes.select("id", "name").join(steps.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("name").alias("name"))
-        on_way = steps.join(named, "id").groupBy("start", "node_ids", "edges", "gid", "gname")
+        way = ["start", "node_ids", "edges", "gid", "gname"]
+        # an id may stand for nodes of several labels: the least name counts
+        named = steps.join(self.nodes.select("id", "name"), "id").groupBy(*way, "pos", "id").agg(F.min("name").alias("name"))
+        on_way = named.groupBy(*way)
         names = F.transform(F.array_sort(F.collect_list(F.when(F.col("id") != F.col("start"), F.struct("pos", "name")))), lambda x: x["name"])
         via = on_way.agg(names.alias("way")).select(F.col("gname").alias("name"), F.lit("Global").alias("type"), F.array_append("way", F.col("gname")).alias("via")).distinct()
         direct = self._of("CALLS", "USES").join(scope.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id")).distinct()

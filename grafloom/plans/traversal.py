@@ -91,8 +91,8 @@ def reachable(edges: DataFrame, starts: DataFrame, types=None, direction: str =
     """Distinct ids at the end of a directed trail of 1 to ``depth`` edges from the ids in starts.
 
     A start is among them only if it lies on a cycle of at most that length.  Depth 0 gives
-    no rows.  Each step expands the ids that the one before found first; searches of more
-    than UNROLLED steps hold every level and stop when there is nothing new.
+    no rows.  Each step expands what the one before found; searches of more than UNROLLED
+    steps hold every level, expand new ids only and stop when there are none.
     """
     if depth < 0:
         raise ValueError("depth must not be negative")
@@ -103,13 +103,15 @@ def reachable(edges: DataFrame, starts: DataFrame, types=None, direction: str =
     if depth == 0:
         return seed.where("false")
     # every level makes only what it has found distinct, never the edges
-    levels = [seed.join(step, seed["id"] == step["at"]).select(F.col("to").alias("id")).distinct()]
-    for d in range(1, depth):
-        if depth > UNROLLED:
-            levels[-1] = held(levels[-1])
-            if levels[-1].isEmpty():
-                break
-        seen = reduce(DataFrame.unionByName, levels)
-        near = levels[-1].join(step, levels[-1]["id"] == step["at"]).select(F.col("to").alias("id")).distinct()
-        levels.append(near.join(seen, "id", "left_anti"))
-    return reduce(DataFrame.unionByName, levels)
+    expand = lambda ids: ids.join(step, ids["id"] == step["at"]).select(F.col("to").alias("id")).distinct()
+    levels = [expand(seed)]
+    for _ in range(1, depth):
+        if depth <= UNROLLED:
+            levels.append(expand(levels[-1]))
+            continue
+        levels[-1] = held(levels[-1])
+        if levels[-1].isEmpty():
+            break
+        levels.append(expand(levels[-1]).join(reduce(DataFrame.unionByName, levels), "id", "left_anti"))
+    found = reduce(DataFrame.unionByName, levels)
+    return found.distinct() if 1 < depth <= UNROLLED else found
