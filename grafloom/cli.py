@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from . import settings
 from .operators import intent
 from .operators.upsert import merge_edges, merge_nodes
-from .operators.vectors import embed_column, hash_embedder
+from .operators.vectors import hash_embedder
 from .schema import NODE
 from .sources import extract, jsonl, tables
 

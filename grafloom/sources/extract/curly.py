@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from .facts import Token, dotted, matches, skip_generic, tokens
+from .facts import dotted, matches, skip_generic, tokens
 
 #: Words before a bracket that call nothing.
 NO_CALL = frozenset("if for while switch catch return new throw else do try synchronized sizeof typeof nameof using lock foreach when function super this await yield delete case in of instanceof assert default base".split())
