@@ -387,6 +387,44 @@ def test_suffix_dedup(docs, rows, empty, hot):
     assert suffix_dedup.suffix_dedup(empty).count() == 0
 
 
+def near_copies(n):
+    """One text of 1,500 letters n times, each time with about six other letters."""
+    rng = random.Random(5)
+    base = [rng.choice("abcdefgh ") for _ in range(1500)]
+    out = []
+    for i in range(n):
+        text = list(base)
+        for at in rng.sample(range(len(text)), 6):
+            text[at] = rng.choice("xyz")
+        out.append((i, "".join(text)))
+    return out
+
+
+def test_suffix_classes_of_a_large_group(spark, monkeypatch):
+    made, segments, cut = [], [], suffix_dedup._classes
+
+    def counted(parts, width, size):
+        if size == max(suffix_dedup.CLASSES):
+            segments.append(parts.count())
+        made.append(cut(parts, width, size).count())
+        return cut(parts, width, size)
+
+    monkeypatch.setattr(suffix_dedup, "_classes", counted)
+    rows_made = []
+    for n in (100, 200):
+        rows = near_copies(n)
+        made.clear(), segments.clear()
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        got = plain(suffix_dedup.suffix_dedup(df, 400, 8))
+        assert got == brute.byte_repeats(rows, 400)
+        assert 0 < sum(r[2] for r in got) < sum(r[1] for r in got)
+        assert sum(made) <= 6 * segments[0]
+        assert len(made) > 1  # some cores are cut finer
+        rows_made.append((sum(made), segments[0]))
+    (few, of_few), (many, of_many) = rows_made
+    assert of_many > 1.5 * of_few and many / of_many <= 1.5 * few / of_few  # in proportion to the segments
+
+
 @pytest.mark.parametrize("hot", [1, 1024])
 @pytest.mark.parametrize("first_stays", [False, True])
 def test_cut_repeats(spark, rows, hot, first_stays):
