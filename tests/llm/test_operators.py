@@ -446,6 +446,23 @@ def test_cut_repeats(spark, rows, hot, first_stays):
     assert sum(t is None for _, t in got) == sum(r[1] is None for r in rows)
 
 
+def test_cut_repeats_classes_as_in_the_pipeline(spark, monkeypatch):
+    made, segments, cut = [], [], suffix_dedup._classes
+
+    def counted(parts, width, size):
+        if not made:
+            segments.append(parts.count())
+        made.append(cut(parts, width, size).count())
+        return cut(parts, width, size)
+
+    monkeypatch.setattr(suffix_dedup, "_classes", counted)
+    rows = near_copies(100)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = plain(suffix_dedup.cut_repeats(df, 200, 16, first_stays=True))
+    assert got == sorted(brute.later_bytes(rows, 200), key=repr)
+    assert sum(made) <= 4 * segments[0], (made, segments)
+
+
 # 8
 
 
