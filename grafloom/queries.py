@@ -321,7 +321,7 @@ def server_code_mask(spark, sf_dir):
         return pd.DataFrame({"code": text.map(server_code), "lang": [language(p, t) for p, t in zip(path, text, strict=True)]})
 
     path = F.when(F.col("p_partkey") % 2 == 0, "a.ASP").otherwise("a.aspx")
-    return P.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), read(path, F.expr(_PAGE)).alias("r")).select("id", "r.lang", "r.code")
+    return P.dealt(P.table(spark, sf_dir, "part").select("p_partkey", "p_name")).select(F.col("p_partkey").alias("id"), read(path, F.expr(_PAGE)).alias("r")).select("id", "r.lang", "r.code")
 
 
 _TOOL = "CASE WHEN event_type IN ('signup', 'purchase') AND event_id % 4 < 3 THEN CASE event_id % 3 WHEN 0 THEN 'scout' WHEN 1 THEN 'auditor' ELSE 'engineer' END WHEN event_id % 5 = 0 THEN NULL ELSE 'shell' END"
@@ -405,18 +405,18 @@ def _found_sql(sample: Sample) -> str:
 def _files(spark: SparkSession, sf_dir: str, sample: Sample) -> DataFrame:
     """The sample's file for every part: path and content."""
     k = F.col("p_partkey").cast("string")
-    return P.table(spark, sf_dir, "part").select(F.replace(F.lit(sample.path), F.lit("{k}"), k).alias("path"), F.replace(F.lit(sample.text), F.lit("{k}"), k).cast("binary").alias("content"))
+    return P.dealt(P.table(spark, sf_dir, "part").select("p_partkey")).select(F.replace(F.lit(sample.path), F.lit("{k}"), k).alias("path"), F.replace(F.lit(sample.text), F.lit("{k}"), k).cast("binary").alias("content"))
 
 
 for _n, _sample in SAMPLES.items():
-    query(_found_sql(_sample), f"extract_{_n}")(lambda spark, sf_dir, x=_sample: extract(_files(spark, sf_dir, x)).select("kind", "label", "id", F.col("dst").alias("target")))
+    query(_found_sql(_sample), f"extract_{_n}")(lambda spark, sf_dir, x=_sample: extract(_files(spark, sf_dir, x), ("kind", "label", "id", "dst")).withColumnRenamed("dst", "target"))
 
 
 @query("""SELECT suffix, count(*) AS n FROM (SELECT CASE p_partkey % 4 WHEN 0 THEN '.java' WHEN 1 THEN '.vb' WHEN 2 THEN '.JAVA' ELSE '.txt' END AS suffix, p_partkey % 3 AS bad FROM part) WHERE suffix IN ('.java', '.vb') AND bad > 0 GROUP BY 1""")
 def extract_file(spark, sf_dir):
     suffix = F.element_at(F.array(*map(F.lit, (".java", ".vb", ".JAVA", ".txt"))), (F.col("p_partkey") % 4 + 1).cast("int"))
-    files = P.table(spark, sf_dir, "part").select(F.concat(F.lit("f/x"), "p_partkey", suffix).alias("path"), F.when(F.col("p_partkey") % 3 > 0, F.lit("class A")).cast("binary").alias("content"))
-    return extract(files).where("label = 'File'").groupBy(F.regexp_extract("id", r"(\.[^.]*)$", 1).alias("suffix")).agg(F.count("*").alias("n"))
+    files = P.dealt(P.table(spark, sf_dir, "part").select("p_partkey")).select(F.concat(F.lit("f/x"), "p_partkey", suffix).alias("path"), F.when(F.col("p_partkey") % 3 > 0, F.lit("class A")).cast("binary").alias("content"))
+    return extract(files, ("label", "id")).where("label = 'File'").groupBy(F.regexp_extract("id", r"(\.[^.]*)$", 1).alias("suffix")).agg(F.count("*").alias("n"))
 
 
 _KM_STEP = """a{n} AS (SELECT id, cluster FROM (SELECT v.id, c{n}.cluster, row_number() OVER (PARTITION BY v.id ORDER BY 1 - COS, c{n}.cluster) AS r FROM v, c{n}) WHERE r = 1),

@@ -51,26 +51,38 @@ def _quoted(text: str) -> str:
     return "\\Q" + text.split("://")[-1] + "\\E"
 
 
-def extract(files: DataFrame) -> DataFrame:
-    """Tagged rows (kind node or edge) of files (path, content); a file that fails is logged and left out."""
+#: Fixed value: files of one output batch, so that a worker's memory does not grow with Spark's batches.
+_FILES_AT_ONCE = 200
+
+
+def extract(files: DataFrame, columns: tuple[str, ...] = tuple(_KINDS)) -> DataFrame:
+    """Tagged rows (kind node or edge) of files (path, content), or these columns of them; a file that fails is logged and left out."""
+
+    kept = [c for c in _KINDS if c in columns]
+
+    def batch(count: int, **values) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(values[c](), _KINDS[c]) if c in values else pa.nulls(count, _KINDS[c]) for c in kept], names=kept)
 
     def run(parts):
         for part in parts:
-            rows = []
-            for path, content in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                try:
-                    facts = extract_file(path, content.decode("utf-8", "replace"))
-                except (ValueError, IndexError, KeyError, RecursionError):
-                    logging.getLogger(__name__).exception("skipped %s", path)
-                    continue
-                if facts is not None:
-                    rows += [n | {"kind": "node"} for n in facts.nodes.values()]
-                    rows += [{"kind": "edge", "id": s, "dst": d, "label": t} for s, d, t in facts.edges]
-            columns = [pa.array([list(v.items()) if isinstance(v := r.get(n), dict) else v for r in rows], k) for n, k in _KINDS.items()]
-            yield pa.RecordBatch.from_arrays(columns, names=list(_KINDS))
-
+            for start in range(0, part.num_rows, _FILES_AT_ONCE):
+                nodes, edges = [], []
+                for path, content in zip(*(part.column(k).slice(start, _FILES_AT_ONCE).to_pylist() for k in (0, 1)), strict=True):
+                    try:
+                        facts = extract_file(path, content.decode("utf-8", "replace"))
+                    except (ValueError, IndexError, KeyError, RecursionError):
+                        logging.getLogger(__name__).exception("skipped %s", path)
+                        continue
+                    if facts is not None:
+                        nodes += facts.nodes.values()
+                        edges += facts.edges
+                of = {c: lambda c=c: [n.get(c) for n in nodes] for c in _KINDS if c not in ("kind", "dst", "extra")}
+                yield batch(len(nodes), **of, kind=lambda: ["node"] * len(nodes), extra=lambda: [v and list(v.items()) for v in (n.get("extra") for n in nodes)])
+                yield batch(len(edges), kind=lambda: ["edge"] * len(edges), id=lambda: [e[0] for e in edges], dst=lambda: [e[1] for e in edges], label=lambda: [e[2] for e in edges])
+
+    schema = ", ".join(x for x in _ROW.split(", ") if x.split()[0] in kept)
     wanted = files.where(F.regexp_extract("path", r"(\.[^./]*)$", 1).isin(sorted(REGISTRY))).where("content is not null")
-    return wanted.select("path", "content").mapInArrow(run, _ROW)
+    return wanted.select("path", "content").mapInArrow(run, schema).select(*columns)
 
 
 def nodes_and_edges(rows: DataFrame, embedder: Embedder | None = None, text: str = "name") -> tuple[DataFrame, DataFrame]:
