@@ -112,6 +112,7 @@ def _last_wins(*maps: Column) -> list[Column]:
 _THOUGHT = "struct<subject:string,description:string,timestamp:string>"
 _CALL = "struct<name:string,args:string,timestamp:string,result:array<string>>"
 MESSAGE = f"struct<type:string,timestamp:string,lastUpdated:string,content:string,thoughts:array<{_THOUGHT}>,toolCalls:array<{_CALL}>>"
+_PART = "part:int,pos:int,ts:timestamp,type:string,category:string,summary:string,agent:string,depth:bigint,is_error:boolean"
 #: What a summary of a tool's arguments begins with, by tool and argument.
 _TOOL_HEADS = (("run_shell_command", "command", "$ "), ("replace", "instruction", "Replace: "), ("read_file", "file_path", "Read: "), ("write_file", "file_path", "Write: "))
 
@@ -126,24 +127,31 @@ def read_session(documents: DataFrame, model: str = "model") -> DataFrame:
 
     A message of type user gives one event; one of type ``model`` gives its thoughts
     (depth 1), its tool calls (depth 1) each followed by their results (depth 2), and its
-    content, if not empty.  Other messages give none.
+    content, if not empty.  Other messages give none.  A message's events are made together, so
+    that the documents are read and parsed once.
     """
     parsed = documents.select("session", F.from_json("value", f"struct<messages:array<{MESSAGE}>>").alias("doc"))
-    m = parsed.select("session", F.posexplode("doc.messages").alias("msg", "m")).select("session", "msg", "m.*").withColumnRenamed("type", "kind").withColumnRenamed("timestamp", "at")
-
-    def event(rows: DataFrame, part: int, pos, at: Column, kind: str, category, text: Column, agent: str, depth: int, error=None) -> DataFrame:
-        as_col = lambda x: x if isinstance(x, Column) else F.lit(x)
-        return rows.select("session", "msg", F.lit(part).alias("part"), as_col(pos).alias("pos"), F.try_to_timestamp(at).alias("ts"), F.lit(kind).alias("type"), as_col(category).alias("category"), text.alias("summary"), F.lit(agent).alias("agent"), F.lit(depth).cast("long").alias("depth"), as_col(False if error is None else error).alias("is_error"))
-
-    said = m.where(F.col("kind") == model)
-    user = event(m.where("kind = 'user'"), 0, 0, F.col("at"), "user", "USER", F.col("content"), "User", 0)
-    thoughts = said.select("session", "msg", "at", F.posexplode("thoughts").alias("pos", "x"))
-    thought = event(thoughts, 1, F.col("pos"), F.coalesce("x.timestamp", "at"), "thought", "THOUGHT", F.coalesce(F.nullif("x.subject", F.lit("")), F.lit("Reasoning")), model, 1)
-    calls = said.select("session", "msg", "at", F.posexplode("toolCalls").alias("pos", "x"))
-    tool = event(calls, 2, F.col("pos") * 1000, F.coalesce("x.timestamp", "at"), "tool", F.col("x.name"), _tool_summary(F.col("x.name"), F.col("x.args")), model, 1)
-    results = calls.select("session", "msg", "at", "pos", "x", F.posexplode("x.result").alias("k", "r"))
-    answer = F.coalesce(F.get_json_object("r", "$.functionResponse.response"), F.col("r"))
-    failed = F.coalesce(F.get_json_object("r", "$.status") == "error", F.lit(False)) | _there(F.get_json_object(answer, "$.error"))
-    result = event(results, 2, F.col("pos") * 1000 + 1 + F.col("k"), F.coalesce("x.timestamp", "at"), "tool_result", F.when(failed, "ERROR").otherwise("RESULT"), F.when(failed, "Tool Failed").otherwise("Tool Finished"), "System", 2, failed)
-    content = event(said.where("content <> ''"), 3, 0, F.coalesce("lastUpdated", "at"), "assistant", "RESPONSE", F.col("content"), model, 0)
-    return user.unionByName(thought).unionByName(tool).unionByName(result).unionByName(content)
+    m = parsed.select("session", F.posexplode("doc.messages").alias("msg", "m"))
+    at, none = F.col("m.timestamp"), F.array().cast(f"array<struct<{_PART}>>")
+
+    def event(part: int, pos, ts: Column, kind: str, category, text: Column, agent: str, depth: int, error=False) -> Column:
+        of = {"part": part, "pos": pos, "ts": F.try_to_timestamp(ts), "type": kind, "category": category, "summary": text, "agent": agent, "depth": depth, "is_error": error}
+        return F.struct(*[(x if isinstance(x, Column) else F.lit(x)).alias(n) for n, x in of.items()]).cast(f"struct<{_PART}>")
+
+    def call(x: Column, i: Column) -> Column:
+        ts = F.coalesce(x["timestamp"], at)
+
+        def result(r: Column, k: Column) -> Column:
+            answer = F.coalesce(F.get_json_object(r, "$.functionResponse.response"), r)
+            failed = F.coalesce(F.get_json_object(r, "$.status") == "error", F.lit(False)) | _there(F.get_json_object(answer, "$.error"))
+            return event(2, i * 1000 + 1 + k, ts, "tool_result", F.when(failed, "ERROR").otherwise("RESULT"), F.when(failed, "Tool Failed").otherwise("Tool Finished"), "System", 2, failed)
+
+        tool = event(2, i * 1000, ts, "tool", x["name"], _tool_summary(x["name"], x["args"]), model, 1)
+        return F.concat(F.array(tool), F.coalesce(F.transform(x["result"], result), none))
+
+    thought = lambda x, i: event(1, i, F.coalesce(x["timestamp"], at), "thought", "THOUGHT", F.coalesce(F.nullif(x["subject"], F.lit("")), F.lit("Reasoning")), model, 1)
+    user = F.array(event(0, 0, at, "user", "USER", F.col("m.content"), "User", 0))
+    content = F.when(F.col("m.content") != "", F.array(event(3, 0, F.coalesce("m.lastUpdated", at), "assistant", "RESPONSE", F.col("m.content"), model, 0)))
+    said = [F.transform("m.thoughts", thought), F.flatten(F.transform("m.toolCalls", call)), content]
+    parts = [F.when(F.col("m.type") == "user", user), *[F.when(F.col("m.type") == model, x) for x in said]]
+    return m.select("session", "msg", F.inline(F.concat(*[F.coalesce(x, none) for x in parts])))

@@ -360,12 +360,13 @@ UNION ALL SELECT session, msg, 'tool_result', 'RESULT', 'Tool Finished', 'System
 UNION ALL SELECT session, msg, 'tool_result', 'ERROR', 'Tool Failed', 'System', 2, true FROM c
 UNION ALL SELECT session, msg, 'assistant', 'RESPONSE', text, 'model', 0, false FROM a WHERE text <> '')""")
 def session_events(spark, sf_dir):
-    thoughts = "if(turn % 3 = 1, array(named_struct('subject', concat('think ', turn), 'description', 'd'), named_struct('subject', '', 'description', 'e')), null)"
-    calls = """if(turn % 4 = 1, array(named_struct('name', 'read_file', 'args', map('file_path', concat('f', turn)), 'result', array(named_struct('status', 'ok'), named_struct('status', 'error'))),
-        named_struct('name', 'list', 'args', map('depth', cast(turn as string)), 'result', cast(array() as array<struct<status:string>>))), null)"""
-    message = f"named_struct('type', if(role = 'user', 'user', 'model'), 'content', text, 'thoughts', {thoughts}, 'toolCalls', {calls})"
-    rows = P.table(spark, sf_dir, "conversations").selectExpr("conv_id as session", f"struct(turn, role, text, {message} as m) as x")
-    docs = rows.groupBy("session").agg(F.to_json(F.struct(F.transform(F.array_sort(F.transform(F.collect_list("x"), lambda x: F.struct(x["turn"], x["role"], x["text"], F.to_json(x["m"]).alias("m")))), lambda x: F.from_json(x["m"], trace.MESSAGE)).alias("messages"))).alias("value"))
+    thoughts = "if(x.turn % 3 = 1, array(named_struct('subject', concat('think ', x.turn), 'description', 'd'), named_struct('subject', '', 'description', 'e')), null)"
+    calls = """if(x.turn % 4 = 1, array(named_struct('name', 'read_file', 'args', map('file_path', concat('f', x.turn)), 'result', array(named_struct('status', 'ok'), named_struct('status', 'error'))),
+        named_struct('name', 'list', 'args', map('depth', cast(x.turn as string)), 'result', cast(array() as array<struct<status:string>>))), null)"""
+    message = f"named_struct('type', if(x.role = 'user', 'user', 'model'), 'content', x.text, 'thoughts', {thoughts}, 'toolCalls', {calls})"
+    rows = P.table(spark, sf_dir, "conversations").selectExpr("conv_id as session", "struct(turn, role, text) as x")
+    messages = rows.groupBy("session").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    docs = messages.selectExpr("session", f"to_json(struct(transform(xs, x -> {message}) as messages)) as value")
     return trace.read_session(docs).select("session", F.col("msg").cast("long").alias("msg"), "type", "category", "summary", "agent", "depth", "is_error")
 
 

@@ -263,3 +263,10 @@ def test_incremental_upserts(spark, tmp_path):
     tables = Upserter(folder)
     assert rows(tables.edges(spark)) == [("a", "b", "CALLS"), ("c", "a", "CALLS")]
     assert {r["id"]: dict(r["props"]) for r in tables.nodes(spark).collect()} == {"a": {"k": "2"}, "b": {}, "c": {}}
+
+
+def test_sessions_are_read_once(spark, sf_dir):
+    from grafloom.queries import queries
+
+    plan = queries()["session_events"](spark, sf_dir)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("FileScan") == 1 and "Union" not in plan
