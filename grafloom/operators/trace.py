@@ -81,16 +81,20 @@ def summary(tool_input: Column | str, data: Column | None = None) -> Column:
 EVENT = "session, seq long, ts timestamp, type string, category string, summary string, agent string, depth long, is_error boolean, details string"
 
 
+_FIELDS = ("timestamp", "hook_event_name", "tool_name", "tool_input", "tool_response", "data", "error", "event")
+
+
 def read_trace(lines: DataFrame, agents: tuple[str, ...] = AGENTS) -> DataFrame:
     """EVENT rows of JSON lines (session, seq, value): malformed and blank lines are skipped.
 
-    The fields of an object under ``data`` stand beside the line's own and win.
+    The fields of an object under ``data`` stand beside the line's own and win.  All fields of
+    a line are taken in one parse, and those of its data in another.
     """
-    sound = lines.where(F.try_parse_json("value").isNotNull() & F.json_object_keys("value").isNotNull())
-    raw = lambda k: F.get_json_object("value", f"$.{k}")
-    data = F.when(raw("data").startswith("{"), raw("data"))
-    field = lambda k: F.coalesce(F.get_json_object(data, f"$.{k}"), raw(k)).alias(f"__{k}")
-    rows = sound.select("session", "seq", *[field(k) for k in ("timestamp", "hook_event_name", "tool_name", "tool_input", "tool_response", "data", "error", "event")])
+    sound = lines.where(F.json_object_keys("value").isNotNull() & F.try_parse_json("value").isNotNull())
+    raw = sound.select("session", "seq", F.json_tuple("value", *_FIELDS).alias(*[f"__raw_{k}" for k in _FIELDS]))
+    inner = F.when(F.col("__raw_data").startswith("{"), F.col("__raw_data"))
+    both = raw.select("*", F.json_tuple(inner, *_FIELDS).alias(*[f"__in_{k}" for k in _FIELDS]))
+    rows = both.select("session", "seq", *[F.coalesce(f"__in_{k}", f"__raw_{k}").alias(f"__{k}") for k in _FIELDS])
     seen = agent_at(rows, "session", ["seq"], "__hook_event_name", "__tool_name", agents)
     parts = [F.coalesce(F.from_json(x, "map<string,string>"), F.create_map().cast("map<string,string>")) for x in ("__tool_input", "__data")]
     answer = F.map_filter(F.create_map(F.lit("response"), F.col("__tool_response")), lambda _, v: v.isNotNull())

@@ -45,9 +45,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def dealt(rows: DataFrame) -> DataFrame:
-    """rows dealt over four tasks a core: a table in one row group is otherwise read, and worked on, by one task."""
-    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)
+def dealt(rows: DataFrame, *by: str) -> DataFrame:
+    """rows dealt over four tasks a core, by columns or evenly: a table in one row group is otherwise read, and worked on, by one task."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, *by)
 
 
 def project(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:

@@ -341,11 +341,12 @@ SELECT event_id AS seq, coalesce(tool, hook, 'unknown') AS category,
   CASE event_id % 4 WHEN 0 THEN '$ run ' || event_id WHEN 1 THEN 'Replace: fix ' || event_id WHEN 2 THEN input ELSE CASE WHEN event_type = 'error' THEN '{{"event":"ERROR"}}' ELSE '' END END AS summary,
   event_type = 'error' AS is_error FROM h""")
 def trace_events(spark, sf_dir):
-    text = f"""to_json(named_struct('hook_event_name', {_HOOK}, 'tool_name', {_TOOL}))"""
-    part = f"""concat(left({text}, length({text}) - 1), if({text} = '{{}}', '', ','), '"at":0', coalesce(concat(',"tool_input":', {_INPUT}), ''), if(event_type = 'error', ',"data":{{"event":"ERROR"}}', ''), '}}')"""
-    lines = P.table(spark, sf_dir, "events").selectExpr("user_id as session", "event_id as seq", f"{part} as value")
-    broken = lines.where("seq % 7 = 0").selectExpr("session", "seq", "'{\"hook_event_name\": \"BeforeTool\", ' as value")
-    return trace.read_trace(lines.unionByName(broken)).select("seq", "category", "agent", "depth", "summary", "is_error")
+    given = lambda k, x, q: f"""coalesce(concat(',"{k}":{q}', {x}, '{q}'), '')"""
+    line = f"""concat('{{"at":0', {given("hook_event_name", _HOOK, '"')}, {given("tool_name", _TOOL, '"')}, {given("tool_input", _INPUT, "")}, if(event_type = 'error', ',"data":{{"event":"ERROR"}}', ''), '}}')"""
+    broken = "'{\"hook_event_name\": \"BeforeTool\", '"
+    events = P.dealt(P.table(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), "user_id")
+    lines = events.selectExpr("user_id as session", "event_id as seq", f"explode(if(event_id % 7 = 0, array({line}, {broken}), array({line}))) as value")
+    return trace.read_trace(lines).select("seq", "category", "agent", "depth", "summary", "is_error")
 
 
 @query("""WITH m AS (SELECT conv_id AS session, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS msg, turn, role, text FROM conversations),

@@ -270,3 +270,10 @@ def test_sessions_are_read_once(spark, sf_dir):
 
     plan = queries()["session_events"](spark, sf_dir)._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("FileScan") == 1 and "Union" not in plan
+
+
+def test_traces_are_read_once(spark, sf_dir):
+    from grafloom.queries import queries
+
+    plan = queries()["trace_events"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning(user_id") == 1 and plan.count("Exchange") == 1
